@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +57,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_granary_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    file = os.path.join(os.path.realpath(tempfile.mkdtemp()), "granary_package.zip")
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(file)
+    sc._granary_shipped = True
