@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import ship
+
 WORD = re.compile(r"\w+")
 SHINGLE = 5
 
@@ -34,6 +36,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found), out, strict=True)], schema=out)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
