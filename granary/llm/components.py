@@ -1,0 +1,43 @@
+"""Connected components of a link table, by alternating large and small stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import cut
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Tells whether two edge tables are equal (up to hash collisions)."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def _star(edges: DataFrame, large: bool) -> DataFrame:
+    """Links neighbours (all greater ones, or all smaller ones and the node) with the least node around.
+
+    Only minima are grouped and joined back: no group of neighbours is ever gathered.
+    """
+    turned = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if large:
+        turned = turned.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = turned.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    joined = turned.join(least, "u")
+    out = joined.where("v > u") if large else joined
+    out = out.select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b"))
+    if not large:
+        out = out.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node, label`` (the least node of its component) for each node of ``links`` (a, b); other nodes stand alone."""
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    edges = cut(edges)
+    state = _state(edges)
+    while state[0]:
+        edges = cut(_star(_star(edges, True), False))
+        before, state = state, _state(edges)
+        if state == before:
+            break
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
