@@ -44,5 +44,51 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_bpe, op3_toxicity, op4_secrets, op5_quality, op9_near_dedup)}
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derivatives, responses
+
+    return derivatives(responses(table(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pseudonyms import pseudonymise
+
+    return pseudonymise(table(spark, sf_dir, "documents"), b"corpus pseudonyms, key 1")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import find_licenses
+
+    return find_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits per document, at places given by its id: an insertion, a replacement and a deletion."""
+    import public_tokenizers
+
+    from .token_counts import count_with_edits
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    size = F.coalesce(F.length("text"), F.lit(0))
+    at = [F.pmod(F.xxhash64("doc_id", F.lit(k)), F.greatest(size, F.lit(1))).cast("int") for k in range(3)]
+    edits = [(at[0], at[0], " (added words)"), (at[1], at[1] + 12, "changed"), (at[2], at[2] + 20, "")]
+    docs = docs.withColumn("edits", F.array(*(F.struct(s.alias("start"), e.alias("end"), F.lit(t).alias("text")) for s, e, t in edits)))
+    return count_with_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (op1_warc, op2_bpe, op3_toxicity, op4_secrets, op5_quality, op6_pii, op7_decontaminate, op8_licenses, op9_near_dedup, op10_token_counts, pipeline)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+#: None of the ten can be expressed in DuckDB's SQL (hashes, automata, trained models, merges); tests/llm compares them with brute force.
 ORACLE_SQL: dict[str, str] = {}
