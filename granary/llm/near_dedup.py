@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .components import components
+from ..operators.graph import components
 from .rows import Shingler, map_rows, mix
 
 #: Nodes up to this number (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
