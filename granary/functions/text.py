@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def _exact(text: str | None) -> str | None:
     return None if text is None else " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_text_exact(text: pd.Series) -> pd.Series:
     """NFKC, white space to single spaces, trimmed, case-folded: needs Unicode tables that SQL lacks."""
     return text.map(_exact, na_action="ignore")
@@ -66,7 +67,7 @@ def token_cap(chars: Column, per_char: float, reserve: int, least: int, most: in
 
 def retry_seed(seed: Column, turn: Column, stride: int) -> Column:
     """(seed + turn * stride) modulo 2^64, in decimals: a long would overflow."""
-    return F.pmod(seed.cast("decimal(30,0)") + turn.cast("decimal(30,0)") * stride, F.lit(2**64).cast("decimal(30,0)")).cast("decimal(20,0)")
+    return F.pmod(seed.cast("decimal(30,0)") + turn.cast("decimal(30,0)") * stride, F.lit(str(2**64)).cast("decimal(30,0)")).cast("decimal(20,0)")
 
 
 def contained_path(path: Column) -> Column:

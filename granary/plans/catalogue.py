@@ -1,4 +1,449 @@
-"""The registered queries and their SQL for cross-checks."""
+"""The registered queries on the driver's tables, and SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``samples`` is the documents with their labels in the shape of a manifest; scores are
+hashes of ids, moved up for positives.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.audio import crop_pad
+from ..functions.text import hash_fraction, normalize_text, text_identity
+from ..operators import graph, metrics, rag, reports, rules, selection
+from ..session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def samples(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    c = F.col
+    return docs.join(labels, "doc_id", "left").select(
+        "doc_id", F.concat(F.lit("doc_"), "doc_id").alias("sample_id"), c("lang").alias("language"), c("source").alias("source_dataset"),
+        F.when(c("toxic") == 1, "synthetic").otherwise("real").alias("label"), F.concat(F.lit("spk_"), F.floor(c("doc_id") / 3)).alias("speaker_id"),
+        "n_chars", "text", "quality", "toxic",
+    )
+
+
+def scored(spark: SparkSession, sf: str) -> DataFrame:
+    own = samples(spark, sf).where("toxic is not null")
+    score = F.round(0.7 * hash_fraction(F.concat(F.lit("score:"), "doc_id")) + 0.3 * F.col("toxic"), 2)
+    return own.select("doc_id", "language", F.col("source_dataset").alias("source"), F.col("toxic").cast("int").alias("y"), score.alias("score"))
+
+
+# --- shared SQL -----------------------------------------------------------------------------
+FRACTION = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0)"
+SAMPLES = """samples AS (SELECT d.doc_id, 'doc_' || d.doc_id AS sample_id, d.lang AS language, d.source AS source_dataset, CASE WHEN l.toxic = 1 THEN 'synthetic' ELSE 'real' END AS label,
+ 'spk_' || (d.doc_id // 3) AS speaker_id, d.n_chars, d.text, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"""
+SCORED = f"{SAMPLES}, scored AS (SELECT doc_id, language, source_dataset AS source, toxic AS y, round(0.7 * {FRACTION.format("'score:' || doc_id")} + 0.3 * toxic, 2) AS score FROM samples WHERE toxic IS NOT NULL)"
+POINTS = """by_score AS (SELECT kind, key, score, sum(y) AS p, sum(1 - y) AS n FROM sliced GROUP BY ALL),
+ pts AS (SELECT *, sum(p) OVER s AS pos, sum(n) OVER s AS neg, count(*) OVER s AS u, min(score) OVER s AS lo, max(score) OVER s AS hi, sum(p) OVER d AS tp, sum(n) OVER d AS fp FROM by_score
+  WINDOW s AS (PARTITION BY kind, key), d AS (PARTITION BY kind, key ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ roc AS (SELECT *, tp::DOUBLE / nullif(pos, 0) AS tpr, fp::DOUBLE / nullif(neg, 0) AS fpr FROM pts),
+ roc2 AS (SELECT *, lag(tpr, 1, 0) OVER w AS tpr0, lag(fpr, 1, 0) OVER w AS fpr0 FROM roc WINDOW w AS (PARTITION BY kind, key ORDER BY score DESC))"""
+METRICS = f"""{POINTS},
+ agg AS (SELECT kind, key, first(pos) AS pos, first(neg) AS neg, first(u) AS u, first(lo) AS lo, first(hi) AS hi, sum((fpr - fpr0) * (tpr + tpr0) / 2) AS auc,
+  arg_max(CASE WHEN fpr + tpr - 1 = 0 THEN fpr ELSE fpr0 + (fpr - fpr0) * (1 - fpr0 - tpr0) / nullif(fpr + tpr - fpr0 - tpr0, 0) END, score) FILTER (fpr + tpr - 1 >= 0) AS eer,
+  arg_max(CASE WHEN tpr = tpr0 THEN fpr ELSE fpr0 + (fpr - fpr0) * (0.95 - tpr0) / (tpr - tpr0) END, score) FILTER (tpr >= 0.95) AS f95 FROM roc2 GROUP BY kind, key),
+ st AS (SELECT *, CASE WHEN pos = 0 OR neg = 0 THEN 'undefined_single_class' WHEN u = 1 THEN 'degenerate_constant_scores' ELSE 'ok' END AS status FROM agg)
+SELECT kind, key, (pos + neg)::BIGINT AS n, status, CASE WHEN status = 'ok' THEN round(auc, 6) END AS roc_auc, CASE WHEN status = 'ok' THEN round(eer, 6) END AS eer,
+ CASE WHEN status = 'ok' THEN round(f95, 6) END AS fpr_at_tpr95, CASE WHEN pos > 0 AND neg > 0 THEN u END AS unique_scores, CASE WHEN pos > 0 AND neg > 0 THEN lo END AS score_min, CASE WHEN pos > 0 AND neg > 0 THEN hi END AS score_max FROM st"""
+
+
+def sliced(*columns: str) -> str:
+    parts = ["SELECT 'overall' AS kind, 'all' AS key, y, score FROM scored", *(f"SELECT '{c}', coalesce({c}, 'unknown'), y, score FROM scored" for c in columns)]
+    return f"{SCORED}, sliced AS ({' UNION ALL '.join(parts)})"
+
+
+# --- detection metrics ----------------------------------------------------------------------
+@query(f"WITH {sliced()}, {METRICS}")
+def detection_metrics_overall(spark, sf):
+    return metrics.detection_metrics(metrics.slices(scored(spark, sf)))
+
+
+@query(f"WITH {sliced('language')}, {METRICS}")
+def detection_metrics_by_language(spark, sf):
+    return metrics.detection_metrics(metrics.slices(scored(spark, sf), "language"))
+
+
+@query(f"WITH {sliced('source')}, {METRICS}")
+def detection_metrics_by_source(spark, sf):
+    return metrics.detection_metrics(metrics.slices(scored(spark, sf), "source"))
+
+
+@query(
+    f"""WITH {sliced('language')}, {POINTS}, gaps AS (SELECT *, abs(fpr - (1 - tpr)) AS gap FROM roc WHERE pos > 0 AND neg > 0 AND u > 1)
+SELECT kind, key, score AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM gaps QUALIFY row_number() OVER (PARTITION BY kind, key ORDER BY gap, score DESC) = 1"""
+)
+def eer_threshold(spark, sf):
+    return metrics.eer_threshold(metrics.slices(scored(spark, sf), "language"))
+
+
+@query(
+    f"""WITH {sliced('language')} SELECT kind, key, count(*) FILTER (y = 0 AND score < 0.5) AS tn, count(*) FILTER (y = 0 AND score >= 0.5) AS fp,
+ count(*) FILTER (y = 1 AND score < 0.5) AS fn, count(*) FILTER (y = 1 AND score >= 0.5) AS tp FROM sliced GROUP BY kind, key"""
+)
+def confusion_at_threshold(spark, sf):
+    return metrics.confusion(metrics.slices(scored(spark, sf), "language"), 0.5)
+
+
+@query(f"WITH {SCORED}, keys AS (SELECT DISTINCT source AS key FROM scored WHERE y = 1), sliced AS (SELECT 'source' AS kind, k.key, s.y, s.score FROM keys k JOIN scored s ON s.y = 0 OR s.source = k.key), {METRICS}")
+def slices_with_all_real(spark, sf):
+    return metrics.detection_metrics(metrics.with_all_negatives(scored(spark, sf), "source"))
+
+
+@query(
+    """WITH e AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), p AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 10 = 0), pc AS (SELECT doc_id, count(*) AS c FROM p GROUP BY 1)
+SELECT coalesce(e.doc_id, pc.doc_id) AS doc_id, CASE WHEN pc.doc_id IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'extra' ELSE 'duplicate' END AS problem
+FROM e FULL JOIN pc ON e.doc_id = pc.doc_id WHERE pc.doc_id IS NULL OR e.doc_id IS NULL OR pc.c > 1"""
+)
+def prediction_coverage(spark, sf):
+    """Every even document is expected; every label predicts, those of ids ending in 0 twice."""
+    docs, labels = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id", F.lit(0.5).alias("score"))
+    return metrics.coverage(docs.where("doc_id % 2 = 0"), labels.unionByName(labels.where("doc_id % 10 = 0")), "doc_id")
+
+
+# --- identity -------------------------------------------------------------------------------
+NORMAL = "replace(lower(trim(regexp_replace(text, '[\\s\\x{85}\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g'))), 'ß', 'ss')"
+IDENTITY = f"ids AS (SELECT doc_id, lang, source, {NORMAL} AS norm, 'text_' || lang || '_' || substr(sha256(lang || chr(0) || {NORMAL}), 1, 20) AS text_id FROM documents)"
+
+
+def identities(spark, sf):
+    norm = normalize_text("text")
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", norm.alias("norm")).withColumn("text_id", text_identity(F.col("lang"), F.col("norm")))
+
+
+@query(f"WITH {IDENTITY} SELECT doc_id, text_id, sha256(norm) AS norm_sha256 FROM ids")
+def text_identities(spark, sf):
+    return identities(spark, sf).select("doc_id", "text_id", F.sha2("norm", 256).alias("norm_sha256"))
+
+
+@query(f"WITH {IDENTITY} SELECT text_id, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids, count(*) AS n FROM ids GROUP BY 1 HAVING count(*) > 1")
+def duplicate_groups(spark, sf):
+    own = reports.duplicate_groups(identities(spark, sf), "text_id", "doc_id")
+    return own.select("text_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n")
+
+
+@query(
+    f"""WITH {IDENTITY}, g AS (SELECT text_id, arg_min(norm, doc_id) AS norm, arg_min(lang, doc_id) AS language, arg_min(source, doc_id) AS split, string_agg('doc_' || doc_id, ',' ORDER BY doc_id) AS ids,
+ count(DISTINCT source) > 1 AS conflict FROM ids GROUP BY 1) SELECT text_id, sha256(norm) AS norm_sha256, language, split, ids, conflict FROM g"""
+)
+def inventory_first_wins(spark, sf):
+    rows = identities(spark, sf).select("text_id", F.col("norm").alias("normalized_text"), F.col("lang").alias("language"), F.col("source").alias("split"), F.concat(F.lit("doc_"), "doc_id").alias("sample_id"), "doc_id")
+    return selection.inventory(rows, "doc_id").select("text_id", F.sha2("normalized_text", 256).alias("norm_sha256"), "language", "split", F.array_join("source_sample_ids", ",").alias("ids"), "conflict")
+
+
+# --- groups and splits ----------------------------------------------------------------------
+def grouped(spark, sf):
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("doc_"), "doc_id").alias("sample_id"), F.concat(F.lit("speaker:"), F.floor(F.col("doc_id") / 3)).alias("s"), F.concat(F.lit("text:"), F.sha2("text", 256)).alias("t"))
+    return graph.group_samples(docs, docs.select("sample_id", F.explode(F.array("s", "t")).alias("token")))
+
+
+GROUPS = """RECURSIVE t AS (SELECT 'doc_' || doc_id AS sample_id, unnest(['s:' || (doc_id // 3), 't:' || sha256(text)]) AS token FROM documents),
+ h AS (SELECT token, min(sample_id) AS hub FROM t GROUP BY 1), e AS (SELECT DISTINCT sample_id AS a, hub AS b FROM t JOIN h USING (token) UNION SELECT DISTINCT hub, sample_id FROM t JOIN h USING (token)),
+ r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a), g AS (SELECT id AS sample_id, min(reach) AS component FROM r GROUP BY 1)"""
+
+
+@query(f"WITH {GROUPS} SELECT component, count(*) AS n FROM g GROUP BY 1")
+def component_sizes(spark, sf):
+    return grouped(spark, sf).groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+
+
+SPLITS = f"""{GROUPS}, k AS (SELECT component, {FRACTION.format("'42:' || string_agg(sample_id, '|' ORDER BY sample_id)")} AS f FROM g GROUP BY 1),
+ s AS (SELECT g.sample_id, g.component, CASE WHEN k.f < 0.7 THEN 'train' WHEN k.f < 0.7 + 0.15 THEN 'val' ELSE 'test' END AS split FROM g JOIN k USING (component))"""
+
+
+def split_rows(spark, sf):
+    return graph.assign_splits(grouped(spark, sf), seed=42, train=0.7, validation=0.15)
+
+
+@query(f"WITH {SPLITS} SELECT * FROM s")
+def assign_splits(spark, sf):
+    return split_rows(spark, sf)
+
+
+@query(f"WITH {SPLITS}, {SAMPLES} SELECT split, count(*) AS n, count(DISTINCT label) AS classes, count(*) FILTER (label = 'synthetic') AS synthetic FROM s JOIN samples USING (sample_id) GROUP BY 1")
+def split_class_presence(spark, sf):
+    own = split_rows(spark, sf).join(samples(spark, sf).select("sample_id", "label"), "sample_id")
+    return own.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("classes"), F.count_if(F.col("label") == "synthetic").alias("synthetic"))
+
+
+@query(
+    f"""WITH {SPLITS}, {SAMPLES}, v AS (SELECT split, unnest([{{'c': 'speaker_id', 'v': speaker_id}}, {{'c': 'source_dataset', 'v': source_dataset}}, {{'c': 'text_sha256', 'v': sha256(text)}}]) AS x FROM s JOIN samples USING (sample_id)),
+ p AS (SELECT x.c AS col, x.v, bool_or(split = 'train') AS a, bool_or(split = 'val') AS b, bool_or(split = 'test') AS c FROM v GROUP BY ALL)
+SELECT col, count(*) FILTER (a AND b) AS train_val, count(*) FILTER (a AND c) AS train_test, count(*) FILTER (b AND c) AS val_test FROM p GROUP BY 1"""
+)
+def leakage_audit(spark, sf):
+    own = split_rows(spark, sf).join(samples(spark, sf).withColumn("text_sha256", F.sha2("text", 256)), "sample_id")
+    return graph.overlap(own, ["speaker_id", "source_dataset", "text_sha256"])
+
+
+@query(f"WITH {SPLITS}, {SAMPLES} SELECT split, label, round(quantile_cont(n_chars / 15.0, 0.5), 6) AS median FROM s JOIN samples USING (sample_id) GROUP BY ALL")
+def duration_medians(spark, sf):
+    own = split_rows(spark, sf).join(samples(spark, sf), "sample_id").groupBy("split", "label")
+    return own.agg(F.round(F.percentile(F.col("n_chars") / 15.0, 0.5), 6).alias("median"))
+
+
+@query("SELECT DISTINCT conv_id * 1000 + turn AS id, conv_id * 1000 + min(turn) OVER (PARTITION BY conv_id) AS root, (turn - min(turn) OVER (PARTITION BY conv_id))::BIGINT AS depth, 'ok' AS status FROM conversations")
+def lineage_closure(spark, sf):
+    """Each turn's parent is the turn before."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn").distinct()
+    rows = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.when(F.col("turn") > 0, F.col("conv_id") * 1000 + F.col("turn") - 1).alias("parent"))
+    return graph.lineage(rows)
+
+
+# --- selection ------------------------------------------------------------------------------
+@query("SELECT source, doc_id, running FROM (SELECT source, doc_id, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM documents) WHERE running <= 20000")
+def duration_budget(spark, sf):
+    return selection.budget(table(spark, sf, "documents"), "n_chars", "doc_id", 20000, by="source").select("source", "doc_id", "running")
+
+
+@query("SELECT doc_id, running FROM (SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM documents) WHERE running <= 400000")
+def global_budget(spark, sf):
+    return selection.budget(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 400000).select("doc_id", "running")
+
+
+@query("SELECT lang AS language, doc_id, rn FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INTEGER AS rn FROM documents WHERE lang IN ('en', 'de', 'fr') AND length(text) <= 2000) WHERE rn <= 25")
+def topk_texts_per_language(spark, sf):
+    docs = table(spark, sf, "documents").withColumnRenamed("lang", "language")
+    return selection.top_k(selection.text_filter(docs, ["en", "de", "fr"], 2000), "language", "doc_id", 25).select("language", "doc_id", "rn")
+
+
+@query("SELECT doc_id AS id, 'documents' AS origin FROM documents WHERE lang IN ('de', 'fr') AND source IN ('src0', 'src1') UNION ALL SELECT page_id, 'pages' FROM pages WHERE url LIKE 'https://%'")
+def source_filters_union(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("language"), F.col("source").alias("source_id"))
+    own = selection.canonical_filter(docs, {"language": ["de", "fr"], "source_id": ["src0", "src1"]}).select(F.col("doc_id").alias("id"), F.lit("documents").alias("origin"))
+    return own.unionByName(table(spark, sf, "pages").where(F.col("url").startswith("https://")).select(F.col("page_id").alias("id"), F.lit("pages").alias("origin")))
+
+
+def flagged(spark, sf):
+    """Synthetic rows with gates and flags by id; the quality label is a three-valued flag."""
+    gate = F.element_at(F.array(*map(F.lit, ("pass", "warning", "fail"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return samples(spark, sf).withColumns({"quality_gate": gate, "training_eligible": F.col("quality") == 1, "diagnostic_only": F.when(F.col("doc_id") % 4 == 0, None).otherwise(F.col("doc_id") % 5 == 0), "intended_role": F.when(F.col("doc_id") % 7 == 0, "validation").otherwise("train")})
+
+
+FLAGGED = f"{SAMPLES}, f AS (SELECT *, ['pass', 'warning', 'fail'][doc_id % 3 + 1] AS gate, quality = 1 AS eligible, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE doc_id % 5 = 0 END AS diag, CASE WHEN doc_id % 7 = 0 THEN 'validation' ELSE 'train' END AS role FROM samples)"
+
+
+@query(f"WITH {FLAGGED} SELECT doc_id FROM f WHERE label = 'synthetic' AND gate = 'pass' AND eligible IS TRUE AND diag IS FALSE AND role = 'train'")
+def eligibility_compose(spark, sf):
+    return flagged(spark, sf).where(selection.compose_eligible()).select("doc_id")
+
+
+@query(f"WITH {FLAGGED} SELECT doc_id FROM f WHERE label = 'real' OR (eligible IS TRUE AND gate IN ('pass', 'warning') AND diag IS NOT TRUE)")
+def eligibility_training(spark, sf):
+    return flagged(spark, sf).where(selection.training_eligible()).select("doc_id")
+
+
+ROLE = "['train', 'validation', 'unseen_test', 'external_challenge', NULL][doc_id % 5 + 1]"
+
+
+@query(
+    f"""WITH r AS (SELECT doc_id, {ROLE} AS role, ['train', 'val', 'test'][doc_id % 3 + 1] AS split FROM documents) SELECT split, role, count(*) AS n FROM r
+WHERE role = 'external_challenge' OR (split = 'train' AND role <> 'train') OR (split = 'val' AND role NOT IN ('train', 'validation')) GROUP BY ALL"""
+)
+def role_violations(spark, sf):
+    pick = lambda xs, m: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % m + 1).cast("int"))
+    rows = table(spark, sf, "documents").select(pick(("train", "validation", "unseen_test", "external_challenge", None), 5).alias("role"), pick(("train", "val", "test"), 3).alias("split"))
+    return rows.where(rules.role_problem(F.col("role"), F.col("split"))).groupBy("split", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {SAMPLES}, f AS (SELECT *, CASE WHEN doc_id % 11 = 0 THEN 'bad id' ELSE sample_id END AS sid, CASE WHEN label = 'synthetic' AND doc_id % 2 = 0 THEN 'g1' WHEN label = 'real' AND doc_id % 13 = 0 THEN 'g2' END AS gen,
+ CASE WHEN doc_id % 17 = 0 THEN '/abs' ELSE 'rel' END AS path, CASE WHEN doc_id % 19 = 0 THEN 'TODO later' ELSE 'cc' END AS license FROM samples)
+SELECT 'id_pattern' AS rule, sid AS key FROM f WHERE NOT regexp_full_match(sid, '[a-zA-Z0-9_-]+') UNION ALL SELECT 'V1', sid FROM f WHERE (label = 'synthetic' AND gen IS NULL) OR (label = 'real' AND gen IS NOT NULL)
+UNION ALL SELECT 'V16', sid FROM f WHERE path LIKE '/%' UNION ALL SELECT 'V10', sid FROM f WHERE license LIKE 'TODO%'
+UNION ALL SELECT 'V8', sid FROM f GROUP BY sid HAVING count(*) > 1"""
+)
+def rule_violations(spark, sf):
+    i = F.col("doc_id")
+    rows = samples(spark, sf).withColumns({
+        "sample_id": F.when(i % 11 == 0, "bad id").otherwise(F.col("sample_id")),
+        "generator_id": F.when((F.col("label") == "synthetic") & (i % 2 == 0), "g1").when((F.col("label") == "real") & (i % 13 == 0), "g2"),
+        "path": F.when(i % 17 == 0, "/abs").otherwise("rel"), "license": F.when(i % 19 == 0, "TODO later").otherwise("cc"),
+    })
+    own = rules.row_rules(rows.columns, languages=("en", "de", "fr", "es"))
+    return rules.violations(rows, own).unionByName(rules.duplicate_keys(rows))
+
+
+# --- reports --------------------------------------------------------------------------------
+@query(
+    f"""WITH {SAMPLES}, v AS (SELECT unnest([{{'f': 'language', 'v': language}}, {{'f': 'label', 'v': label}}, {{'f': 'quality', 'v': quality::VARCHAR}}]) AS x FROM samples)
+SELECT x.f AS field, coalesce(nullif(nullif(x.v, ''), '0'), 'unknown') AS value, count(*) AS n FROM v GROUP BY ALL"""
+)
+def dataset_report_distributions(spark, sf):
+    return reports.distribution(samples(spark, sf), "language", "label", "quality")
+
+
+@query("SELECT lang AS language, sum(n_chars)::BIGINT AS chars, count(DISTINCT source) AS sources FROM documents GROUP BY 1")
+def duration_by_language(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.col("lang").alias("language")).agg(F.sum(F.coalesce("n_chars", F.lit(0))).alias("chars"), F.count_distinct("source").alias("sources"))
+
+
+@query(
+    f"""WITH {SAMPLES} SELECT 'quality' AS field, greatest(count(*) FILTER (doc_id % 6 = 0), count(*) FILTER (quality IS NULL)) AS n FROM samples
+UNION ALL SELECT 'speaker_id', greatest(count(*) FILTER (doc_id % 9 = 0), count(*) FILTER (speaker_id IS NULL)) FROM samples"""
+)
+def missing_metadata(spark, sf):
+    named = F.array_compact(F.array(F.when(F.col("doc_id") % 6 == 0, "quality"), F.when(F.col("doc_id") % 9 == 0, "speaker_id")))
+    return reports.missing_metadata(samples(spark, sf).withColumn("missing_metadata", named), ["quality", "speaker_id"])
+
+
+@query(
+    """SELECT CASE WHEN GROUPING(event_type) = 0 THEN 'event_type' WHEN GROUPING(bucket) = 0 THEN 'bucket' ELSE 'user_group' END AS dimension,
+ CASE WHEN GROUPING(event_type) = 0 THEN coalesce(event_type, 'default') WHEN GROUPING(bucket) = 0 THEN coalesce(bucket, 'default') ELSE coalesce(user_group, 'default') END AS value, count(*) AS n, sum(cents)::BIGINT AS amount
+FROM (SELECT event_type, CASE WHEN value > 50 THEN 'high' END AS bucket, (user_id % 7)::VARCHAR AS user_group, floor(coalesce(value, 0))::BIGINT AS cents FROM events) GROUP BY GROUPING SETS ((event_type), (bucket), (user_group))"""
+)
+def dimension_counts(spark, sf):
+    dims = {"event_type": F.col("event_type"), "bucket": F.when(F.col("value") > 50, "high"), "user_group": F.col("user_id") % 7}
+    return reports.dimension_counts(table(spark, sf, "events"), dims, F.floor(F.coalesce("value", F.lit(0.0))).cast("long"))
+
+
+@query("SELECT o_orderstatus AS status, count(*) FILTER (o_totalprice > 100000) AS large, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = 'none') AS none FROM orders GROUP BY 1")
+def conditional_counts(spark, sf):
+    c = F.col
+    return table(spark, sf, "orders").groupBy(c("o_orderstatus").alias("status")).agg(F.count_if(c("o_totalprice") > 100000).alias("large"), F.count_if(c("o_orderpriority") == "1-URGENT").alias("urgent"), F.count_if(c("o_orderpriority") == "none").alias("none"))
+
+
+@query(
+    """WITH g AS (SELECT * FROM (VALUES ('g1', 'train', 'en', 'v1'), ('g1', 'train', 'en', 'v2'), ('g2', 'unseen_test', 'de', NULL), ('g2', 'unseen_test', 'en', NULL), ('g3', 'validation', 'de', 'v3')) t(gid, role, lang, voice)),
+ t AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'de' END AS lang, ['train', 'val', 'test'][item_id % 3 + 1] AS split, 'text_' || substr(sha256(text), 1, 20) AS text_id FROM benchmark),
+ j AS (SELECT gid AS generator_id, t.lang AS language, text_id, voice AS voice_id, '{"generator_id":"' || gid || '","language":"' || t.lang || '","text_id":"' || text_id || '","voice_id":' || coalesce('"' || voice || '"', 'null') || '}' AS payload
+  FROM t JOIN g ON g.lang = t.lang WHERE role = 'train' OR (role = 'validation' AND split IN ('val', 'test')) OR (role = 'unseen_test' AND split = 'test'))
+SELECT 'job_' || substr(sha256(payload), 1, 24) AS job_id, generator_id, language, text_id, voice_id, ('0x' || substr(sha256(payload), 1, 16))::UBIGINT::VARCHAR AS seed FROM j"""
+)
+def job_plan(spark, sf):
+    texts = table(spark, sf, "benchmark").select(
+        F.when(F.col("item_id") % 2 == 0, "en").otherwise("de").alias("language"), F.element_at(F.array(*map(F.lit, ("train", "val", "test"))), (F.col("item_id") % 3 + 1).cast("int")).alias("split"),
+        F.concat(F.lit("text_"), F.substring(F.sha2("text", 256), 1, 20)).alias("text_id"),
+    )
+    generators = spark.createDataFrame([("g1", "train", ["en"], ["v1", "v2"]), ("g2", "unseen_test", ["de", "en"], None), ("g3", "validation", ["de"], ["v3"])], "generator_id string, role string, languages array<string>, voices array<string>")
+    jobs = reports.job_plan(texts, generators, ["generator_id", "language", "text_id", "voice_id"], rules.role_accepts_split(F.col("role"), F.col("split")))
+    return jobs.select("job_id", "generator_id", "language", "text_id", "voice_id", F.col("seed").cast("string").alias("seed"))
+
+
+@query(
+    """WITH r AS (SELECT l_orderkey AS k, max(l_linenumber) <= 4 AS valid FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0)
+SELECT coalesce(p.k, r.k) AS job, CASE WHEN p.k IS NULL THEN 'unplanned' WHEN valid IS NULL THEN 'run' WHEN valid THEN 'skip' ELSE 'error_invalid' END AS action FROM p FULL JOIN r ON p.k = r.k"""
+)
+def resume_actions(spark, sf):
+    plan = table(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("job"))
+    outputs = table(spark, sf, "lineitem").where("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("job")).agg((F.max("l_linenumber") <= 4).alias("valid"))
+    return reports.resume_actions(plan, outputs, "job", "skip")
+
+
+GATES = "SELECT o_orderpriority AS p, CASE WHEN o_totalprice > 450000 AND o_orderpriority = '1-URGENT' THEN 'fail' WHEN o_totalprice < 2000 THEN 'warning' WHEN o_orderstatus = 'P' THEN 'pending' ELSE 'pass' END AS gate, o_totalprice > 1000 AS eligible, o_orderstatus = 'F' AS diagnostic, o_orderkey % 1000 = 1 AS candidate FROM orders"
+
+
+@query(
+    f"""SELECT p AS priority, CASE WHEN count(*) FILTER (gate = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (gate = 'pending') > 0 THEN 'pending' WHEN count(*) FILTER (gate = 'warning') > 0 THEN 'warning' ELSE 'passed' END AS gate,
+ bool_and(eligible) AS all_eligible, bool_and(diagnostic) AS all_diagnostic, bool_or(candidate) AS any_candidate, count(*) AS n FROM ({GATES}) GROUP BY 1"""
+)
+def quality_gate(spark, sf):
+    c = F.col
+    gate = F.when((c("o_totalprice") > 450000) & (c("o_orderpriority") == "1-URGENT"), "fail").when(c("o_totalprice") < 2000, "warning").when(c("o_orderstatus") == "P", "pending").otherwise("pass")
+    rows = table(spark, sf, "orders").select(c("o_orderpriority").alias("priority"), gate.alias("gate"), (c("o_totalprice") > 1000).alias("eligible"), (c("o_orderstatus") == "F").alias("diagnostic"), (c("o_orderkey") % 1000 == 1).alias("candidate"))
+    return reports.quality_gate(rows, "priority")
+
+
+EPOCHS = "SELECT (year(l_shipdate) * 12 + month(l_shipdate))::INTEGER AS epoch, round(count(*) FILTER (l_returnflag = 'N') / count(*)::DOUBLE, 6) AS auc, round(count(*) FILTER (l_linestatus = 'O') / count(*)::DOUBLE, 6) AS loss FROM lineitem GROUP BY 1"
+
+
+@query(
+    f"""WITH e AS ({EPOCHS}), b AS (SELECT *, coalesce(auc > max(auc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS better FROM e),
+ s AS (SELECT *, epoch - max(CASE WHEN better THEN epoch END) OVER (ORDER BY epoch ROWS UNBOUNDED PRECEDING) AS since FROM b),
+ x AS (SELECT *, coalesce(bool_or(since >= 12) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS stopped FROM s) SELECT epoch, auc, loss FROM x WHERE NOT stopped ORDER BY auc DESC, loss, epoch LIMIT 1"""
+)
+def best_epoch(spark, sf):
+    c = F.col
+    rows = table(spark, sf, "lineitem").groupBy((F.year("l_shipdate") * 12 + F.month("l_shipdate")).alias("epoch"))
+    n = F.count(F.lit(1))
+    return reports.best_epoch(rows.agg(F.round(F.count_if(c("l_returnflag") == "N") / n, 6).alias("auc"), F.round(F.count_if(c("l_linestatus") == "O") / n, 6).alias("loss")), 12)
+
+
+# --- answers --------------------------------------------------------------------------------
+def answers(spark, sf):
+    """User turns with the next turn as the answer, for two runs; expectations and citations follow from ids."""
+    c = F.col
+    turns = table(spark, sf, "conversations").withColumn("answer", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    cases = turns.where("role = 'user' AND answer IS NOT NULL").withColumn("run_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    i = c("conv_id") + c("turn")
+    cite = lambda *xs: F.array(*(F.struct(F.lit("d").alias("document_id"), x.cast("string").alias("section")) for x in xs))
+    return cases.select(
+        F.concat_ws("-", "conv_id", "turn").alias("case_id"), "run_id", (5 + i % 7 + F.when(c("run_id") == "b", 3).otherwise(0)).cast("double").alias("latency_ms"),
+        F.when((c("run_id") == "b") & (i % 4 == 0), "").otherwise(c("answer")).alias("answer"), F.substring("answer", 3, 9).alias("expected_answer"),
+        cite(i % 3, i % 5).alias("expected"), F.when(c("run_id") == "a", cite(i % 3)).otherwise(cite(i % 5, i % 2 + 9)).alias("given"), F.array(F.lit("THE "), F.lit("zzz")).alias("forbidden_claims"),
+        F.when(i % 6 == 0, "version_awareness").otherwise("other").alias("category"), F.when(i % 2 == 0, "en").otherwise("de").alias("question_language"), F.array(F.lit("en")).alias("document_languages"),
+    )
+
+
+ANSWERS = """turns AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ans FROM conversations),
+ cases AS (SELECT *, conv_id + turn AS i, unnest(['a', 'b']) AS run_id FROM turns WHERE role = 'user' AND ans IS NOT NULL),
+ c2 AS (SELECT conv_id || '-' || turn AS case_id, run_id, i, (5 + i % 7 + CASE WHEN run_id = 'b' THEN 3 ELSE 0 END)::DOUBLE AS latency_ms, CASE WHEN run_id = 'b' AND i % 4 = 0 THEN '' ELSE ans END AS answer, substr(ans, 3, 9) AS want,
+  list_distinct([i % 3, i % 5]) AS e, list_distinct(CASE WHEN run_id = 'a' THEN [i % 3] ELSE [i % 5, i % 2 + 9] END) AS g FROM cases),
+ c3 AS (SELECT *, contains(trim(regexp_replace(replace(lower(answer), 'ё', 'е'), '\\s+', ' ', 'g')), trim(regexp_replace(replace(lower(want), 'ё', 'е'), '\\s+', ' ', 'g')))::INT::DOUBLE AS ok, len(list_intersect(e, g))::DOUBLE AS hit FROM c2),
+ sc AS (SELECT case_id, run_id, latency_ms, ok AS answer_correctness, hit / len(g) AS citation_precision, hit / len(e) AS citation_completeness,
+  (contains(lower(answer), 'the ') OR contains(lower(answer), 'zzz') OR len(list_filter(g, lambda x: NOT list_contains(e, x))) > 0)::INT::DOUBLE AS hallucination_rate,
+  CASE WHEN i % 6 = 0 THEN hit / len(e) END AS version_awareness, CASE WHEN i % 2 <> 0 THEN ok END AS cross_language_score FROM c3)"""
+
+
+@query(f"WITH {ANSWERS} SELECT case_id, run_id, latency_ms, answer_correctness, round(citation_precision, 6) AS citation_precision, round(citation_completeness, 6) AS citation_completeness, hallucination_rate, round(version_awareness, 6) AS version_awareness, cross_language_score FROM sc")
+def rag_case_scores(spark, sf):
+    own = rag.score_cases(answers(spark, sf))
+    return own.withColumns({c: F.round(c, 6) for c in ("citation_precision", "citation_completeness", "version_awareness")})
+
+
+@query(
+    f"""WITH {ANSWERS}, m AS (SELECT run_id, unnest([{{'m': 'answer_correctness', 'v': avg(answer_correctness)}}, {{'m': 'hallucination_rate', 'v': avg(hallucination_rate)}}, {{'m': 'cross_language_score', 'v': avg(cross_language_score)}}]) AS x FROM sc GROUP BY 1)
+SELECT run_id, x.m AS metric, round(x.v, 3) AS value FROM m UNION ALL SELECT run_id, 'latency_p50_ms', list_sort(list(latency_ms))[(count(*) - 1) // 2 + 1] FROM sc GROUP BY 1
+UNION ALL SELECT run_id, 'latency_p95_ms', list_sort(list(latency_ms))[least(count(*) - 1, floor(count(*) * 0.95)::BIGINT) + 1] FROM sc GROUP BY 1"""
+)
+def rag_aggregate(spark, sf):
+    own = rag.aggregate(rag.score_cases(answers(spark, sf)))
+    return own.where(F.col("metric").isin("answer_correctness", "hallucination_rate", "cross_language_score", "latency_p50_ms", "latency_p95_ms")).withColumn("value", F.round("value", 3))
+
+
+@query(f"WITH {ANSWERS} SELECT a.case_id, a.answer_correctness AS first, b.answer_correctness AS second FROM sc a JOIN sc b USING (case_id) WHERE a.run_id = 'a' AND b.run_id = 'b' AND a.answer_correctness <> b.answer_correctness")
+def rag_compare(spark, sf):
+    return rag.compare(rag.score_cases(answers(spark, sf)), "a", "b")
+
+
+@query("SELECT event_type AS key, count(value) AS n, list_sort(list(value))[(count(value) - 1) // 2 + 1] AS p50, list_sort(list(value))[least(count(value) - 1, floor(count(value) * 0.95)::BIGINT) + 1] AS p95 FROM events WHERE value IS NOT NULL GROUP BY 1")
+def latency_percentiles(spark, sf):
+    return rag.latency_percentiles(table(spark, sf, "events").select(F.col("event_type").alias("key"), "value"))
+
+
+# --- arrays and files -----------------------------------------------------------------------
+@query("SELECT vec_id, round(list_sum([x::DOUBLE for x in embedding[(len(embedding) - 8) // 2 + 1:(len(embedding) - 8) // 2 + 8]]), 4) AS cropped, len(embedding) AS size FROM embeddings")
+def crop_pad_vectors(spark, sf):
+    own = crop_pad(F.col("embedding"), 8)
+    return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(own, F.lit(0.0), lambda a, x: a + x), 4).alias("cropped"), F.size("embedding").cast("long").alias("size"))
+
+
+@query("SELECT page_id, sha256(html) AS digest, strlen(html) AS bytes FROM pages")
+def page_digests(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
+
+
+@query("SELECT md5(string_agg(doc_id::VARCHAR || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM (SELECT * FROM documents WHERE source = 'src3')")
+def multi_digest(spark, sf):
+    """One digest over names and contents in order, of one source's files."""
+    rows = table(spark, sf, "documents").where("source = 'src3'")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("s")))), lambda x: F.concat_ws(":", x["doc_id"], x["s"]))
+    return rows.agg(F.md5(F.array_join(lines, "\n")).alias("digest"), F.count(F.lit(1)).alias("n"))
