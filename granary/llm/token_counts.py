@@ -109,7 +109,10 @@ class Tree:
                 break
             margin *= 4
         new = [self._leaf(pieces[i : i + LEAF]) for i in range(0, len(pieces), LEAF)]
-        self.root = self._replace(self.root, 0, low, high, new) or self._leaf([])
+        if size == 0:
+            self.root = self._join(new or [self._leaf([])])
+        else:
+            self.root = self._replace(self.root, 0, low, high, new) or self._leaf([])
 
     @staticmethod
     def _settled(old: list[str], new: list[str], before: int, after: int, first: bool, last: bool) -> bool:
