@@ -4,7 +4,8 @@ Lower-cased texts are read as UTF-8 bytes, each run of other bytes than ASCII le
 non-ASCII letters counting as one space, and hashed into ``2 ** bits`` buckets for each n of
 ``sizes``. A feature is a bucket's presence in a text. For each bucket the log-count ratio r
 of the two classes is estimated with one document of smoothing; buckets whose ratio is not
-significant (``z`` standard errors) get weight 0, the others enter a logistic regression as
+significant (``z`` standard errors), or not among the ``max_features`` most significant, get
+weight 0, the others enter a logistic regression as
 r, so that the weight of a bucket is its r times a learned coefficient. A row of the rarer
 class counts by the fourth root of the classes' ratio.
 
@@ -39,6 +40,7 @@ class Settings:
     folds: int = 5
     l2: float = 1e-4
     rounds: int = 800
+    max_features: int = 4_000
 
 
 def buckets(text: str, settings: Settings) -> np.ndarray:
@@ -102,16 +104,20 @@ def train(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     ratio = F.log(p / (n[1] + 1)) - F.log(q / (n[0] + 1))
     error = F.sqrt(1 / p + 1 / q - F.lit(1 / (n[1] + 1) + 1 / (n[0] + 1)))
     kept = sums.where((F.col("p") + F.col("q") > 4) & (F.abs(ratio) > settings.z * error)).select("f", ratio.alias("r"), (F.abs(ratio) / error).alias("z"))
-    kept = kept.orderBy(F.desc("z"), "f").limit(50_000).cache()
+    kept = kept.orderBy(F.desc("z"), "f").limit(settings.max_features).cache()
     picked = kept.select("f", "r").toPandas().sort_values("f")
     index, r = picked["f"].to_numpy(np.int64), picked["r"].to_numpy()
     own = features.select("doc_id", "y", F.explode("f").alias("f")).join(F.broadcast(kept.select("f")), "f")
     table = own.groupBy("doc_id", "y").agg(F.collect_list("f").alias("f"))
-    table = known.join(table.select("doc_id", "f"), "doc_id", "left").select("y", "f").toPandas()
+    # flat Arrow columns, no Python objects: at most max_labelled lists of max_features numbers
+    table = known.join(table.select("doc_id", "f"), "doc_id", "left").select("y", F.coalesce("f", F.array().cast("array<int>")).alias("f")).toArrow()
     kept.unpersist()
-    where = np.searchsorted(index, np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in table["f"] if x is not None]]))
-    sizes = np.array([0 if x is None else len(x) for x in table["f"]])
-    beta, bias = fit(where, np.repeat(np.arange(len(table)), sizes), table["y"].to_numpy(np.float64), r, settings)
+    lists = table["f"].combine_chunks()
+    where = np.searchsorted(index, lists.flatten().to_numpy())
+    row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
+    y = table["y"].to_numpy().astype(np.float64)
+    del table, lists
+    beta, bias = fit(where, row, y, r, settings)
     weights[index] = beta * r
     return Model(settings, bias, weights)
 
