@@ -62,10 +62,10 @@ def normalised(sentence: str) -> str:
 class Recogniser:
     def __init__(self, sentences: dict[str, str], rules: tuple) -> None:
         self.known = {normalised(s): name for name, s in sentences.items()}
-        # greedy cover: few anchor words, one of them in every known sentence
+        # greedy cover: few long (so rare) anchor words, one of them in every known sentence
         rest, self.anchors = set(self.known), []
         while rest:
-            words = {w for s in rest for w in s.split() if len(w) > 2}
+            words = {w for s in rest for w in s.split() if len(w) > 6} or {w for s in rest for w in s.split()}
             best = max(sorted(words), key=lambda w: (sum(w in s.split() for s in rest), len(w)))
             self.anchors.append(best)
             rest = {s for s in rest if best not in s.split()}
