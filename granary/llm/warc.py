@@ -38,9 +38,9 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def plain_text(page: str) -> str:
-    page = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
-    lines = (BLANK.sub(" ", x).strip() for x in html.unescape(page).split("\n"))
+def plain_text(shown: str) -> str:
+    """The text of a page without its hidden parts: blocks on lines of their own, white space collapsed."""
+    lines = (" ".join(x.split()) for x in html.unescape(TAG.sub("", BREAK.sub("\n", shown))).split("\n"))
     return "\n".join(x for x in lines if x)
 
 
@@ -51,23 +51,24 @@ def one_line(text: str) -> str:
 def derive(row: dict) -> list[dict]:
     """The metadata and the conversion record of a response (a dict with the fields of ``HEADER``)."""
     payload, head = row["payload"] or "", row["http_headers"] or ""
-    raw = payload.encode("utf-8", "replace")
+    source = digest(payload.encode("utf-8", "replace"))
+    shown = HIDDEN.sub(" ", payload)
     title, lang = TITLE.search(payload), LANG.search(payload)
     fields = [("title", one_line(title[1]) if title else ""), ("languageOfPage", lang[1] if lang else "")]
-    fields += [("outlink", html.unescape(next(x for x in m.groups() if x is not None)).strip()) for m in LINK.finditer(HIDDEN.sub(" ", payload))]
+    fields += [("outlink", html.unescape(next(x for x in m.groups() if x is not None)).strip()) for m in LINK.finditer(shown)]
     fields += [(f"source-{k.strip().lower()}", v.strip()) for k, _, v in (x.partition(":") for x in head.splitlines()) if k.strip() and _]
     blocks = {
         "metadata": ("application/warc-fields", "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields if v)),
-        "conversion": ("text/plain; charset=utf-8", plain_text(payload)),
+        "conversion": ("text/plain; charset=utf-8", plain_text(shown)),
     }
     out = []
     for kind, (content_type, block) in blocks.items():
         data = block.encode("utf-8", "replace")
         out.append({
             "record_type": kind,
-            "record_id": f"<urn:uuid:{uuid.uuid5(NAMESPACE, kind + ' ' + (row['id'] or '') + ' ' + digest(raw))}>",
+            "record_id": f"<urn:uuid:{uuid.uuid5(NAMESPACE, kind + ' ' + (row['id'] or '') + ' ' + source)}>",
             "refers_to": row["id"], "refers_to_target_uri": row["target_uri"], "refers_to_date": row["date"],
-            "content_type": content_type, "content_length": len(data), "block_digest": digest(data), "source_payload_digest": digest(raw), "block": block,
+            "content_type": content_type, "content_length": len(data), "block_digest": digest(data), "source_payload_digest": source, "block": block,
         })
     return out
 
