@@ -30,7 +30,6 @@ TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", re.I)
-BLANK = re.compile(r"[ \t\r\f\v ]+")
 HEADER = "`id` string, `target_uri` string, `date` string, `http_headers` string, `payload` string"
 
 
