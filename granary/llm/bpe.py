@@ -86,8 +86,8 @@ class BacktrackingBPE:
         self.shorter = [-1] * size
         for key, i in by_key.items():
             self.shorter[i] = next((by_key[key[:n]] for n in range(len(key) - 1, 0, -1) if key[:n] in by_key), -1)
-        self.compatible = Memo(lambda pair: self._first_crossing(*pair) is None, 1_000_000)
-        self.cache = Memo(self._piece, 400_000)
+        self.compatible = Memo(lambda pair: self._first_crossing(*pair) is None, 100_000)
+        self.cache = Memo(self._piece, 150_000)
 
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         printed = [names.get(i, "").encode() for i in range(size)]

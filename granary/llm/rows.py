@@ -49,7 +49,7 @@ def pick(df: DataFrame, id_col: str, text_col: str, *, keep_null: bool = False)
 class Memo(dict):
     """A dict that computes what it lacks and starts anew at ``limit`` entries."""
 
-    def __init__(self, make: Callable, limit: int = 300_000) -> None:
+    def __init__(self, make: Callable, limit: int = 150_000) -> None:
         super().__init__()
         self.make, self.limit = make, limit
 

@@ -33,7 +33,7 @@ class Counter:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
         encoding = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(pattern).finditer
-        self.count = Memo(lambda piece: len(encoding.encode_ordinary(piece)), 400_000)
+        self.count = Memo(lambda piece: len(encoding.encode_ordinary(piece)), 200_000)
         self.whole = encoding.encode_ordinary
 
     def pieces(self, text: str) -> list[str]:
