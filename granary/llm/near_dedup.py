@@ -65,7 +65,7 @@ def sketch(shingles: np.ndarray, settings: Settings) -> np.ndarray:
         return np.zeros(0, np.int64)
     width = min(settings.width, len(shingles))
     out = np.empty(settings.hashes, np.uint64)
-    step = max(1, 2_000_000 // len(shingles))
+    step = max(1, 500_000 // len(shingles))
     for at in range(0, settings.hashes, step):
         seeds = mix(np.arange(at + 1, min(at + step, settings.hashes) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
         x = (shingles[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)

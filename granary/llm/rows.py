@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -17,26 +18,45 @@ from ..session import ship
 
 WORD = re.compile(r"\w+")
 SHINGLE = 5
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of input, by the batch's mean, from which one output batch is made.
+FLUSH_BYTES = 1_000_000
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a Python worker lives on, idle or in other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]], schema: str) -> DataFrame:
     """Applies ``make()`` (built once per task) to each row; it yields output tuples.
 
     Rows come as dicts. Output is flushed by bytes of input, so that memory stays
-    bounded with long texts.
+    bounded with long texts; for the same reason a session with Spark's default of
+    10,000 rows an Arrow batch is set to 1,000.
     """
     out = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            size = max(1, min(2000, int(2000 * 4_000_000 / max(1, batch.nbytes * 2000 / max(1, batch.num_rows)))))
-            for at in range(0, batch.num_rows, size):
-                found = [x for row in batch.slice(at, size).to_pylist() for x in step(row)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found), out, strict=True)], schema=out)
+        try:
+            for batch in batches:
+                size = max(1, min(2000, FLUSH_BYTES * batch.num_rows // max(1, batch.nbytes)))
+                for at in range(0, batch.num_rows, size):
+                    found = [x for row in batch.slice(at, size).to_pylist() for x in step(row)]
+                    if found:
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found), out, strict=True)], schema=out)
+        finally:
+            del step
+            found = batch = None
+            give_back()
 
     ship(df.sparkSession)
+    if df.sparkSession.conf.get(BATCH_ROWS) == "10000":
+        df.sparkSession.conf.set(BATCH_ROWS, "1000")
     return df.mapInArrow(run, schema)
 
 
