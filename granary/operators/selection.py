@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import cut
+
 ALLOWED = ("language", "label", "speaker_id", "source_id", "generator_id")
 
 
@@ -40,22 +42,22 @@ def compose(real: DataFrame, synthetic: DataFrame) -> DataFrame:
 def budget(rows: DataFrame, amount: str, order: str, limit: float, by: str | None = None) -> DataFrame:
     """The prefix in ``order`` whose running sum stays within ``limit``; null amounts count 0.
 
-    With ``by``, a prefix per group, each in one window partition. Without, sums per range
-    of ids are added up first, so that no task sees all rows.
+    With ``by``, a prefix per group. Rows are cut into ranges of (group, id) first and the ranges'
+    sums are added up, so no task sees a whole group, however hot. The ranges are written, as
+    sampled bounds may differ from one reading to the next: select the columns that matter before.
     """
+    keys = [by] if by else []
     value = F.coalesce(F.col(amount), F.lit(0))
-    if by:
-        w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("running", F.sum(value).over(w)).where(F.col("running") <= limit)
-    parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = rows.repartitionByRange(int(parts), order).withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ranged = ranged.withColumn("_own", F.sum(value).over(local))
-    # one row per range: at most the number of shuffle partitions
-    sums = ranged.groupBy("_part").agg(F.max("_own").alias("_sum"))
-    before = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = ranged.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn("running", F.col("_own") + F.col("_before"))
-    return out.where(F.col("running") <= limit).drop("_part", "_own", "_before")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(rows.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    # a group has at most one sum per range
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*(F.col(k).alias("_by") for k in keys), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col("_by")) for k in keys)]
+    out = ranged.withColumn("_own", F.sum(value).over(local)).join(before if by else F.broadcast(before), on)
+    return out.withColumn("running", F.col("_own") + F.col("_before")).where(F.col("running") <= limit).select(*rows.columns, "running")
 
 
 def top_k(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:

@@ -109,14 +109,14 @@ def slices_with_all_real(spark, sf):
 
 
 @query(
-    """WITH e AS (SELECT doc_id FROM documents WHERE doc_id % 2 = 0), p AS (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE doc_id % 10 = 0), pc AS (SELECT doc_id, count(*) AS c FROM p GROUP BY 1)
+    """WITH p AS (SELECT doc_id FROM labels UNION ALL SELECT o_orderkey FROM orders), pc AS (SELECT doc_id, count(*) AS c FROM p GROUP BY 1)
 SELECT coalesce(e.doc_id, pc.doc_id) AS doc_id, CASE WHEN pc.doc_id IS NULL THEN 'missing' WHEN e.doc_id IS NULL THEN 'extra' ELSE 'duplicate' END AS problem
-FROM e FULL JOIN pc ON e.doc_id = pc.doc_id WHERE pc.doc_id IS NULL OR e.doc_id IS NULL OR pc.c > 1"""
+FROM documents e FULL JOIN pc ON e.doc_id = pc.doc_id WHERE pc.doc_id IS NULL OR e.doc_id IS NULL OR pc.c > 1"""
 )
 def prediction_coverage(spark, sf):
-    """Every even document is expected; every label predicts, those of ids ending in 0 twice."""
-    docs, labels = table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels").select("doc_id", F.lit(0.5).alias("score"))
-    return metrics.coverage(docs.where("doc_id % 2 = 0"), labels.unionByName(labels.where("doc_id % 10 = 0")), "doc_id")
+    """Every document is expected; labels and orders both predict for the ids they have."""
+    named = table(spark, sf, "labels").select("doc_id").unionByName(table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id")))
+    return metrics.coverage(table(spark, sf, "documents").select("doc_id"), named.withColumn("score", F.lit(0.5)), "doc_id")
 
 
 # --- identity -------------------------------------------------------------------------------
@@ -211,7 +211,7 @@ def lineage_closure(spark, sf):
 # --- selection ------------------------------------------------------------------------------
 @query("SELECT source, doc_id, running FROM (SELECT source, doc_id, (sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM documents) WHERE running <= 20000")
 def duration_budget(spark, sf):
-    return selection.budget(table(spark, sf, "documents"), "n_chars", "doc_id", 20000, by="source").select("source", "doc_id", "running")
+    return selection.budget(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "n_chars", "doc_id", 20000, by="source").select("source", "doc_id", "running")
 
 
 @query("SELECT doc_id, running FROM (SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM documents) WHERE running <= 400000")
@@ -339,12 +339,13 @@ def job_plan(spark, sf):
 
 
 @query(
-    """WITH r AS (SELECT l_orderkey AS k, max(l_linenumber) <= 4 AS valid FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY 1), p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0)
+    """WITH r AS (SELECT l_orderkey AS k, max(l_linenumber) <= 4 AS valid FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), p AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P')
 SELECT coalesce(p.k, r.k) AS job, CASE WHEN p.k IS NULL THEN 'unplanned' WHEN valid IS NULL THEN 'run' WHEN valid THEN 'skip' ELSE 'error_invalid' END AS action FROM p FULL JOIN r ON p.k = r.k"""
 )
 def resume_actions(spark, sf):
-    plan = table(spark, sf, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("job"))
-    outputs = table(spark, sf, "lineitem").where("l_orderkey % 3 <> 0").groupBy(F.col("l_orderkey").alias("job")).agg((F.max("l_linenumber") <= 4).alias("valid"))
+    """Orders that aren't pending are planned; those with lines that weren't returned have an output."""
+    plan = table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("job"))
+    outputs = table(spark, sf, "lineitem").where("l_returnflag = 'N'").groupBy(F.col("l_orderkey").alias("job")).agg((F.max("l_linenumber") <= 4).alias("valid"))
     return reports.resume_actions(plan, outputs, "job", "skip")
 
 
@@ -441,9 +442,9 @@ def page_digests(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
 
 
-@query("SELECT md5(string_agg(doc_id::VARCHAR || ':' || sha256(text), chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM (SELECT * FROM documents WHERE source = 'src3')")
+@query("SELECT md5(string_agg(item_id::VARCHAR || ':' || sha256(text), chr(10) ORDER BY item_id)) AS digest, count(*) AS n FROM benchmark")
 def multi_digest(spark, sf):
-    """One digest over names and contents in order, of one source's files."""
-    rows = table(spark, sf, "documents").where("source = 'src3'")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("s")))), lambda x: F.concat_ws(":", x["doc_id"], x["s"]))
+    """One digest over names and contents in order, of the benchmark's items (a few hundred by nature)."""
+    rows = table(spark, sf, "benchmark")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.sha2("text", 256).alias("s")))), lambda x: F.concat_ws(":", x["item_id"], x["s"]))
     return rows.agg(F.md5(F.array_join(lines, "\n")).alias("digest"), F.count(F.lit(1)).alias("n"))

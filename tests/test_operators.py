@@ -103,6 +103,19 @@ def test_budget_is_a_prefix(spark):
     assert got == want
 
 
+def test_budget_of_hot_and_null_groups(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["hot"] * 8 + ["cold", None]), rng.choice([None, 1, 2, 3])) for i in range(900)]
+    got = {(r["i"], r["running"]) for r in selection.budget(spark.createDataFrame(rows, "i long, g string, n long"), "n", "i", 70, by="g").collect()}
+    total, want = {}, set()
+    for i, g, n in rows:
+        total[g] = total.get(g, 0) + (n or 0)
+        if total[g] <= 70:
+            want.add((i, total[g]))
+    assert got == want
+    assert selection.budget(spark.createDataFrame([], "i long, g string, n long"), "n", "i", 70, by="g").count() == 0
+
+
 def test_rules_and_strict_mode(spark):
     df = spark.createDataFrame([("a", "real", "g", "rel", "real"), ("b c", "synthetic", None, "/x", "cc"), ("a\n", "real", None, "x", "TODO")], "sample_id string, label string, generator_id string, path string, license string")
     got = {tuple(r) for r in rules.violations(df, rules.row_rules(df.columns)).collect()}
