@@ -98,3 +98,14 @@ def coverage(expected: DataFrame, predictions: DataFrame, key: str) -> DataFrame
     both = e.join(p, key, "full_outer")
     problem = F.when(F.col("p").isNull(), "missing").when(F.col("e").isNull(), "extra").when(F.col("p") > 1, "duplicate").when(~F.col("finite"), "not_finite")
     return both.select(key, problem.alias("problem")).where("problem is not null")
+
+
+def protocol_slices(scored: DataFrame, generator: str, unseen: list[str]) -> DataFrame:
+    """Metrics of all rows and of the seen and unseen generators, each against every negative; a slice without rows is ``empty``."""
+    known = F.coalesce(F.col(generator).isin(unseen), F.lit(False))
+    kind = F.lit("protocol").alias("kind")
+    names = F.when(F.col("y") == 0, F.array(F.lit("overall"), F.lit("test_seen"), F.lit("test_unseen"))).otherwise(F.array(F.lit("overall"), F.when(known, "test_unseen").otherwise("test_seen")))
+    found = detection_metrics(scored.select(kind, F.explode(names).alias("key"), "y", "score"))
+    wanted = scored.sparkSession.createDataFrame([("overall",), ("test_seen",), ("test_unseen",)], "key string")  # three rows
+    out = F.broadcast(wanted).join(found.drop("kind"), "key", "left")
+    return out.select(kind, "key", *(F.coalesce(c, F.lit("empty")).alias(c) if c == "status" else F.coalesce(c, F.lit(0)).alias(c) if c == "n" else F.col(c) for c in found.columns if c not in ("kind", "key")))

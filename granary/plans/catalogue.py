@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.audio import crop_pad
+from ..functions.audio import crop_pad, tone_frequency
 from ..functions.text import hash_fraction, normalize_text, text_identity
-from ..operators import graph, metrics, rag, reports, rules, selection
+from ..operators import gates, generation, graph, metrics, rag, reports, rules, selection
 from ..session import table
+from ..sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -448,3 +449,109 @@ def multi_digest(spark, sf):
     rows = table(spark, sf, "benchmark")
     lines = F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.sha2("text", 256).alias("s")))), lambda x: F.concat_ws(":", x["item_id"], x["s"]))
     return rows.agg(F.md5(F.array_join(lines, "\n")).alias("digest"), F.count(F.lit(1)).alias("n"))
+
+
+# --- gates, protocols and generation --------------------------------------------------------
+@query(
+    f"""WITH {SCORED}, sliced AS (SELECT 'protocol' AS kind, unnest(CASE WHEN y = 0 THEN ['overall', 'test_seen', 'test_unseen'] WHEN source IN ('src1', 'src2') THEN ['overall', 'test_unseen'] ELSE ['overall', 'test_seen'] END) AS key, y, score FROM scored), {METRICS}"""
+)
+def protocol_slices(spark, sf):
+    return metrics.protocol_slices(scored(spark, sf), "source", ["src1", "src2"])
+
+
+@query(f"WITH {SAMPLES} SELECT language, count(*) FILTER (label = 'real') AS real, count(*) FILTER (label = 'synthetic') AS synthetic, count(*) FILTER (label = 'real') / nullif(count(*) FILTER (label = 'synthetic'), 0) AS weight FROM samples GROUP BY 1")
+def class_weight(spark, sf):
+    return gates.class_weight(samples(spark, sf), "language")
+
+
+@query("SELECT l_suppkey, round(sum(l_discount * l_quantity) / nullif(sum(CASE WHEN l_discount IS NOT NULL THEN l_quantity END), 0), 6) AS mean FROM lineitem GROUP BY 1")
+def batch_weighted_mean(spark, sf):
+    return gates.weighted_mean(table(spark, sf, "lineitem"), "l_discount", "l_quantity", "l_suppkey").withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    """SELECT event_type, count(*) AS n, count(*) FILTER (value > 10) AS succeeded, min(value) AS min_ms, round(avg(value), 6) AS mean_ms, max(value) AS max_ms,
+ array_to_string(list_sort(list(DISTINCT 'm' || user_id % 5)), ',') AS models FROM events GROUP BY 1"""
+)
+def call_summary(spark, sf):
+    calls = table(spark, sf, "events").select("event_type", F.col("value").alias("latency_ms"), (F.col("value") > 10).alias("ok"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model_id"), F.lit("d").alias("model_sha256"))
+    own = gates.call_summary(calls, "event_type").withColumns({"mean_ms": F.round("mean_ms", 6), "models": F.array_join("models", ",")})
+    return own.drop("digests")
+
+
+@query(f"WITH {FLAGGED}, g AS (SELECT count(*) FILTER (label = 'synthetic' AND gate = 'pass' AND source_dataset IN ('src0', 'src1')) AS synthetic, count(*) FILTER (label = 'real' AND gate = 'pass') AS real FROM f) SELECT *, synthetic >= 50 AND real >= 50 AS ready FROM g")
+def protected_gate(spark, sf):
+    return gates.protected_gate(flagged(spark, sf).withColumn("generator_id", F.col("source_dataset")), ["src0", "src1"])
+
+
+@query("SELECT p_brand AS brand, p_type AS type, p_partkey AS id, rank() OVER (PARTITION BY p_brand, p_type ORDER BY p_retailprice DESC NULLS LAST)::INTEGER AS rank FROM part")
+def comparable_ranks(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_partkey").alias("id"), "p_retailprice")
+    return gates.comparable_ranks(rows, "p_retailprice", ("brand", "type")).drop("p_retailprice")
+
+
+@query("SELECT o_orderkey AS job, o_orderstatus AS state FROM orders WHERE o_orderkey <= coalesce((SELECT min(o_orderkey) FROM orders WHERE o_totalprice > 300000), 9223372036854775807)")
+def failure_prefix(spark, sf):
+    status = F.when(F.col("o_totalprice") > 300000, "failed").otherwise("completed")
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("job"), F.col("o_orderstatus").alias("state"), status.alias("status"))
+    return gates.until_failure(rows, "job", "stop").select("job", "state")
+
+
+@query(
+    """WITH j AS (SELECT DISTINCT o_custkey AS k FROM orders), r AS (SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0)
+SELECT coalesce(j.k, r.k) AS customer, CASE WHEN r.k IS NULL THEN 'unreviewed' ELSE 'unknown_job' END AS problem FROM j FULL JOIN r ON j.k = r.k WHERE j.k IS NULL OR r.k IS NULL"""
+)
+def uncovered_reviews(spark, sf):
+    jobs, reviews = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer")), table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("customer"))
+    return gates.uncovered_reviews(jobs, reviews, "customer")
+
+
+@query("SELECT count(DISTINCT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'training' ELSE o_orderpriority END) AS partitions, count(DISTINCT CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'training' ELSE o_orderpriority END) = 1 AS single FROM orders")
+def role_partitions(spark, sf):
+    role = F.when(F.col("o_orderpriority") == "1-URGENT", "train").when(F.col("o_orderpriority") == "2-HIGH", "validation").otherwise(F.col("o_orderpriority"))
+    return gates.same_partition(table(spark, sf, "orders").select(role.alias("intended_role")))
+
+
+@query(
+    """SELECT doc_id, 'pages_' || substr(sha256('pages' || chr(0) || doc_id), 1, 20) AS sample_id, CASE lang WHEN 'en' THEN 'other' WHEN 'de' THEN 'kk_ru' ELSE lang END AS language,
+ CASE WHEN doc_id % 4 = 0 THEN 'unknown_pages_' || substr(sha256('pages' || chr(0) || doc_id), 1, 20) ELSE 's' || doc_id // 3 END AS speaker_id, CASE WHEN doc_id % 4 = 0 THEN 'speaker_id' ELSE '' END AS missing_metadata,
+ CASE WHEN lang NOT IN ('en', 'de') THEN 'language' END AS bad FROM documents WHERE source IN ('src0', 'src1', 'src2', 'src3')"""
+)
+def source_projection(spark, sf):
+    """Documents as a source of its own columns and languages, every fourth without a speaker."""
+    c = F.col
+    rows = table(spark, sf, "documents").select("source", c("doc_id").cast("string").alias("utterance"), F.concat(F.lit("a/"), "doc_id", F.lit(".wav")).alias("file"), c("lang").alias("raw"), F.when(c("doc_id") % 4 != 0, F.concat(F.lit("s"), F.floor(c("doc_id") / 3))).alias("who"))
+    own = adapters.canonical(rows, "pages", columns={"path": "file", "speaker_id": "who", "source_id": "utterance", "language": "raw"}, filters={"source": ["src0", "src1", "src2", "src3"]}, languages={"en": "other", "de": "kk_ru"})
+    return own.select(F.regexp_extract("path", "(\\d+)", 1).cast("long").alias("doc_id"), "sample_id", "language", "speaker_id", F.array_join("missing_metadata", ",").alias("missing_metadata"), "bad")
+
+
+@query("SELECT doc_id, (('0x' || substr(sha256('doc_' || doc_id || chr(0) || CASE WHEN doc_id % 3 = 0 THEN 'None' ELSE lang END || chr(0) || doc_id * 7), 1, 4))::INTEGER % 440 + 220)::INTEGER AS frequency_hz FROM documents")
+def tone_frequencies(spark, sf):
+    voice = F.when(F.col("doc_id") % 3 != 0, F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", tone_frequency(F.concat(F.lit("doc_"), "doc_id"), voice, F.col("doc_id") * 7).alias("frequency_hz"))
+
+
+@query(
+    """SELECT 'synth_' || o_orderkey AS sample_id, coalesce(CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderpriority END, 'g' || o_orderstatus || '_default') AS speaker_id,
+ CASE WHEN o_orderstatus = 'O' THEN 'r1' ELSE 'v1' END AS generator_version, CASE WHEN o_orderstatus = 'F' THEN 'http://m' ELSE 'generator config' END AS rights_reference,
+ (CASE WHEN n % 2 = 0 THEN n + 100 ELSE o_custkey END)::VARCHAR AS seed, CASE WHEN n % 2 = 0 THEN '{"effective_seed":"' || n + 100 || '","generation_attempt":"' || n || '","k":"1"}' ELSE '{"k":"1"}' END AS generation_params
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey WHERE n <> 7"""
+)
+def made_samples(spark, sf):
+    """Orders as jobs, their lines as results (seven of them count as a failure), customers as texts."""
+    c = F.col
+    jobs = table(spark, sf, "orders").select(
+        c("o_orderkey").cast("string").alias("job_id"), F.concat(F.lit("g"), "o_orderstatus").alias("generator_id"), c("o_custkey").cast("string").alias("text_id"), F.lit("en").alias("language"),
+        F.when(c("o_orderpriority") == "1-URGENT", c("o_orderpriority")).alias("voice_id"), F.lit(None).cast("string").alias("speaker_name"), c("o_custkey").alias("seed"), F.lit("x.wav").alias("output_path"),
+        F.create_map(F.lit("k"), F.lit("1")).alias("generation_params"), F.lit("train").alias("intended_role"),
+    )
+    n = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("attempt"))
+    results = n.select(
+        c("l_orderkey").cast("string").alias("job_id"), F.when(c("attempt") == 7, "failed").otherwise("completed").alias("status"), F.lit("00").alias("output_sha256"), F.lit("wav").alias("codec"),
+        F.lit(8000).alias("sample_rate"), F.lit(1.0).alias("duration_sec"), F.when(c("attempt") % 2 == 0, c("attempt") + 100).alias("effective_seed"), "attempt",
+    )
+    texts = table(spark, sf, "customer").select(c("c_custkey").cast("string").alias("text_id"), c("c_name").alias("text"), F.lower("c_name").alias("normalized_text"), F.lit("customers").alias("source_dataset"), F.lit("train").alias("split"))
+    names = "generator_id string, license string, license_url string, model_url string, homepage_url string, family string, model_revision string, model_version string, quality_gate string, training_eligible boolean, diagnostic_only boolean, candidate boolean"
+    rows = [(f"g{s}", None, None, "http://m" if s == "F" else None, None, "f", "r1" if s == "O" else None, "v1", "pass", True, False, False) for s in "FOP"]
+    own = generation.made_samples(jobs, results, texts, spark.createDataFrame(rows, names))
+    return own.select("sample_id", "speaker_id", "generator_version", "rights_reference", c("generation_seed").cast("string").alias("seed"), "generation_params")
