@@ -1,7 +1,7 @@
 """Near duplicates by Order MinHash over occurrence-labelled five-word shingles.
 
-A text's shingles are labelled with their occurrence number, so that all are distinct. For
-each of ``hashes`` hash functions the ``width`` least shingles are taken and kept in text
+For sketches a text's shingles are labelled with their occurrence number, so that all are
+distinct. For each of ``hashes`` hash functions the ``width`` least shingles are taken and kept in text
 order: their sequence is one bucket key, which texts share only if the same shingles are
 least *and* stand in the same order. In each bucket all texts are compared with one of
 them; buckets whose texts then still belong to more than one group have the pairs across
@@ -10,7 +10,7 @@ copies costs one comparison per text.
 
 Two texts are linked if an alignment inside a diagonal band matches shingles in order with
 matched / (n1 + n2 - matched) >= ``similarity``. The band is as wide as two texts at that
-similarity can shift. Classes are the connected components of the links.
+similarity can shift. Shingles are aligned without labels: any two occurrences match. Classes are the connected components of the links.
 
 With width 4 and 20 hashes a pair at similarity 0.8 shares no bucket with probability
 3e-5. Equal texts are one node from the start and are never paired. A null text counts as
@@ -96,12 +96,41 @@ def possible(x: str, y: str, settings: Settings) -> Column:
     return (F.least(f"{x}.n", f"{y}.n") >= settings.similarity * F.greatest(f"{x}.n", f"{y}.n")) & (F.least(most(x, y), most(y, x)) >= n * share - 1e-9)
 
 
+def longest_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, repeats included: all match positions as bits of one integer a row."""
+    least = min(len(a), len(b))
+    differ = np.flatnonzero(a[:least] != b[:least])
+    head = int(differ[0]) if len(differ) else least
+    a, b, least = a[head:], b[head:], least - head
+    differ = np.flatnonzero(a[len(a) - least :][::-1] != b[len(b) - least :][::-1])
+    tail = int(differ[0]) if len(differ) else least
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    at: dict[int, list[int]] = {}
+    for k, x in enumerate(a.tolist()):
+        at.setdefault(x, []).append(k)
+    masks = {x: sum(1 << k for k in ks) for x, ks in at.items() if len(ks) > 16}  # few; others are made when met
+    full = (1 << len(a)) - 1
+    free = full
+    for x in b.tolist():
+        match = free & (masks[x] if x in masks else sum(1 << k for k in at.get(x, ())))
+        if match:
+            free = (free + match | free - match) & full
+    return head + tail + len(a) - free.bit_count()
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """matched / (n1 + n2 - matched) of the longest chain in the band; 0.0 where it can't reach ``least``."""
     n = len(a) + len(b)
     if not len(a) or not len(b) or min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    x, y = labelled(a), labelled(b)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if len(i) < n * least / (1 + least) - 1e-9:  # even regardless of order
+        return 0.0
+    if x is not a or y is not b:
+        # a repeat matches any other: labels would tie the k-th to the k-th. A chain that reaches ``least`` stays in the band
+        matched = longest_common(a, b)
+        return matched / (n - matched)
     band = n * (1 - least) / (1 + least)
     near = np.abs(i - j) <= band
     i, j = i[near], j[near]
@@ -147,7 +176,7 @@ def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
                 if held > 4_000_000:
                     known.clear()
                     held = 0
-                known[name] = labelled(shingler.shingles(shingler.words(text)))
+                known[name] = shingler.shingles(shingler.words(text))
                 held += len(known[name])
             return known[name]
 

@@ -238,6 +238,38 @@ def test_alignment_is_the_longest_chain():
         assert (got >= 0.8) == (exact >= 0.8) and (got < 0.8 or got == pytest.approx(exact))
 
 
+def test_alignment_matches_any_occurrence():
+    def lcs(a, b):
+        d = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, p in enumerate(a):
+            for j, q in enumerate(b):
+                d[i + 1, j + 1] = d[i, j] + 1 if p == q else max(d[i, j + 1], d[i + 1, j])
+        return int(d[-1, -1])
+
+    rng = random.Random(8)
+    for _ in range(300):
+        a = [rng.randrange(rng.choice((3, 12, 60))) for _ in range(rng.randint(1, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            x = rng.randrange(len(b) + 1)
+            b[x : x + rng.randrange(3)] = rng.choices(range(12), k=rng.randrange(3))
+        exact = lcs(a, b) / (len(a) + len(b) - lcs(a, b))
+        x, y = np.array(a, np.uint64), np.array(b, np.uint64)
+        assert near_dedup.longest_common(x, y) == lcs(a, b)
+        got = near_dedup.aligned_similarity(x, y, 0.8)
+        assert (got >= 0.8) == (exact >= 0.8) and (got < 0.8 or got == pytest.approx(exact))
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    """A copy that lacks the first of ten equal headings."""
+    head = " ".join(f"h{i}" for i in range(15))
+    parts = [" ".join(f"p{k}w{i}" for i in range(40)) for k in range(10)]
+    texts = ["\n".join(f"{head}\n{p}" for p in parts), "\n".join([parts[0], *(f"{head}\n{p}" for p in parts[1:])])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r["class_id"], r["class_size"]) for r in near_dedup.near_duplicates(df).collect()} == {(0, 2)}
+    assert [r["doc_id"] for r in near_dedup.keep_one(df).collect()] == [0]
+
+
 def test_near_duplicates_equal_brute_force(spark, odd):
     rng = random.Random(11)
     vocab = [f"v{i}" for i in range(900)]
