@@ -190,8 +190,8 @@ def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
     return map_rows(with_texts(docs, pairs), make, "a binary, b binary, similarity double")
 
 
-def near_duplicates(df: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, node, class_id`` (least id of its class) ``, class_size`` of every row."""
+def labelled_rows(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, node, label`` of every row; the label (least node) names its class even where ids are null or repeated."""
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), node(text_col).alias("node"))
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -246,20 +246,27 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), *, id_col: s
             own = own.join(asked, "key").withColumn("shared", F.when(F.col("node") == F.col("hub.node"), -1).otherwise(F.col("shared"))).drop("hub")
 
     found = found if found is not None else profiles.select("node", F.col("node").alias("label")).limit(0)
-    rows = sketches.select("doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return sketches.select("doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def near_duplicates(df: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, node, label, class_id`` (least id of its class; null if it has none) ``, class_size`` of every row.
+
+    Classes with null or repeated ids can share a ``class_id``; the label (least node) tells them apart.
+    """
+    rows = labelled_rows(df, settings, id_col, text_col)
     classes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(classes, "label").select("doc_id", "node", "class_id", "class_size")
+    return rows.join(classes, "label").select("doc_id", "node", "label", "class_id", "class_size")
 
 
 def keep_one(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """One row of each class, the one with the least id (of rows that repeat it, one), with all columns.
+    """One row of each class, the one with the least id (of rows that repeat it, one; a null id comes last), with all columns.
 
     Rows are matched by id and text digest together, so that no group of copies meets in one task.
     """
-    least = F.lit(-(1 << 63))
-    classes = near_duplicates(df, settings)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("node").alias("_n"))
-    kept = kept.select(F.coalesce("class_id", least).alias("_i"), "_n")
-    rows = df.withColumn("_i", F.coalesce("doc_id", least)).withColumn("_n", node("text")).join(kept, ["_i", "_n"])
-    one = rows.dropDuplicates(["_i", "_n"])
-    return one.select(*df.columns)
+    rows = labelled_rows(df, settings, "doc_id", "text")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("least")
+    kept = rows.groupBy("label").agg(least).select(F.col("least.doc_id").alias("_i"), F.col("least.node").alias("_n"))
+    marked = df.withColumn("_d", node("text"))
+    same = marked["_d"].eqNullSafe(kept["_n"]) & marked["doc_id"].eqNullSafe(kept["_i"])
+    return marked.join(kept, same).dropDuplicates(["_i", "_n"]).select(*(marked[c] for c in df.columns))

@@ -41,7 +41,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", F.lower(F.hex("label")).alias("class_key"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

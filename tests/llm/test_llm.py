@@ -295,6 +295,20 @@ def test_near_duplicates_equal_brute_force(spark, odd):
     assert once.columns == odd.columns and once.count() == own.select("class_id", "class_size").distinct().count()
 
 
+def test_classes_with_null_and_repeated_ids(spark):
+    words = lambda k: " ".join(f"{k}x{i}" for i in range(30))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b") + " more"), (5, words("c")), (5, words("d")), (5, words("d")), (None, words("e")), (7, words("e") + " more"), (None, None), (-(1 << 63), words("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dedup.keep_one(df).collect()
+    b = [r["text"] for r in kept if (r["text"] or "").startswith("b")]
+    assert len(b) == 1 and b[0] in (words("b"), words("b") + " more")
+    assert Counter((r["doc_id"], r["text"]) for r in kept if r["text"] not in b) == Counter([(None, words("a")), (5, words("c")), (5, words("d")), (7, words("e") + " more"), (None, None), (-(1 << 63), words("f"))])
+    own = near_dedup.near_duplicates(df).collect()
+    assert len(own) == len(rows) and len({bytes(r["label"]) for r in own}) == 7
+    text_ids = spark.createDataFrame([(None, "x"), ("i", "y"), (None, "z")], "doc_id string, text string")
+    assert near_dedup.keep_one(text_ids).count() == 3
+
+
 def test_token_counts_follow_edits(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     with open(path, "rb") as f:
