@@ -1,9 +1,10 @@
 """License recognition by sentence rules.
 
 A text is cut into sentences (once at line ends too, once with lines joined, for wrapped
-headers). Each sentence is normalised to its lower-case words and looked up among the known
-licence sentences; the identifiers found, in text order, are matched against the ordered
-rules, longest sequences first. A rule needs its sentences one after the other.
+headers). Each piece is normalised to its lower-case words; pieces that together are a known
+licence sentence count as it, since the cut also falls inside some (at colons and blank
+lines). The identifiers found, in text order, are matched against the ordered rules, longest
+sequences first. A rule needs its sentences one after the other.
 
 Texts without any anchor word of a known sentence hold none and are not cut. A null text
 has no match. Each match is one row; a text without a match has none.
@@ -70,15 +71,31 @@ class Recogniser:
             self.anchors.append(best)
             rest = {s for s in rest if best not in s.split()}
         self.longest = max(len(s) for s in self.known) * 2
+        self.by_first: dict[str, list[str]] = {}
+        for s in self.known:
+            self.by_first.setdefault(s.partition(" ")[0], []).append(s)
         self.rules = sorted(enumerate(rules), key=lambda r: (-len(r[1][2]), r[0]))
 
-    def _identifiers(self, text: str, cut: re.Pattern) -> list[tuple[str | None, int, int]]:
+    def _pieces(self, text: str, cut: re.Pattern) -> list[tuple[str, int, int]]:
+        """Normalised words ('' beyond the longest known sentence), start and end of each piece with words."""
         out = []
         for m in cut.finditer(text):
-            name = self.known.get(normalised(m[0])) if m.end() - m.start() <= self.longest else None
-            at = m.start() + len(m[0]) - len(m[0].lstrip())
-            if name or WORDS.search(m[0]):
-                out.append((name, at, m.end()))
+            if WORDS.search(m[0]):
+                words = normalised(m[0]) if m.end() - m.start() <= self.longest else ""
+                out.append((words, m.start() + len(m[0]) - len(m[0].lstrip()), m.end()))
+        return out
+
+    def _sentences(self, pieces: list[tuple[str, int, int]]) -> list[dict[str, int]]:
+        """For each piece, the known sentences that start there, with the piece after their last one."""
+        out: list[dict[str, int]] = []
+        for i, (words, _, _) in enumerate(pieces):
+            out.append({})
+            for s in self.by_first.get(words.partition(" ")[0], ()):
+                got, k = words, i + 1
+                while len(got) < len(s) and k < len(pieces) and pieces[k][0] and s.startswith(got + " "):
+                    got, k = f"{got} {pieces[k][0]}", k + 1
+                if got == s:
+                    out[i][self.known[s]] = k
         return out
 
     def matches(self, text: str) -> list[tuple[str, str, int, int]]:
@@ -88,13 +105,18 @@ class Recogniser:
             return []
         found: list[tuple[int, int, int, str, str]] = []
         for cut in (LINE, WRAPPED):
-            ids = self._identifiers(text, cut)
+            pieces = self._pieces(text, cut)
+            starts = self._sentences(pieces)
+            at = [i for i, names in enumerate(starts) if names]
             used: set[int] = set()
             for order, (licence, rule, wanted) in self.rules:
-                for i in range(len(ids) - len(wanted) + 1):
-                    if ids[i][0] == wanted[0] and all(ids[i + k][0] == w for k, w in enumerate(wanted)) and used.isdisjoint(range(i, i + len(wanted))):
-                        used |= set(range(i, i + len(wanted)))
-                        found.append((ids[i][1], -ids[i + len(wanted) - 1][2], order, licence, rule))
+                for i in at:
+                    k = i
+                    for w in wanted:
+                        k = starts[k].get(w, -1) if 0 <= k < len(starts) else -1
+                    if k > 0 and used.isdisjoint(range(i, k)):
+                        used |= set(range(i, k))
+                        found.append((pieces[i][1], -pieces[k - 1][2], order, licence, rule))
         out: list[tuple[str, str, int, int]] = []
         for start, end, _, licence, rule in sorted(set(found)):
             if not out or start >= out[-1][3]:

@@ -201,6 +201,34 @@ def test_licenses(spark, odd):
     assert licenses.find_licenses(odd).count() == 0
 
 
+def test_every_license_rule_matches_its_text():
+    gpl = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+    s = licenses.SENTENCES
+    texts = {rule: "\n".join(s[w] for w in wanted) for _, rule, wanted in licenses.RULES}
+    wrapped = {**{r: t.replace(" the ", "\nthe ") for r, t in texts.items()}, "gpl-header": gpl, "gpl-free": gpl.partition("\n\n")[0], "apache-header": apache}
+    one = licenses.Recogniser(s, licenses.RULES)
+    for licence, rule, _ in licenses.RULES:
+        for t in (texts[rule], wrapped[rule], wrapped[rule].strip().replace("\n", "\n# ")):
+            for before, after in (("", ""), ("Some words.\n\n", "\n\nOther words follow here.\n"), ("Copyright 2020 N. N.\n", "\n\nUnless required")):
+                text = before + t + after
+                got = one.matches(text)
+                assert [m[:2] for m in got] == [(licence, rule)], (rule, text)
+                assert text[got[0][2] : got[0][3]].strip() == t.strip()
+    assert not one.matches("This program is free software: you can redistribute it.\n\nUnder the MIT License")
+
+
 def near_brute(texts):
     s = Shingler()
     k = [near_dedup.labelled(s.shingles(s.words(t))) for t in texts]
