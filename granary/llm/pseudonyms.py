@@ -7,6 +7,10 @@ values get equal pseudonyms in all documents, different ones stay different, and
 holder can invert them. The permutation is a Feistel network on a square that covers the
 domain; results outside are permuted again until they fall inside.
 
+A run of digit groups may hold more than one value: cards are sought in every window of its
+groups, and a phone number ends where its country's length or its separators end it (where
+both allow a following number too, it is taken in).
+
 Text that fails validation is left as it is. Null texts stay null and have no values.
 """
 
@@ -32,6 +36,17 @@ VALUE = re.compile(
     r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w))",
     re.ASCII,
 )
+GROUP = re.compile(r"\d+", re.ASCII)
+RUN = re.compile(r"\d(?:[ -]?\d)*", re.ASCII)
+#: Digit groups of cards as they are usually printed; a single group is another such layout.
+CARD_LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4)}
+# Least and most national digits by country code; others have 7 to 12.
+NATIONAL = {
+    "1": (10, 10), "7": (10, 10), "20": (8, 10), "27": (9, 9), "30": (10, 10), "31": (9, 9), "32": (8, 9), "33": (9, 9), "34": (9, 9),
+    "36": (8, 9), "40": (9, 9), "41": (9, 9), "44": (9, 10), "45": (8, 8), "46": (7, 10), "47": (8, 8), "48": (9, 9), "49": (7, 11),
+    "52": (10, 11), "55": (10, 11), "61": (9, 9), "81": (9, 10), "82": (8, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10),
+    "351": (9, 9), "353": (7, 9), "380": (9, 9), "420": (9, 9), "421": (9, 9),
+}
 KINDS = ("card", "phone", "ip", "date", "email")
 
 
@@ -74,6 +89,62 @@ def laid_out(like: str, digits: str) -> str:
     return "".join(next(rest) if c.isdigit() else c for c in like)
 
 
+def valid_card(digits: str) -> bool:
+    return 13 <= len(digits) <= 19 and check_digit(digits[:-1]) == int(digits[-1])
+
+
+def cards(text: str, start: int) -> tuple[list[tuple[int, int]], int]:
+    """The spans read as cards in the run of digit groups at ``start``, in text order, and the run's end.
+
+    Every window of groups is tried. Of overlapping valid ones, usual layouts go first, then known
+    first digits, then longer ones, then earlier ones.
+    """
+    end = RUN.match(text, start).end()
+    groups = [m.span() for m in re.finditer(r"\d+", text[start:end])]
+    if end < len(text) and re.match(r"\w", text[end], re.ASCII):
+        groups.pop()
+    found = []
+    for i in range(len(groups)):
+        digits = ""
+        for k in range(i, len(groups)):
+            digits += text[start + groups[k][0] : start + groups[k][1]]
+            if len(digits) > 19:
+                break
+            if valid_card(digits):
+                usual = k == i or tuple(b - a for a, b in groups[i : k + 1]) in CARD_LAYOUTS
+                found.append((not usual, digits[0] not in "3456", -len(digits), i, k))
+    taken: set[int] = set()
+    out = []
+    for *_, i, k in sorted(found):
+        if taken.isdisjoint(range(i, k + 1)):
+            taken |= set(range(i, k + 1))
+            out.append((start + groups[i][0], start + groups[k][1]))
+    return sorted(out), end
+
+
+def phone_end(value: str) -> int:
+    """Where the number ends in a match that may hold a following one too.
+
+    The last group border with a length the country has; a space after a '-' or '.' ends a number that is
+    long enough. Where no border fits, the whole match is one number.
+    """
+    groups = [m.span() for m in re.finditer(r"\d+", value)]
+    digits = re.sub(r"\D", "", value)
+    country = next((digits[:n] for n in (1, 2, 3) if digits[:n] in NATIONAL), None)
+    code = country or re.match(r"\+(\d{1,3}?)(?=\D|\d{7,}|$)", value)[1]
+    least, most = NATIONAL.get(country, (7, 12))
+    most += country != "1" and digits[len(code) :].startswith("0")  # with the trunk prefix
+    end, before = None, " "
+    for k, (a, b) in enumerate(groups):
+        between = value[groups[k - 1][1] : a] if k else ""
+        if end and between.isspace() and before in ("-", "."):
+            break
+        if least <= sum(map(str.isdigit, value[:b])) - len(code) <= most:
+            end = b
+        before = between
+    return end or len(value)
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, inverse: bool = False) -> None:
         self.feistel, self.inverse = Feistel(key), inverse
@@ -83,7 +154,7 @@ class Pseudonyms:
 
     def card(self, value: str) -> str | None:
         digits = re.sub(r"\D", "", value)
-        if not 13 <= len(digits) <= 19 or check_digit(digits[:-1]) != int(digits[-1]):
+        if not valid_card(digits):
             return None
         body = self._number(digits[:-1], "card")
         return laid_out(value, body + str(check_digit(body)))
@@ -135,13 +206,36 @@ class Pseudonyms:
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
         counts = dict.fromkeys(KINDS, 0)
 
-        def one(m: re.Match) -> str:
-            kind = m.lastgroup
-            new = getattr(self, kind)(m[0])
-            counts[kind] += new is not None
-            return m[0] if new is None else new
-
-        return VALUE.sub(one, text), counts
+        out: list[str] = []
+        done = at = run_end = 0  # copied up to, searched up to, digit runs read for cards up to
+        spans: list[tuple[int, int]] = []  # cards to come, last one first
+        while True:
+            m = VALUE.search(text, at, spans[-1][0] if spans else len(text))
+            if m is None and not spans:
+                break
+            if m is None:
+                kind, (start, end) = "card", spans.pop()
+            else:
+                kind, (start, end) = m.lastgroup, m.span()
+                if kind == "card":
+                    if start >= run_end:
+                        found, run_end = cards(text, start)
+                        spans = found[::-1]
+                        at = start
+                    else:  # not of a card: other values can follow in it
+                        at = GROUP.match(text, start).end()
+                    continue
+                if kind == "phone":
+                    end = start + phone_end(m[0])
+            new = getattr(self, kind)(text[start:end])
+            if new is None and kind == "phone":  # a card can follow the country code
+                end = start + re.match(r"\+\d+", m[0]).end()
+            at = end
+            if new is not None:
+                counts[kind] += 1
+                out += text[done:start], new
+                done = end
+        return "".join(out) + text[done:], counts
 
 
 def pseudonymise(df: DataFrame, key: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -145,6 +145,28 @@ def test_pseudonyms(spark, odd):
     assert len(got) == odd.count() and next(r for r in got if r["doc_id"] == 0)["text"] is None
 
 
+def test_pseudonyms_beside_other_numbers():
+    names, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", inverse=True)
+    card, phone = "4111 1111 1111 1111", "+1 (017) 555-7713"
+    other, own = names.card(card), names.phone(phone)
+    assert names.card(card.replace(" ", "")) == other.replace(" ", "") and names.phone("+44 20 7946 0958")
+    for form in ("card {} 12/26", "{} 123", "2 {}", "{} 2024", "2 {} 7", "{} {}", "{} x", "12 34 {}", "{}, {} 9", "+1 {}", "{} 12x"):
+        for layout in (lambda x: x, lambda x: x.replace(" ", ""), lambda x: x.replace(" ", "-")):
+            text = form.replace("{}", layout(card))
+            new, n = names.replace(text)
+            assert new == form.replace("{}", layout(other)) and n["card"] == form.count("{}"), (text, new)
+            assert back.replace(new)[0] == text
+    for form in ("{} 42 times", "{} 4417", "{}", "call {}.", "{} 12 34", "{} {}"):
+        new, n = names.replace(form.replace("{}", phone))
+        assert new == form.replace("{}", own) and n["phone"] == form.count("{}")
+    for number in ("+44 20 7946 0958", "+49 89 1234-567", "+49-30-123 4567 89", "+7 (495) 123-45-67"):
+        assert names.replace(number)[0] == names.phone(number) != number
+    assert names.replace("+44 20 7946 0958 42")[0] == names.phone("+44 20 7946 0958") + " 42"
+    assert names.replace(f"{phone} {card}")[0] == f"{own} {other}"
+    new, n = names.replace(f"5 2024-01-02 {card} 2023-03-04")
+    assert new == f"5 {names.date('2024-01-02')} {other} {names.date('2023-03-04')}" and n["date"] == 2
+
+
 def test_decontaminate_equals_brute_force(spark, odd):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(400)]
