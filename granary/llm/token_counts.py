@@ -4,15 +4,20 @@ A text is cut into pre-tokens, whose token counts are independent of each other.
 about ``leaf`` pre-tokens are the leaves of a tree that keeps the characters and tokens of
 each subtree. An edit (start, end, new text) descends to the leaves it touches; these, with
 context on both sides until the cutting has found the old borders again, are cut and encoded
-anew, and the sums of their ancestors are updated. All other leaves stay as they are.
+anew, and the sums of their ancestors are updated. All other leaves stay as they are. A subtree
+that edits have made deeper than twice the logarithm of its leaves is put together anew from
+them, so a tree stays shallow however many edits hit one place.
 
 Edits apply in order, each to the text that the ones before have left; positions beyond the
-end are moved to the end. A null text counts as empty; null edits do nothing.
+end are moved to the end, negative or null ones to the start. A null text counts as empty; null
+edits do nothing. Each row has a result of its own, also repeated ones and those without an id;
+an empty table gives an empty result. Only the three columns named are read.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,6 +52,12 @@ class Node:
     left: Node | None = None
     right: Node | None = None
     pieces: list[str] | None = None  # of a leaf
+    leaves: int = 1
+    depth: int = 0
+
+
+def joined(left: Node, right: Node) -> Node:
+    return Node(left.chars + right.chars, left.tokens + right.tokens, left, right, None, left.leaves + right.leaves, 1 + max(left.depth, right.depth))
 
 
 class Tree:
@@ -66,9 +77,23 @@ class Tree:
     def _join(nodes: list[Node]) -> Node:
         while len(nodes) > 1:
             pairs = [nodes[i : i + 2] for i in range(0, len(nodes), 2)]
-            nodes = [p[0] if len(p) == 1 else Node(p[0].chars + p[1].chars, p[0].tokens + p[1].tokens, p[0], p[1]) for p in pairs]
+            nodes = [p[0] if len(p) == 1 else joined(*p) for p in pairs]
         return nodes[0]
 
+    def _balanced(self, node: Node) -> Node:
+        """The subtree, put together anew from its leaves if it is too deep for their number."""
+        if node.depth <= 2 * node.leaves.bit_length() + 2:
+            return node
+        out: list[Node] = []
+        stack = [node]
+        while stack:
+            at = stack.pop()
+            if at.pieces is None:
+                stack += at.right, at.left
+            else:
+                out.append(at)
+        return self._join(out)
+
     def _leaves(self, node: Node, at: int, low: int, high: int, out: list[tuple[int, Node]]) -> None:
         """The leaves that overlap or touch [low, high], with their starts."""
         if at + node.chars < low or at > high:
@@ -85,12 +110,12 @@ class Tree:
             return node
         if low <= at and at + node.chars <= high:
             taken, new[:] = list(new), []
-            return self._join(taken) if taken else None
+            return self._join(taken) if taken else None  # replaces whole leaves, so it is balanced
         left = self._replace(node.left, at, low, high, new)
         right = self._replace(node.right, at + node.left.chars, low, high, new)
         if left is None or right is None:
             return left or right
-        return Node(left.chars + right.chars, left.tokens + right.tokens, left, right)
+        return self._balanced(joined(left, right))
 
     def edit(self, start: int, end: int, text: str) -> None:
         size = self.root.chars
@@ -133,6 +158,18 @@ class Tree:
         return "".join(p for _, leaf in out for p in leaf.pieces)
 
 
+_LOADED: dict[tuple, Counter] = {}
+
+
+def loaded(vocabulary: bytes, pattern: str) -> Counter:
+    """One counter per Python worker."""
+    key = (hashlib.sha256(vocabulary).digest(), pattern)
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = Counter(vocabulary, pattern)
+    return _LOADED[key]
+
+
 def count_with_edits(df: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
     """``doc_id, n_tokens, n_tokens_after, n_chars_after, chars_encoded`` of every row.
 
@@ -142,7 +179,7 @@ def count_with_edits(df: DataFrame, vocabulary_path: str, pattern: str, *, id_co
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def make():
-        counter = Counter(shared.value, pattern)
+        counter = loaded(shared.value, pattern)
 
         def step(row: dict) -> Iterator[tuple]:
             tree = Tree(row["text"] or "", counter)

@@ -4,16 +4,21 @@ Lower-cased texts are read as UTF-8 bytes, each run of other bytes than ASCII le
 non-ASCII letters counting as one space, and hashed into ``2 ** bits`` buckets for each n of
 ``sizes``. A feature is a bucket's presence in a text. For each bucket the log-count ratio r
 of the two classes is estimated with one document of smoothing; buckets whose ratio is not
-significant (``z`` standard errors), or not among the ``max_features`` most significant, get
-weight 0, the others enter a logistic regression as
+significant (``z`` standard errors) get weight 0, all others enter a logistic regression as
 r, so that the weight of a bucket is its r times a learned coefficient. A row of the rarer
 class counts by the fourth root of the classes' ratio.
 
 Labelled rows are read up to ``max_labelled`` of them, those with the smallest hash of their
 id (a documented bound; the statistics of the fit need no more), split by
-crc32(doc_id) % folds, of which fold 0 is never learned from. Nothing but the text enters a
-score. A null text is scored as an empty one. Without rows of both classes the score is the
-prior (0.0 if there is no label at all).
+crc32(doc_id) % folds, of which fold 0 is never learned from. Labels count only if a document
+has their id. An id that several documents have is learned once, by its least text; one with
+several labels by its greatest. Ids can be of any type; null ids and null labels teach nothing.
+Nothing but the text enters a score. A null text is scored as an empty one. Without rows of
+both classes the score is the prior (0.0 if there is no label at all). Every row is scored,
+repeated ones alike; an empty table gives an empty result.
+
+The labelled rows' buckets are written once. The driver holds the counts of 2 ** ``bits``
+buckets at the most, and 4 bytes for each significant bucket of each labelled row.
 """
 
 from __future__ import annotations
@@ -23,12 +28,16 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .rows import map_rows, pick
 
 GAP = re.compile(r"[\W\d_]+")
+#: Features of the fit that are worked on at a time.
+CHUNK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -40,7 +49,6 @@ class Settings:
     folds: int = 5
     l2: float = 1e-4
     rounds: int = 800
-    max_features: int = 4_000
 
 
 def buckets(text: str, settings: Settings) -> np.ndarray:
@@ -74,16 +82,19 @@ def fold(id_col: str, folds: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
 
 
-def train(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, label_col: str = "toxic") -> Model:
-    """Labels of ids that don't occur, null labels and repeated ids are passed over (a repeated id counts once, with its greater label)."""
+def train(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Learns from ``labels`` (``doc_id`` and ``label_col``) of the documents ``df``; see above for nulls and repeats."""
+    docs = pick(df, id_col, text_col)
+    kind = dict(docs.dtypes)["doc_id"]
     known = (
         labels.select("doc_id", F.col(label_col).cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & (fold("doc_id", settings.folds) != 0))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
+        .join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(settings.max_labelled)
     )
     # at most max_labelled ids and labels: some 200 KB, whatever the input
-    rows = pick(df, "doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.join(F.broadcast(cut(known)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def make():
         def step(row: dict) -> Iterator[tuple]:
@@ -91,51 +102,81 @@ def train(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
 
         return step
 
-    features = map_rows(rows, make, "doc_id long, y int, f array<int>")
-    sums = features.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    # one row per bucket at most, two counts each: bounded by 2 ** bits
-    counts = known.groupBy("y").count().collect()
-    n = {r["y"]: r["count"] for r in counts}
+    features = cut(map_rows(rows, make, f"doc_id {kind}, y int, f array<int>"))
+    n = {r["y"]: r["count"] for r in features.groupBy("y").count().collect()}
     weights = np.zeros(1 << settings.bits, np.float32)
     if min(n.get(0, 0), n.get(1, 0)) == 0:
-        prior = 40.0 if n.get(1, 0) else -40.0
-        return Model(settings, prior, weights)
+        return Model(settings, 40.0 if n.get(1, 0) else -40.0, weights)
+    sums = features.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
     p, q = F.col("p") + F.lit(0.5), F.col("q") + F.lit(0.5)
     ratio = F.log(p / (n[1] + 1)) - F.log(q / (n[0] + 1))
     error = F.sqrt(1 / p + 1 / q - F.lit(1 / (n[1] + 1) + 1 / (n[0] + 1)))
-    kept = sums.where((F.col("p") + F.col("q") > 4) & (F.abs(ratio) > settings.z * error)).select("f", ratio.alias("r"), (F.abs(ratio) / error).alias("z"))
-    kept = kept.orderBy(F.desc("z"), "f").limit(settings.max_features).cache()
-    picked = kept.select("f", "r").toPandas().sort_values("f")
-    index, r = picked["f"].to_numpy(np.int64), picked["r"].to_numpy()
-    own = features.select("doc_id", "y", F.explode("f").alias("f")).join(F.broadcast(kept.select("f")), "f")
-    table = own.groupBy("doc_id", "y").agg(F.collect_list("f").alias("f"))
-    # flat Arrow columns, no Python objects: at most max_labelled lists of max_features numbers
-    table = known.join(table.select("doc_id", "f"), "doc_id", "left").select("y", F.coalesce("f", F.array().cast("array<int>")).alias("f")).toArrow()
-    kept.unpersist()
-    lists = table["f"].combine_chunks()
-    where = np.searchsorted(index, lists.flatten().to_numpy())
-    row = np.repeat(np.arange(len(table)), np.diff(lists.offsets.to_numpy()))
-    y = table["y"].to_numpy().astype(np.float64)
-    del table, lists
-    beta, bias = fit(where, row, y, r, settings)
+    # one row per bucket at most: bounded by 2 ** bits
+    kept = sums.where((F.col("p") + F.col("q") > 4) & (F.abs(ratio) > settings.z * error)).select("f", ratio.alias("r")).toArrow()
+    index, r = kept["f"].to_numpy(), kept["r"].to_numpy()
+    order = np.argsort(index)
+    index, r = index[order], r[order]
+    shared = df.sparkSession.sparkContext.broadcast(index)  # 4 bytes a bucket
+
+    def look_up():
+        own = shared.value
+
+        def step(row: dict) -> Iterator[tuple]:
+            place = np.searchsorted(own, np.array(row["f"], np.int32))
+            place = place[place < len(own)]
+            found = np.array(row["f"], np.int32)[: len(place)] == own[place]  # both ascend: what is cut off is beyond all
+            yield row["doc_id"], row["y"], place[found].astype(np.int32)
+
+        return step
+
+    # flat Arrow columns, no Python objects
+    table = map_rows(features, look_up, f"doc_id {kind}, y int, c array<int>").toArrow()
+    lists = table["c"].combine_chunks()
+    col, offsets, y = lists.flatten().to_numpy(), lists.offsets.to_numpy(), table["y"].to_numpy().astype(np.float64)
+    # summed in order of the ids, whatever order the rows come in
+    order = pc.sort_indices(table["doc_id"]).to_numpy()
+    starts, sizes = offsets[:-1][order], np.diff(offsets)[order]
+    ends = np.cumsum(sizes)
+    col = col[np.arange(len(col)) + np.repeat(starts - (ends - sizes), sizes)] if len(col) else col
+    beta, bias = fit(col, np.append(0, ends), y[order], r, settings)
     weights[index] = beta * r
     return Model(settings, bias, weights)
 
 
-def fit(col: np.ndarray, row: np.ndarray, y: np.ndarray, r: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
-    """Logistic regression on features r, by accelerated gradient steps from coefficient 0; deterministic."""
-    scale = r[col] if len(col) else np.zeros(0)
+def fit(col: np.ndarray, ends: np.ndarray, y: np.ndarray, r: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
+    """Logistic regression on features r, by accelerated gradient steps from coefficient 0; deterministic.
+
+    Row i has the features ``col[ends[i] : ends[i + 1]]``. Rows are taken a few at a time, so that nothing but ``col``
+    grows with their number.
+    """
     m, d = len(y), len(r)
     share = np.where(y > 0, max(1.0, (y == 0).sum() / (y > 0).sum()) ** 0.25, max(1.0, (y > 0).sum() / (y == 0).sum()) ** 0.25)
     share /= share.sum()
-    norm = m * share.max() * np.bincount(row, scale**2, m).max(initial=0) + 1
-    rate = 4.0 / norm
+    parts = []
+    begin = 0
+    while begin < m:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + CHUNK, "right")) - 1)
+        own = col[ends[begin] : ends[end]]
+        parts.append((slice(begin, end), own, ends[begin : end + 1] - ends[begin]))
+        begin = end
+
+    def row_sums(values: np.ndarray, own: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.diff(np.append(0.0, np.cumsum(values[own]))[at])
+
+    largest = 0.0
+    for _, own, at in parts:
+        largest = max(largest, row_sums(r**2, own, at).max(initial=0))
+    rate = 4.0 / (m * share.max() * largest + 1)
     w = np.zeros(d + 1)
     v = w.copy()
     for t in range(settings.rounds):
-        margin = np.bincount(row, v[col] * scale, m) + v[d]
-        g = share * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y)
-        grad = np.append(np.bincount(col, g[row] * scale, d) + settings.l2 * v[:d], g.sum())
+        grad = np.append(settings.l2 * v[:d], 0.0)
+        effect = v[:d] * r
+        for rows, own, at in parts:
+            margin = row_sums(effect, own, at) + v[d]
+            g = share[rows] * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y[rows])
+            grad[:d] += np.bincount(own, np.repeat(g, np.diff(at)), d) * r
+            grad[d] += g.sum()
         step = v - rate * grad
         v = step + t / (t + 3) * (step - w)
         w = step
