@@ -9,7 +9,9 @@ predecessor's, where it fails. A position that has failed is marked and never tr
 again, which keeps the work linear. Decoding reads byte ranges out of one string
 through an offset table.
 
-Null texts count as empty: no tokens, and the digests of the empty string.
+Null texts count as empty: no tokens, and the digests of the empty string. Each row has a
+result of its own, also repeated ones and those without an id; an empty table gives an empty
+result. Only the id and the text are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from .rows import Memo, map_rows, pick
 
 # The byte alphabet of byte-level BPE prints these bytes as themselves, the others from U+0100 on.
+UNASSIGNED = "\u0378"
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
 
@@ -36,6 +39,13 @@ def byte_alphabet() -> dict[str, int]:
     return letters | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
+def newer_characters() -> regex.Pattern:
+    """The characters that the ``regex`` module knows and Python's Unicode tables (those of the library) don't."""
+    unassigned = "".join(map(chr, (c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")))
+    found = regex.findall(r"\P{Cn}", unassigned)
+    return regex.compile("[" + "".join(map(regex.escape, found)) + "]" if found else r"(?!)")
+
+
 class BacktrackingBPE:
     """A tokenizer file of the ``tokenizers`` library: NFC, lower case, a split pattern, byte-level BPE with word ends.
 
@@ -50,7 +60,8 @@ class BacktrackingBPE:
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         # \s of the library is the Unicode property; \s of Python also has U+001C to U+001F.
-        self.pieces = regex.compile(pattern.replace("\\s", "\\p{White_Space}")).findall
+        self.finder = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
+        self.newer = newer_characters()
 
         def symbols(token: str) -> str:
             ends = bool(end) and token.endswith(end) and len(token) > len(end)
@@ -153,7 +164,7 @@ class BacktrackingBPE:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.special and "<|" in text and (parts := self.special.split(text)):
+        if self.special and self.special.search(text) and (parts := self.special.split(text)):
             return b"".join(self.specials[x].to_bytes(4, "little") if k % 2 else self._plain(x) for k, x in enumerate(parts))
         return self._plain(text)
 
@@ -163,6 +174,12 @@ class BacktrackingBPE:
             text = text.replace("Σ", "σ")  # lower case goes letter by letter: no final sigma
         return b"".join(map(self.cache.__getitem__, self.pieces(text.lower())))
 
+    def pieces(self, text: str) -> list[str]:
+        if text.isascii() or not self.newer.search(text):
+            return self.finder.findall(text)
+        # the cut sees an unassigned character in place of each newer one
+        return [text[m.start() : m.end()] for m in self.finder.finditer(self.newer.sub(UNASSIGNED, text))]
+
     def decode(self, ids: bytes) -> bytes:
         """The printed tokens joined by spaces, in UTF-8, read through the offset table."""
         blob, offsets = self.blob, self._offset_list
