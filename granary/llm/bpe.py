@@ -29,8 +29,18 @@ from pyspark.sql import DataFrame
 from .rows import Memo, map_rows, pick
 
 # The byte alphabet of byte-level BPE prints these bytes as themselves, the others from U+0100 on.
-UNASSIGNED = "\u0378"
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+# What the library's tables say of characters that Unicode 15.1 (Python's tables) lacks: ranges of letters
+# and of numbers, and of capitals with the distance to their small letters.
+NEWER_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5),
+    (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEWER_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+NEWER_CAPITALS = [
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1),
+    (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,11 +49,20 @@ def byte_alphabet() -> dict[str, int]:
     return letters | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-def newer_characters() -> regex.Pattern:
-    """The characters that the ``regex`` module knows and Python's Unicode tables (those of the library) don't."""
-    unassigned = "".join(map(chr, (c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")))
-    found = regex.findall(r"\P{Cn}", unassigned)
-    return regex.compile("[" + "".join(map(regex.escape, found)) + "]" if found else r"(?!)")
+def newer_characters() -> tuple[regex.Pattern, dict[int, str], dict[int, int]]:
+    """What Python's tables lack: a pattern of these characters, a stand-in of the same class that all tables know, small letters."""
+    missing = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    stand_in = dict.fromkeys(missing, "\u0378")  # unassigned in all tables
+    for ranges, known in ((NEWER_LETTERS, "\u4e00"), (NEWER_NUMBERS, "0")):
+        stand_in |= {c: known for low, high in ranges for c in range(low, high + 1)}
+    small = {c: c + d for low, high, d in NEWER_CAPITALS for c in range(low, high + 1)}
+    runs: list[list[int]] = []
+    for c in missing:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"), stand_in, small
 
 
 class BacktrackingBPE:
@@ -61,7 +80,7 @@ class BacktrackingBPE:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         # \s of the library is the Unicode property; \s of Python also has U+001C to U+001F.
         self.finder = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
-        self.newer = newer_characters()
+        self.newer, self.stand_in, self.small = newer_characters()
 
         def symbols(token: str) -> str:
             ends = bool(end) and token.endswith(end) and len(token) > len(end)
@@ -172,13 +191,11 @@ class BacktrackingBPE:
         text = unicodedata.normalize("NFC", text)
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # lower case goes letter by letter: no final sigma
-        return b"".join(map(self.cache.__getitem__, self.pieces(text.lower())))
-
-    def pieces(self, text: str) -> list[str]:
+        text = text.lower()
         if text.isascii() or not self.newer.search(text):
-            return self.finder.findall(text)
-        # the cut sees an unassigned character in place of each newer one
-        return [text[m.start() : m.end()] for m in self.finder.finditer(self.newer.sub(UNASSIGNED, text))]
+            return b"".join(map(self.cache.__getitem__, self.finder.findall(text)))
+        text = text.translate(self.small)
+        return b"".join(self.cache[text[m.start() : m.end()]] for m in self.finder.finditer(text.translate(self.stand_in)))
 
     def decode(self, ids: bytes) -> bytes:
         """The printed tokens joined by spaces, in UTF-8, read through the offset table."""
