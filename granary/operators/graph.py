@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_fraction
-from ..session import cut
+from ..session import Scratch, cut
+from .skew import join_groups
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -14,16 +15,16 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     """Links neighbours (all greater ones, or all smaller ones and the node) with the least node around.
 
-    Only minima are grouped and joined back: no group of neighbours is ever gathered.
+    Only minima are grouped and joined back: no group of neighbours is ever gathered, and nodes with many are broadcast.
     """
     turned = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         turned = turned.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = turned.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = turned.join(least, "u")
+    least = turned.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+    joined = join_groups(turned, least, "u", 2 * n if large else n)
     out = joined.where("v > u") if large else joined
     out = out.select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b"))
     if not large:
@@ -34,16 +35,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` (the least node of its component) for each node of ``links`` (a, b); other nodes stand alone.
 
-    Large and small stars in turn: the rounds grow with the logarithm of the diameter, not with it.
+    Large and small stars in turn: the rounds grow with the logarithm of the diameter, not with it. Each round's
+    table is deleted when the next one is written.
     """
-    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    state = _state(edges)
-    while state[0]:
-        edges = cut(_star(_star(edges, True), False))
-        before, state = state, _state(edges)
-        if state == before:
-            break
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
+    with Scratch(links.sparkSession) as scratch:
+        edges = scratch.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+        state = _state(edges)
+        while state[0]:
+            large = scratch.cut(_star(edges, True, state[0]))
+            scratch.drop(edges)
+            edges = scratch.cut(_star(large, False, large.count()))
+            scratch.drop(large)
+            before, state = state, _state(edges)
+            if state == before:
+                break
+        both = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("label")), F.struct(F.col("b").alias("node"), F.col("b").alias("label")))
+        return scratch.keep(edges.select(F.inline(both)).distinct())
 
 
 def sample_tokens(samples: DataFrame) -> DataFrame:

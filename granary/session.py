@@ -52,22 +52,71 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/granary-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write and reread: ends the lineage in storage that survives lost executors."""
-    path = shared_dir(df.sparkSession)
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_and_read(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
+    at, fs = file_system(df.sparkSession, path)
+    fs.deleteOnExit(at)  # with the driver's JVM, if nobody deletes it before
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write and reread: ends the lineage in storage that survives lost executors. The table lives as long as the application."""
+    return write_and_read(df, shared_dir(df.sparkSession))
+
+
+class Scratch:
+    """Tables that are cut within a ``with`` block and deleted at its end, unless they are kept: what the result reads must be."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        for _, path in self.paths:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        at, fs = file_system(self.spark, path)
+        fs.delete(at, True)
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(self.spark)
+        out = write_and_read(df, path)
+        self.paths.append((out, path))
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Cuts ``df`` into a table that outlives the block."""
+        return cut(df)
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes a table before the block ends."""
+        for k, (known, path) in enumerate(self.paths):
+            if known is df:
+                self._delete(path)
+                del self.paths[k]
+                return
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python, once per application."""
     sc = spark.sparkContext
     if getattr(sc, "_granary_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    file = os.path.join(os.path.realpath(tempfile.mkdtemp()), "granary_package.zip")
-    with zipfile.ZipFile(file, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, p.relative_to(root.parent))
-    sc.addPyFile(file)
+    with tempfile.TemporaryDirectory() as folder:  # of the driver alone: addPyFile copies it to the file server's folder
+        file = os.path.join(os.path.realpath(folder), "granary_package.zip")
+        with zipfile.ZipFile(file, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(file)
     sc._granary_shipped = True
