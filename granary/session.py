@@ -113,10 +113,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_granary_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory() as folder:  # of the driver alone: addPyFile copies it to the file server's folder
-        file = os.path.join(os.path.realpath(folder), "granary_package.zip")
-        with zipfile.ZipFile(file, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(file)
-    sc._granary_shipped = True
+    folder = tempfile.TemporaryDirectory()  # of the driver, which serves the file; removed when the driver ends
+    file = os.path.join(os.path.realpath(folder.name), "granary_package.zip")
+    with zipfile.ZipFile(file, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(file)
+    sc._granary_shipped = folder
