@@ -3,18 +3,28 @@
 For sketches a text's shingles are labelled with their occurrence number, so that all are
 distinct. For each of ``hashes`` hash functions the ``width`` least shingles are taken and kept in text
 order: their sequence is one bucket key, which texts share only if the same shingles are
-least *and* stand in the same order. In each bucket all texts are compared with one of
-them; buckets whose texts then still belong to more than one group have the pairs across
-groups compared as well, so no pair of a bucket is left undecided, and a large group of
-copies costs one comparison per text.
+least *and* stand in the same order. Texts of at most ``short`` shingles have as many keys of
+``short_width`` shingles besides.
+
+In each bucket all texts are compared with a few hubs, one at first and more in later rounds, as
+long as the bucket's texts belong to more than one class; at last the pairs across classes that are
+left are compared too, so no pair of a bucket is left undecided, and a large group of copies costs one
+comparison per text. Pairs whose shingles' bit maps rule the similarity out are not compared.
 
 Two texts are linked if an alignment inside a diagonal band matches shingles in order with
 matched / (n1 + n2 - matched) >= ``similarity``. The band is as wide as two texts at that
 similarity can shift. Shingles are aligned without labels: any two occurrences match. Classes are the connected components of the links.
 
-With width 4 and 20 hashes a pair at similarity 0.8 shares no bucket with probability
-3e-5. Equal texts are one node from the start and are never paired. A null text counts as
-empty; texts without words are linked with nothing but equal texts. A null id is kept.
+With width 4 and 20 hashes a pair of long texts at similarity 0.8 shares no bucket with probability
+3e-5; the shorter keys bring it below that for texts of few shingles.
+
+Buckets, classes and hubs may be hot: groups with more than 1 / 2000 of the rows are broadcast to
+their rows, not gathered (``operators.skew``); a hub's text is sent once to each of ``spread`` groups of
+its partners; pairs across classes of a large bucket are dealt out by both texts.
+
+Equal texts are one node from the start and are never paired. A null text counts as
+empty; texts without words are linked with nothing but equal texts. A null id is kept. Ids can be of any
+type, and repeated rows are one node; an empty table gives an empty result. Other columns can have any names.
 """
 
 from __future__ import annotations
@@ -27,21 +37,27 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from ..operators.graph import components
+from ..operators.skew import join_groups, join_unique, with_groups
+from ..session import Scratch
 from .rows import Shingler, map_rows, mix
 
 #: Nodes up to this number (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_NODES = 400_000
+#: Texts of a bucket that meet in one task in the comparison across classes, on each side.
+ACROSS = 500
 
 
 @dataclass(frozen=True)
 class Settings:
     hashes: int = 20
     width: int = 4
+    short: int = 40
+    short_width: int = 2
     similarity: float = 0.8
-    rounds: int = 1
+    hubs: tuple[int, ...] = (1, 4, 16)
     bits: int = 1024
+    spread: int = 64
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
@@ -60,22 +76,24 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray, settings: Settings) -> np.ndarray:
-    """One key per hash function; none for a text without shingles."""
+    """One key per hash function, two for a short text; none for a text without shingles."""
     if not len(shingles):
         return np.zeros(0, np.int64)
-    width = min(settings.width, len(shingles))
-    out = np.empty(settings.hashes, np.uint64)
+    widths = (settings.width, settings.short_width) if len(shingles) <= settings.short else (settings.width,)
+    out = np.empty((len(widths), settings.hashes), np.uint64)
     step = max(1, 500_000 // len(shingles))
     for at in range(0, settings.hashes, step):
         seeds = mix(np.arange(at + 1, min(at + step, settings.hashes) + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
         x = (shingles[None, :] ^ seeds[:, None]) * np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(32)
-        least = np.sort(np.argpartition(x, width - 1, axis=1)[:, :width], axis=1)  # in text order
-        key = seeds.copy()
-        for c in range(width):
-            key = mix(key * np.uint64(0xE7037ED1A0B428DB | 1) + shingles[least[:, c]])
-        out[at : at + len(seeds)] = key
-    return out.view(np.int64)
+        for k, wanted in enumerate(widths):
+            width = min(wanted, len(shingles))
+            least = np.sort(np.argpartition(x, width - 1, axis=1)[:, :width], axis=1)  # in text order
+            key = seeds + np.uint64(k)
+            for c in range(width):
+                key = mix(key * np.uint64(0xE7037ED1A0B428DB | 1) + shingles[least[:, c]])
+            out[k, at : at + len(seeds)] = key
+    return out.reshape(-1).view(np.int64)
 
 
 def bit_map(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -152,47 +170,113 @@ def node(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def with_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    needed = cut(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct())
+def verify(docs: DataFrame, pairs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches the similarity; ``pairs`` is a cut table.
+
+    Partners b of a text a are dealt to ``spread`` groups, each of which meets one copy of a's text: rows of a group
+    come in order, the text of a before those of its partners.
+    """
+    needed = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     if needed.count() <= BROADCAST_NODES:
         needed = F.broadcast(needed)
-    texts = cut(docs.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"]))
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
-    other = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
-    return pairs.join(one, "a").join(other, "b")
-
-
-def verify(docs: DataFrame, pairs: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the similarity."""
+    texts = scratch.cut(docs.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"]))
+    dealt = pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(settings.spread)).cast("int"))
+    none = F.lit(None).cast("binary")
+    heads = dealt.select("a", "g").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "g", none.alias("b"), "text")
+    partners = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "g", "b", "text")
+    rows = heads.unionByName(partners).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
 
     def make():
         shingler = Shingler()
-        known: dict[bytes, np.ndarray] = {}
-        held = 0
-
-        def of(name: bytes, text: str) -> np.ndarray:
-            nonlocal held
-            if name not in known:
-                if held > 4_000_000:
-                    known.clear()
-                    held = 0
-                known[name] = shingler.shingles(shingler.words(text))
-                held += len(known[name])
-            return known[name]
+        head = np.zeros(0, np.uint64)
 
         def step(row: dict) -> Iterator[tuple]:
-            s = aligned_similarity(of(row["a"], row["s"]), of(row["b"], row["t"]), settings.similarity)
+            nonlocal head
+            own = shingler.shingles(shingler.words(row["text"]))
+            if row["b"] is None:
+                head = own
+                return
+            s = aligned_similarity(head, own, settings.similarity)
             if s >= settings.similarity - 1e-12:
                 yield row["a"], row["b"], s
 
         return step
 
-    return map_rows(with_texts(docs, pairs), make, "a binary, b binary, similarity double")
-
-
-def labelled_rows(df: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, node, label`` of every row; the label (least node) names its class even where ids are null or repeated."""
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), node(text_col).alias("node"))
+    return map_rows(rows, make, "a binary, b binary, similarity double")
+
+
+def ordered_pair(x: Column, y: Column) -> list[Column]:
+    """``a``, ``b`` of two structs (shared, node): the text that shares more buckets is a."""
+    return [F.greatest(x, y)["node"].alias("a"), F.least(x, y)["node"].alias("b")]
+
+
+def hub_pairs(own: DataFrame, turn: int, hubs: int, n: int) -> DataFrame:
+    """Each text of a bucket with the bucket's hubs of other classes; hubs are the texts that share most buckets among those of a slot."""
+    me = F.struct("shared", "node", "label")
+    slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(hubs))
+    best = own.groupBy("key", slot.alias("slot")).agg(F.max(me).alias("hub"), F.count(F.lit(1)).alias("size"))
+    groups = best.groupBy("key").agg(F.collect_list("hub").alias("found"), F.sum("size").alias("size"))  # ``hubs`` at most
+    met = join_groups(own.drop("size"), groups, "key", n).select("shared", "node", "label", F.explode("found").alias("hub")).where("label <> hub.label")
+    return met.select(*ordered_pair(F.struct("shared", "node"), F.struct("hub.shared", "hub.node"))).distinct()
+
+
+def pairs_across(own: DataFrame, profiles: DataFrame, settings: Settings, n: int) -> DataFrame:
+    """All pairs of a bucket that are in two classes, each in the first bucket alone that the two share."""
+    whole = own.select("key", "i", "node", "label", "size").join(profiles, "node")
+    parts = F.ceil(F.col("size") / ACROSS).cast("int")
+    part = F.pmod(F.xxhash64("node"), parts).cast("int")
+    # a large bucket has parts x parts tasks; a small one has one
+    x = whole.select("key", F.col("i").alias("x_i"), F.col("label").alias("x_label"), F.struct("shared", "node").alias("x_me"), F.col("p").alias("x"), part.alias("r"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("c"))
+    y = whole.select("key", F.col("label").alias("y_label"), F.struct("shared", "node").alias("y_me"), F.col("p").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("r"), part.alias("c"))
+    both = x.join(y, ["key", "r", "c"]).where((F.col("x_label") != F.col("y_label")) & (F.col("x_me") > F.col("y_me")) & possible("x", "y", settings))
+    shared = F.coalesce(*(F.when(F.get("x.keys", F.lit(j)) == F.get("y.keys", F.lit(j)), F.lit(j)) for j in range(2 * settings.hashes)))
+    return both.where(shared == F.col("x_i")).select(*ordered_pair(F.col("x_me"), F.col("y_me")))
+
+
+def node_labels(docs: DataFrame, sketches: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
+    """``node, label`` (least node of its class) of the nodes that have a link; ``docs`` has ``node, text``."""
+    texts = scratch.cut(sketches.select("node", "n", "bits", "keys").dropDuplicates(["node"]))
+    entries = scratch.cut(texts.select("node", F.posexplode("keys").alias("i", "key")))
+    own = scratch.cut(with_groups(entries, "key", entries.count()).where("size > 1"))
+    scratch.drop(entries)
+    profiles = own.groupBy("node").agg(F.sum("size").alias("shared")).join(texts, "node")
+    profiles = scratch.cut(profiles.select("node", "shared", F.struct("n", "bits", "keys").alias("p")))
+    own = own.join(profiles.select("node", "shared"), "node").withColumn("label", F.col("node"))
+
+    # own: the buckets in which more than one class is left; tried: pairs that need no second look
+    own, found = scratch.cut(own), scratch.cut(profiles.select("node", F.col("node").alias("label")).limit(0))
+    tried: DataFrame | None = None
+    for turn, hubs in enumerate((*settings.hubs, 0)):
+        n = own.count()
+        if not n:
+            break
+        if hubs:
+            if turn and own.agg(F.max("size")).first()[0] <= hubs:
+                continue  # hubs would be all texts
+            pairs = scratch.cut(hub_pairs(own, turn, hubs, n))
+            both = join_unique(pairs, profiles.select(F.col("node").alias("a"), F.col("p").alias("x")), "a", pairs.count())
+            both = both.join(profiles.select(F.col("node").alias("b"), F.col("p").alias("y")), "b")
+            new = both.where(possible("x", "y", settings)).select("a", "b")
+        else:
+            new = pairs_across(own, profiles, settings, n)
+        pairs = scratch.cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if pairs.isEmpty():
+            continue
+        links = verify(docs, pairs, settings, scratch).select("a", "b").unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        found = components(links)
+        if hubs:
+            labelled = own.drop("label", "size").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            labelled = scratch.cut(labelled)
+            marked = with_groups(labelled, "key", n, mixed=F.min("label") != F.max("label"))
+            scratch.drop(own)
+            own = scratch.cut(marked.where("mixed").drop("mixed"))
+            scratch.drop(labelled)
+    return found
+
+
+def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
+    """``doc_id, node, n, keys, bits`` of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def make():
@@ -204,49 +288,18 @@ def labelled_rows(df: DataFrame, settings: Settings, id_col: str, text_col: str)
 
         return step
 
-    sketches = cut(map_rows(docs, make, f"doc_id {kind}, node binary, n int, keys array<long>, bits array<long>"))
-    texts = sketches.select("node", "n", "bits", "keys").dropDuplicates(["node"])
-    entries = texts.select("node", F.posexplode("keys").alias("i", "key"))
-    entries = cut(entries.join(entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "key"))
-    profiles = entries.groupBy("node").agg(F.sum("size").alias("shared")).join(texts.select("node", "n", "bits", "keys"), "node")
-    profiles = cut(profiles.withColumn("p", F.struct("n", "bits", "keys")).select("node", "shared", "p"))
-
-    # own: the buckets in which more than one group is left; tried: pairs that need no second look
-    own = entries.select("key", "i", "node").join(profiles.select("node", "shared"), "node").withColumn("label", F.col("node"))
-    tried = links = found = None
-    for turn in range(settings.rounds + 1):
-        if turn < settings.rounds:
-            hubs = own.groupBy("key").agg(F.max(F.struct("shared", "node", "label")).alias("hub"))
-            pairs = own.join(hubs, "key").where(F.col("label") != F.col("hub.label")).select(F.greatest("node", "hub.node").alias("a"), F.least("node", "hub.node").alias("b")).distinct()
-            pairs = pairs.join(profiles.select(F.col("node").alias("a"), F.col("p").alias("x")), "a").join(profiles.select(F.col("node").alias("b"), F.col("p").alias("y")), "b")
-            pairs = pairs.where(possible("x", "y", settings)).select("a", "b")
-        else:
-            whole = own.select("key", "i", "node", "label").join(profiles.select("node", "p"), "node")
-            x, y = (whole.select("key", "i", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "label")), F.col("p").alias(side)) for side in "xy")
-            across = [x["key"] == y["key"], F.col("x_label") != F.col("y_label"), F.col("x_node") > F.col("y_node"), possible("x", "y", settings)]
-            # in the first bucket alone that the two share: each pair comes once
-            shared = F.coalesce(*(F.when(F.get("x.keys", F.lit(j)) == F.get("y.keys", F.lit(j)), F.lit(j)) for j in range(settings.hashes)))
-            pairs = x.join(y, [*across, shared == x["i"]]).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if not pairs.isEmpty():
-            new = verify(docs, pairs, settings).select("a", "b")
-            links = cut(new if links is None else links.unionByName(new))
-            found = cut(components(links))
-        elif turn == settings.rounds:
-            break
-        if turn == 0 or not pairs.isEmpty():
-            labels = found if found is not None else profiles.select("node", F.col("node").alias("label")).limit(0)
-            own = own.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            mixed = own.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed")
-            own = cut(own.join(mixed.select("key"), "key", "left_semi"))
-        # the next turn asks other texts: those that have been asked go to the end
-        asked = own.groupBy("key").agg(F.max(F.struct("shared", "node")).alias("hub"))
-        if turn + 1 < settings.rounds:
-            own = own.join(asked, "key").withColumn("shared", F.when(F.col("node") == F.col("hub.node"), -1).otherwise(F.col("shared"))).drop("hub")
+    return map_rows(docs, make, f"doc_id {kind}, node binary, n int, keys array<long>, bits array<long>")
 
-    found = found if found is not None else profiles.select("node", F.col("node").alias("label")).limit(0)
-    return sketches.select("doc_id", "node").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+def labelled_nodes(df: DataFrame, settings: Settings, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node`` of every row, and ``node, size, least, label`` of every node: its rows, its least id, its class."""
+    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), node(text_col).alias("node"))
+    sketches = scratch.cut(sketched(docs, settings))
+    found = node_labels(docs, sketches, settings, scratch)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))).alias("least")
+    nodes = sketches.groupBy("node").agg(F.count(F.lit(1)).alias("size"), least)
+    nodes = scratch.cut(nodes.join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    return sketches.select("doc_id", "node"), nodes
 
 
 def near_duplicates(df: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,19 +307,23 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), *, id_col: s
 
     Classes with null or repeated ids can share a ``class_id``; the label (least node) tells them apart.
     """
-    rows = labelled_rows(df, settings, id_col, text_col)
-    classes = rows.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return rows.join(classes, "label").select("doc_id", "node", "label", "class_id", "class_size")
+    with Scratch(df.sparkSession) as scratch:
+        rows, nodes = labelled_nodes(df, settings, id_col, text_col, scratch)
+        whole = with_groups(nodes.withColumnRenamed("size", "copies").select("node", "label", "least", "copies"), "label", nodes.count(), class_id=F.min("least")["id"], class_size=F.sum("copies"))
+        whole = whole.select("node", "label", "class_id", "class_size", F.col("copies").alias("size"))
+        n = rows.count()
+        return scratch.keep(join_groups(rows, whole, "node", n).select("doc_id", "node", "label", "class_id", "class_size"))
 
 
-def keep_one(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def keep_one(df: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, the one with the least id (of rows that repeat it, one; a null id comes last), with all columns.
 
     Rows are matched by id and text digest together, so that no group of copies meets in one task.
     """
-    rows = labelled_rows(df, settings, "doc_id", "text")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("least")
-    kept = rows.groupBy("label").agg(least).select(F.col("least.doc_id").alias("_i"), F.col("least.node").alias("_n"))
-    marked = df.withColumn("_d", node("text"))
-    same = marked["_d"].eqNullSafe(kept["_n"]) & marked["doc_id"].eqNullSafe(kept["_i"])
-    return marked.join(kept, same).dropDuplicates(["_i", "_n"]).select(*(marked[c] for c in df.columns))
+    with Scratch(df.sparkSession) as scratch:
+        _, nodes = labelled_nodes(df, settings, id_col, text_col, scratch)
+        first = F.min(F.struct("least.none", "least.id", "node")).alias("first")
+        kept = scratch.keep(nodes.groupBy("label").agg(first).select(F.col("first.id").alias("i"), F.col("first.node").alias("n")))
+    marked = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), F.col(id_col).alias("own_id"), node(text_col).alias("own_node"))
+    same = F.col("own_node").eqNullSafe(F.col("n")) & F.col("own_id").eqNullSafe(F.col("i"))
+    return marked.join(kept, same).dropDuplicates(["i", "n"]).select("row.*")
