@@ -6,10 +6,11 @@ order: their sequence is one bucket key, which texts share only if the same shin
 least *and* stand in the same order. Texts of at most ``short`` shingles have as many keys of
 ``short_width`` shingles besides.
 
-In each bucket all texts are compared with a few hubs, one at first and more in later rounds, as
-long as the bucket's texts belong to more than one class; at last the pairs across classes that are
-left are compared too, so no pair of a bucket is left undecided, and a large group of copies costs one
-comparison per text. Pairs whose shingles' bit maps rule the similarity out are not compared.
+In each bucket all texts are compared with a hub. While a bucket of more than ``many`` texts belongs to more
+than one class, and the last round has linked a tenth of the texts it asked, more hubs are asked; at last
+the pairs across classes that are left are compared too, so no pair of a bucket is left undecided, and a large group of
+copies costs one comparison per text. Filters spare pairs the comparison: bit maps of the shingles rule the
+similarity out for sure (small ones within buckets, then maps of 8 bits a shingle).
 
 Two texts are linked if an alignment inside a diagonal band matches shingles in order with
 matched / (n1 + n2 - matched) >= ``similarity``. The band is as wide as two texts at that
@@ -20,7 +21,7 @@ With width 4 and 20 hashes a pair of long texts at similarity 0.8 shares no buck
 
 Buckets, classes and hubs may be hot: groups with more than 1 / 2000 of the rows are broadcast to
 their rows, not gathered (``operators.skew``); a hub's text is sent once to each of ``spread`` groups of
-its partners; pairs across classes of a large bucket are dealt out by both texts.
+its partners; pairs across classes of a large bucket are dealt out by both texts, ``ACROSS`` of them on each side.
 
 Equal texts are one node from the start and are never paired. A null text counts as
 empty; texts without words are linked with nothing but equal texts. A null id is kept. Ids can be of any
@@ -38,9 +39,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..operators.skew import join_groups, join_unique, with_groups
+from ..operators.skew import join_groups, with_groups
 from ..session import Scratch
-from .rows import Shingler, map_rows, mix
+from .rows import Shingler, map_groups, map_rows, mix
 
 #: Nodes up to this number (16 bytes each) are broadcast to pick their texts; more are joined by shuffle.
 BROADCAST_NODES = 400_000
@@ -55,7 +56,7 @@ class Settings:
     short: int = 40
     short_width: int = 2
     similarity: float = 0.8
-    hubs: tuple[int, ...] = (1, 4, 16)
+    many: int = 4096
     bits: int = 1024
     spread: int = 64
 
@@ -96,22 +97,26 @@ def sketch(shingles: np.ndarray, settings: Settings) -> np.ndarray:
     return out.reshape(-1).view(np.int64)
 
 
-def bit_map(shingles: np.ndarray, bits: int) -> np.ndarray:
+def bit_map(shingles: np.ndarray, bits: int) -> bytes:
     out = np.zeros(bits, bool)
     out[(shingles % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(out).view(np.int64)
+    return np.packbits(out).tobytes()
 
 
-def possible(x: str, y: str, settings: Settings) -> Column:
-    """Whether structs ``x`` and ``y`` (n, bits) can reach the similarity: from bits that only one has set."""
-    share = settings.similarity / (1 + settings.similarity)
+def large_map(shingles: np.ndarray) -> bytes:
+    """8 to 16 bits a shingle; the size is a power of two."""
+    return bit_map(shingles, 8 << max(3, len(shingles).bit_length()))
 
-    def most(p: str, q: str) -> Column:
-        alone = sum((F.bit_count(F.get(f"{p}.bits", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"{q}.bits", F.lit(i))))) for i in range(settings.bits // 64)), F.lit(0))
-        return F.col(f"{p}.n") - alone
 
-    n = F.col(f"{x}.n") + F.col(f"{y}.n")
-    return (F.least(f"{x}.n", f"{y}.n") >= settings.similarity * F.greatest(f"{x}.n", f"{y}.n")) & (F.least(most(x, y), most(y, x)) >= n * share - 1e-9)
+def shared_at_most(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray]) -> int:
+    """A bound on the shingles that two sets (number, large map) share: all but those whose bits only one has."""
+    (n, x), (m, y) = a, b
+    size = min(len(x), len(y))
+    if len(x) > size:
+        x = np.bitwise_or.reduce(x.reshape(-1, size), axis=0)
+    if len(y) > size:
+        y = np.bitwise_or.reduce(y.reshape(-1, size), axis=0)
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
 def longest_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -136,73 +141,121 @@ def longest_common(a: np.ndarray, b: np.ndarray) -> int:
     return head + tail + len(a) - free.bit_count()
 
 
+class Prepared:
+    """A text's shingles, sorted to be looked up by others."""
+
+    def __init__(self, labels: np.ndarray, plain: np.ndarray | None) -> None:
+        self.labels, self.plain = labels, plain
+        self.order = np.argsort(labels, kind="stable")
+        self.sorted = labels[self.order]
+
+    def similarity(self, labels: np.ndarray, plain: np.ndarray | None, least: float) -> float:
+        """matched / (n1 + n2 - matched) of the longest chain in the band; 0.0 where it can't reach ``least``."""
+        own, n = len(self.labels), len(self.labels) + len(labels)
+        if not own or not len(labels) or min(own, len(labels)) < least * max(own, len(labels)):
+            return 0.0
+        place = np.minimum(np.searchsorted(self.sorted, labels), own - 1)
+        j = np.flatnonzero(self.sorted[place] == labels)
+        i = self.order[place[j]]
+        if len(i) < n * least / (1 + least) - 1e-9:  # even regardless of order
+            return 0.0
+        if self.plain is not None or plain is not None:
+            # a repeat matches any other: labels would tie the k-th to the k-th. A chain that reaches ``least`` stays in the band
+            matched = longest_common(self.labels if self.plain is None else self.plain, labels if plain is None else plain)
+            return matched / (n - matched)
+        i = i[np.abs(i - j) <= n * (1 - least) / (1 + least)]
+        if len(i) < n * least / (1 + least) - 1e-9:
+            return 0.0
+        if np.all(i[1:] > i[:-1]):
+            matched = len(i)
+        else:
+            tails: list[int] = []
+            for x in i.tolist():
+                k = bisect_left(tails, x)
+                tails[k : k + 1] = [x]
+            matched = len(tails)
+        return matched / (n - matched)
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
-    """matched / (n1 + n2 - matched) of the longest chain in the band; 0.0 where it can't reach ``least``."""
-    n = len(a) + len(b)
-    if not len(a) or not len(b) or min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
     x, y = labelled(a), labelled(b)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if len(i) < n * least / (1 + least) - 1e-9:  # even regardless of order
-        return 0.0
-    if x is not a or y is not b:
-        # a repeat matches any other: labels would tie the k-th to the k-th. A chain that reaches ``least`` stays in the band
-        matched = longest_common(a, b)
-        return matched / (n - matched)
-    band = n * (1 - least) / (1 + least)
-    near = np.abs(i - j) <= band
-    i, j = i[near], j[near]
-    if len(i) < n * least / (1 + least) - 1e-9:
-        return 0.0
-    j = j[np.argsort(i)]
-    if np.all(j[1:] > j[:-1]):
-        matched = len(j)
-    else:
-        tails: list[int] = []
-        for x in j.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        matched = len(tails)
-    return matched / (n - matched)
+    return Prepared(x, None if x is a else a).similarity(y, None if y is b else b, least)
 
 
 def node(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the similarity; ``pairs`` is a cut table.
+def dealt(pairs: DataFrame, profiles: DataFrame, settings: Settings, *columns: str) -> DataFrame:
+    """``a, g, b`` and the columns of b, in order within a partition; a row without b brings those of a.
 
-    Partners b of a text a are dealt to ``spread`` groups, each of which meets one copy of a's text: rows of a group
-    come in order, the text of a before those of its partners.
+    Partners b of a text a are dealt to ``spread`` groups, each of which meets one copy of a's columns.
     """
-    needed = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    if needed.count() <= BROADCAST_NODES:
-        needed = F.broadcast(needed)
-    texts = scratch.cut(docs.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"]))
-    dealt = pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(settings.spread)).cast("int"))
+    pairs = pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(settings.spread)).cast("int"))
     none = F.lit(None).cast("binary")
-    heads = dealt.select("a", "g").distinct().join(texts.withColumnRenamed("node", "a"), "a").select("a", "g", none.alias("b"), "text")
-    partners = dealt.join(texts.withColumnRenamed("node", "b"), "b").select("a", "g", "b", "text")
-    rows = heads.unionByName(partners).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
+    heads = pairs.select("a", "g").distinct().join(profiles.select(F.col("node").alias("a"), *columns), "a").select("a", "g", none.alias("b"), *columns)
+    partners = pairs.join(profiles.select(F.col("node").alias("b"), *columns), "b").select("a", "g", "b", *columns)
+    return heads.unionByName(partners).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
+
+
+def closer(pairs: DataFrame, profiles: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs whose large maps leave the similarity possible; loses none that have it."""
+    share = settings.similarity / (1 + settings.similarity)
 
     def make():
-        shingler = Shingler()
-        head = np.zeros(0, np.uint64)
+        head: tuple[int, np.ndarray] = (0, np.zeros(0, np.uint8))
 
         def step(row: dict) -> Iterator[tuple]:
             nonlocal head
-            own = shingler.shingles(shingler.words(row["text"]))
+            own = row["n"], np.frombuffer(row["map"], np.uint8)
             if row["b"] is None:
                 head = own
+            elif shared_at_most(head, own) >= (head[0] + own[0]) * share - 1e-9:
+                yield row["a"], row["b"]
+
+        return step
+
+    return map_rows(dealt(pairs, profiles, settings, "n", "map"), make, "a binary, b binary")
+
+
+def verify(pairs: DataFrame, profiles: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches the similarity."""
+
+    def make():
+        head = Prepared(np.zeros(0, np.uint64), None)
+
+        def step(row: dict) -> Iterator[tuple]:
+            nonlocal head
+            own = np.frombuffer(row["labels"], np.uint64), None if row["plain"] is None else np.frombuffer(row["plain"], np.uint64)
+            if row["b"] is None:
+                head = Prepared(*own)
                 return
-            s = aligned_similarity(head, own, settings.similarity)
+            s = head.similarity(*own, settings.similarity)
             if s >= settings.similarity - 1e-12:
                 yield row["a"], row["b"], s
 
         return step
 
-    return map_rows(rows, make, "a binary, b binary, similarity double")
+    return map_rows(dealt(pairs, profiles, settings, "labels", "plain"), make, "a binary, b binary, similarity double")
+
+
+def profiled(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
+    """``node, shared, n, bits, map, labels, plain`` of the nodes in ``wanted`` (node, shared): their shingles, hashed once."""
+    if wanted.count() <= BROADCAST_NODES:
+        wanted = F.broadcast(wanted)
+    texts = docs.select("node", "text").join(wanted, "node").dropDuplicates(["node"])
+
+    def make():
+        shingler = Shingler()
+
+        def step(row: dict) -> Iterator[tuple]:
+            plain = shingler.shingles(shingler.words(row["text"]))
+            s = labelled(plain)
+            yield row["node"], row["shared"], len(s), bit_map(s, settings.bits), large_map(s), s.tobytes(), None if s is plain else plain.tobytes()
+
+        return step
+
+    return map_rows(texts, make, "node binary, shared long, n int, bits binary, map binary, labels binary, plain binary")
 
 
 def ordered_pair(x: Column, y: Column) -> list[Column]:
@@ -220,63 +273,84 @@ def hub_pairs(own: DataFrame, turn: int, hubs: int, n: int) -> DataFrame:
     return met.select(*ordered_pair(F.struct("shared", "node"), F.struct("hub.shared", "hub.node"))).distinct()
 
 
-def pairs_across(own: DataFrame, profiles: DataFrame, settings: Settings, n: int) -> DataFrame:
-    """All pairs of a bucket that are in two classes, each in the first bucket alone that the two share."""
-    whole = own.select("key", "i", "node", "label", "size").join(profiles, "node")
+def pairs_across(own: DataFrame, profiles: DataFrame, settings: Settings) -> DataFrame:
+    """All pairs of a bucket that are in two classes, each in the first bucket alone that the two share; those that bit maps rule out are left out."""
+    whole = own.select("key", "i", "node", "label", "size").join(profiles.select("node", "shared", "n", "bits", "keys"), "node")
     parts = F.ceil(F.col("size") / ACROSS).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
-    # a large bucket has parts x parts tasks; a small one has one
-    x = whole.select("key", F.col("i").alias("x_i"), F.col("label").alias("x_label"), F.struct("shared", "node").alias("x_me"), F.col("p").alias("x"), part.alias("r"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("c"))
-    y = whole.select("key", F.col("label").alias("y_label"), F.struct("shared", "node").alias("y_me"), F.col("p").alias("y"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("r"), part.alias("c"))
-    both = x.join(y, ["key", "r", "c"]).where((F.col("x_label") != F.col("y_label")) & (F.col("x_me") > F.col("y_me")) & possible("x", "y", settings))
-    shared = F.coalesce(*(F.when(F.get("x.keys", F.lit(j)) == F.get("y.keys", F.lit(j)), F.lit(j)) for j in range(2 * settings.hashes)))
-    return both.where(shared == F.col("x_i")).select(*ordered_pair(F.col("x_me"), F.col("y_me")))
+    # a large bucket is parts x parts groups, a small one is one: side 1 has one part of the texts, side 2 another, 3 stands for both
+    all_parts = F.sequence(F.lit(0), parts - 1)
+    places = F.when(parts == 1, F.array(F.struct(F.lit(0).alias("r"), F.lit(0).alias("c"), F.lit(3).alias("side")))).otherwise(
+        F.concat(
+            F.transform(all_parts, lambda c: F.struct(part.alias("r"), c.alias("c"), F.lit(1).alias("side"))),
+            F.transform(all_parts, lambda r: F.struct(r.alias("r"), part.alias("c"), F.lit(2).alias("side"))),
+        )
+    )
+    rows = whole.select("key", "i", "node", "label", "shared", "n", "bits", "keys", F.inline(places))
+    least = settings.similarity
+
+    def make():
+        def step(group: list[dict]) -> Iterator[tuple]:
+            one, other = ([g for g in group if g["side"] & side] for side in (1, 2))
+            if not one or not other:
+                return
+            n, bits = np.array([g["n"] for g in other]), np.stack([np.frombuffer(g["bits"], np.uint64) for g in other])
+            for g in one:
+                near = np.flatnonzero((np.minimum(n, g["n"]) >= least * np.maximum(n, g["n"])))
+                own_bits = np.frombuffer(g["bits"], np.uint64)
+                most = np.minimum(
+                    g["n"] - np.bitwise_count(own_bits & ~bits[near]).sum(axis=1, dtype=np.int64),
+                    n[near] - np.bitwise_count(bits[near] & ~own_bits).sum(axis=1, dtype=np.int64),
+                )
+                for k in near[most >= (n[near] + g["n"]) * least / (1 + least) - 1e-9].tolist():
+                    h = other[k]
+                    if (g["shared"], g["node"]) > (h["shared"], h["node"]) and g["label"] != h["label"]:
+                        if next(i for i, (x, y) in enumerate(zip(g["keys"], h["keys"], strict=False)) if x == y) == g["i"]:
+                            yield g["node"], h["node"]
+
+        return step
+
+    return map_groups(rows, ["key", "r", "c"], make, "a binary, b binary")
 
 
 def node_labels(docs: DataFrame, sketches: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """``node, label`` (least node of its class) of the nodes that have a link; ``docs`` has ``node, text``."""
-    texts = scratch.cut(sketches.select("node", "n", "bits", "keys").dropDuplicates(["node"]))
+    texts = scratch.cut(sketches.select("node", "keys").dropDuplicates(["node"]))
     entries = scratch.cut(texts.select("node", F.posexplode("keys").alias("i", "key")))
     own = scratch.cut(with_groups(entries, "key", entries.count()).where("size > 1"))
     scratch.drop(entries)
-    profiles = own.groupBy("node").agg(F.sum("size").alias("shared")).join(texts, "node")
-    profiles = scratch.cut(profiles.select("node", "shared", F.struct("n", "bits", "keys").alias("p")))
-    own = own.join(profiles.select("node", "shared"), "node").withColumn("label", F.col("node"))
+    shared = scratch.cut(own.groupBy("node").agg(F.sum("size").alias("shared")))
+    profiles = scratch.cut(profiled(docs, shared, settings).join(texts, "node"))
+    own = own.join(shared, "node").withColumn("label", F.col("node"))
 
     # own: the buckets in which more than one class is left; tried: pairs that need no second look
     own, found = scratch.cut(own), scratch.cut(profiles.select("node", F.col("node").alias("label")).limit(0))
     tried: DataFrame | None = None
-    for turn, hubs in enumerate((*settings.hubs, 0)):
-        n = own.count()
-        if not n:
-            break
-        if hubs:
-            if turn and own.agg(F.max("size")).first()[0] <= hubs:
-                continue  # hubs would be all texts
-            pairs = scratch.cut(hub_pairs(own, turn, hubs, n))
-            both = join_unique(pairs, profiles.select(F.col("node").alias("a"), F.col("p").alias("x")), "a", pairs.count())
-            both = both.join(profiles.select(F.col("node").alias("b"), F.col("p").alias("y")), "b")
-            new = both.where(possible("x", "y", settings)).select("a", "b")
-        else:
-            new = pairs_across(own, profiles, settings, n)
+    turn, ask = 0, True
+    while n := own.count():
+        new = hub_pairs(own, turn, min(4**turn, 16), n) if ask else pairs_across(own, profiles, settings)
         pairs = scratch.cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        if pairs.isEmpty():
-            continue
-        links = verify(docs, pairs, settings, scratch).select("a", "b").unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        found = components(links)
-        if hubs:
-            labelled = own.drop("label", "size").join(found, "node", "left").withColumn("label", F.coalesce("label", "node"))
-            labelled = scratch.cut(labelled)
-            marked = with_groups(labelled, "key", n, mixed=F.min("label") != F.max("label"))
-            scratch.drop(own)
-            own = scratch.cut(marked.where("mixed").drop("mixed"))
-            scratch.drop(labelled)
+        near = scratch.cut(closer(pairs, profiles, settings))
+        links = scratch.cut(verify(near, profiles, settings).select("a", "b"))
+        linked = links.count()
+        if linked:
+            found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        if not ask:
+            break
+        labelled = scratch.cut(own.drop("label", "size").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        marked = with_groups(labelled, "key", n, mixed=F.min("label") != F.max("label"))
+        asked = own.select("node").distinct().count()
+        scratch.drop(own)
+        own = scratch.cut(marked.where("mixed").drop("mixed"))
+        scratch.drop(labelled)
+        largest = own.agg(F.max("size")).first()[0] or 0
+        turn, ask = turn + 1, largest > settings.many and 10 * linked >= asked
     return found
 
 
 def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
-    """``doc_id, node, n, keys, bits`` of every row."""
+    """``doc_id, node, keys`` of every row."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def make():
@@ -284,11 +358,11 @@ def sketched(docs: DataFrame, settings: Settings) -> DataFrame:
 
         def step(row: dict) -> Iterator[tuple]:
             s = labelled(shingler.shingles(shingler.words(row["text"])))
-            yield row["doc_id"], row["node"], len(s), sketch(s, settings), bit_map(s, settings.bits)
+            yield row["doc_id"], row["node"], sketch(s, settings)
 
         return step
 
-    return map_rows(docs, make, f"doc_id {kind}, node binary, n int, keys array<long>, bits array<long>")
+    return map_rows(docs, make, f"doc_id {kind}, node binary, keys array<long>")
 
 
 def labelled_nodes(df: DataFrame, settings: Settings, id_col: str, text_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

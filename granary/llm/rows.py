@@ -60,6 +60,41 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, keys: list[str], make: Callable[[], Callable[[list[dict]], Iterator[tuple]]], schema: str) -> DataFrame:
+    """Applies ``make()`` to the rows of each group of equal ``keys``, as a list: for groups of a bounded size only."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        group: list[dict] = []
+        found: list[tuple] = []
+
+        def ready(least: int) -> Iterator[pa.RecordBatch]:
+            if len(found) > least:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found), out, strict=True)], schema=out)
+                found.clear()
+
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    if group and any(group[0][k] != row[k] for k in keys):
+                        found.extend(step(group))
+                        group = []
+                        yield from ready(20_000)
+                    group.append(row)
+            if group:
+                found.extend(step(group))
+            yield from ready(0)
+        finally:
+            del step
+            group = batch = None
+            found.clear()
+            give_back()
+
+    ship(df.sparkSession)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def pick(df: DataFrame, id_col: str, text_col: str, *, keep_null: bool = False) -> DataFrame:
     """Only the id and the text, by fixed names: other columns can't clash."""
     text = F.col(text_col) if keep_null else F.coalesce(F.col(text_col), F.lit(""))
