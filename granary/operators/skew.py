@@ -28,16 +28,3 @@ def with_groups(rows: DataFrame, key: str, n: int, **figures: Column) -> DataFra
     """Each row with ``figures`` of its group, and the group's ``size``; ``rows`` is read three times, so cut it before."""
     groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"), *(v.alias(k) for k, v in figures.items()))
     return join_groups(rows, groups, key, n)
-
-
-def join_unique(rows: DataFrame, table: DataFrame, key: str, n: int) -> DataFrame:
-    """``rows`` with the columns of ``table``, whose keys are unique: hot keys of ``rows`` are broadcast with their row of it.
-
-    A row of ``table`` must be small: at most ``HOT`` of them are broadcast.
-    """
-    limit = max(LEAST, n // HOT)
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > limit)
-    hot = F.broadcast(table.join(F.broadcast(counts), key))
-    columns = [*rows.columns, *(c for c in table.columns if c != key)]
-    rest = rows.join(F.broadcast(counts), key, "left").where(F.col("_size").isNull())
-    return rows.join(hot, key).select(*columns).unionByName(rest.select(*rows.columns).join(table, key).select(*columns))
