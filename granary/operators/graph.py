@@ -15,7 +15,7 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+def _star(edges: DataFrame, large: bool, n: int, scratch: Scratch) -> DataFrame:
     """Links neighbours (all greater ones, or all smaller ones and the node) with the least node around.
 
     Only minima are grouped and joined back: no group of neighbours is ever gathered, and nodes with many are broadcast.
@@ -23,7 +23,7 @@ def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
     turned = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         turned = turned.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = turned.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+    least = scratch.cut(turned.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("size")).select("u", F.least("u", "m").alias("m"), "size"))
     joined = join_groups(turned, least, "u", 2 * n if large else n)
     out = joined.where("v > u") if large else joined
     out = out.select(F.greatest("v", "m").alias("a"), F.least("v", "m").alias("b"))
@@ -42,9 +42,9 @@ def components(links: DataFrame) -> DataFrame:
         edges = scratch.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
         state = _state(edges)
         while state[0]:
-            large = scratch.cut(_star(edges, True, state[0]))
+            large = scratch.cut(_star(edges, True, state[0], scratch))
             scratch.drop(edges)
-            edges = scratch.cut(_star(large, False, large.count()))
+            edges = scratch.cut(_star(large, False, large.count(), scratch))
             scratch.drop(large)
             before, state = state, _state(edges)
             if state == before:

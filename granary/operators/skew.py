@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Scratch
+
 #: Groups with more than 1 / HOT of the rows are hot; so there are at most HOT of them.
 HOT = 2000
 #: Smaller groups are never hot.
@@ -12,19 +14,21 @@ LEAST = 64
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: int, size: str = "size") -> DataFrame:
-    """``rows`` with the columns of ``groups``, which has one row per key with the number of its rows in ``size``.
+    """``rows`` with the columns of ``groups``, a cut table of one row per key with the number of its rows in ``size``.
 
     ``n`` is the number of rows. The hot groups, at most ``HOT`` rows, are broadcast and their rows stay where they
     are; the others are joined by shuffle. Rows whose key is null or has no group are dropped.
     """
     limit = max(LEAST, n // HOT)
-    columns = [*rows.columns, *(c for c in groups.columns if c != key)]
-    hot, cold = F.broadcast(groups.where(F.col(size) > limit)), groups.where(F.col(size) <= limit)
-    rest = rows.join(hot.withColumnsRenamed({c: f"_{c}" for c in hot.columns if c != key}), key, "left").where(F.col(f"_{size}").isNull())
-    return rows.join(hot, key).select(*columns).unionByName(rest.select(*rows.columns).join(cold, key).select(*columns))
+    hot = [r[0] for r in groups.where(F.col(size) > limit).select(key).collect()]  # HOT keys at most
+    if not hot:
+        return rows.join(groups, key)
+    is_hot = F.col(key).isin(hot)
+    own = rows.where(is_hot).join(F.broadcast(groups.where(F.col(size) > limit)), key)
+    return own.unionByName(rows.where(~is_hot).join(groups.where(F.col(size) <= limit), key))
 
 
-def with_groups(rows: DataFrame, key: str, n: int, **figures: Column) -> DataFrame:
-    """Each row with ``figures`` of its group, and the group's ``size``; ``rows`` is read three times, so cut it before."""
+def with_groups(rows: DataFrame, key: str, n: int, scratch: Scratch, least: int = 1, **figures: Column) -> DataFrame:
+    """Each row of a group of ``least`` or more with ``figures`` of its group, and the group's ``size``; cut ``rows`` before."""
     groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"), *(v.alias(k) for k, v in figures.items()))
-    return join_groups(rows, groups, key, n)
+    return join_groups(rows, scratch.cut(groups.where(F.col("size") >= least)), key, n)
