@@ -240,10 +240,12 @@ def verify(pairs: DataFrame, profiles: DataFrame, settings: Settings) -> DataFra
 
 
 def profiled(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
-    """``node, shared, n, bits, map, labels, plain`` of the nodes in ``wanted`` (node, shared): their shingles, hashed once."""
-    if wanted.count() <= BROADCAST_NODES:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("node", "text").join(wanted, "node").dropDuplicates(["node"])
+    """``node, shared, keys, n, bits, map, labels, plain`` of the nodes in ``wanted`` (node, shared, keys): their shingles, hashed once."""
+    nodes = wanted.select("node")
+    if nodes.count() <= BROADCAST_NODES:
+        nodes = F.broadcast(nodes)
+    # the texts are shuffled once, for both steps
+    texts = docs.select("node", "text").join(nodes, "node", "left_semi").dropDuplicates(["node"]).join(wanted, "node")
 
     def make():
         shingler = Shingler()
@@ -251,11 +253,11 @@ def profiled(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFram
         def step(row: dict) -> Iterator[tuple]:
             plain = shingler.shingles(shingler.words(row["text"]))
             s = labelled(plain)
-            yield row["node"], row["shared"], len(s), bit_map(s, settings.bits), large_map(s), s.tobytes(), None if s is plain else plain.tobytes()
+            yield row["node"], row["shared"], row["keys"], len(s), bit_map(s, settings.bits), large_map(s), s.tobytes(), None if s is plain else plain.tobytes()
 
         return step
 
-    return map_rows(texts, make, "node binary, shared long, n int, bits binary, map binary, labels binary, plain binary")
+    return map_rows(texts, make, "node binary, shared long, keys array<long>, n int, bits binary, map binary, labels binary, plain binary")
 
 
 def ordered_pair(x: Column, y: Column) -> list[Column]:
@@ -263,12 +265,12 @@ def ordered_pair(x: Column, y: Column) -> list[Column]:
     return [F.greatest(x, y)["node"].alias("a"), F.least(x, y)["node"].alias("b")]
 
 
-def hub_pairs(own: DataFrame, turn: int, hubs: int, n: int) -> DataFrame:
+def hub_pairs(own: DataFrame, turn: int, hubs: int, n: int, scratch: Scratch) -> DataFrame:
     """Each text of a bucket with the bucket's hubs of other classes; hubs are the texts that share most buckets among those of a slot."""
     me = F.struct("shared", "node", "label")
     slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(hubs))
     best = own.groupBy("key", slot.alias("slot")).agg(F.max(me).alias("hub"), F.count(F.lit(1)).alias("size"))
-    groups = best.groupBy("key").agg(F.collect_list("hub").alias("found"), F.sum("size").alias("size"))  # ``hubs`` at most
+    groups = scratch.cut(best.groupBy("key").agg(F.collect_list("hub").alias("found"), F.sum("size").alias("size")))  # ``hubs`` at most
     met = join_groups(own.drop("size"), groups, "key", n).select("shared", "node", "label", F.explode("found").alias("hub")).where("label <> hub.label")
     return met.select(*ordered_pair(F.struct("shared", "node"), F.struct("hub.shared", "hub.node"))).distinct()
 
@@ -317,10 +319,10 @@ def node_labels(docs: DataFrame, sketches: DataFrame, settings: Settings, scratc
     """``node, label`` (least node of its class) of the nodes that have a link; ``docs`` has ``node, text``."""
     texts = scratch.cut(sketches.select("node", "keys").dropDuplicates(["node"]))
     entries = scratch.cut(texts.select("node", F.posexplode("keys").alias("i", "key")))
-    own = scratch.cut(with_groups(entries, "key", entries.count()).where("size > 1"))
+    own = scratch.cut(with_groups(entries, "key", entries.count(), scratch, least=2))
     scratch.drop(entries)
     shared = scratch.cut(own.groupBy("node").agg(F.sum("size").alias("shared")))
-    profiles = scratch.cut(profiled(docs, shared, settings).join(texts, "node"))
+    profiles = scratch.cut(profiled(docs, scratch.cut(shared.join(texts, "node")), settings))
     own = own.join(shared, "node").withColumn("label", F.col("node"))
 
     # own: the buckets in which more than one class is left; tried: pairs that need no second look
@@ -328,7 +330,7 @@ def node_labels(docs: DataFrame, sketches: DataFrame, settings: Settings, scratc
     tried: DataFrame | None = None
     turn, ask = 0, True
     while n := own.count():
-        new = hub_pairs(own, turn, min(4**turn, 16), n) if ask else pairs_across(own, profiles, settings)
+        new = hub_pairs(own, turn, min(4**turn, 16), n, scratch) if ask else pairs_across(own, profiles, settings)
         pairs = scratch.cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
         near = scratch.cut(closer(pairs, profiles, settings))
@@ -339,7 +341,7 @@ def node_labels(docs: DataFrame, sketches: DataFrame, settings: Settings, scratc
         if not ask:
             break
         labelled = scratch.cut(own.drop("label", "size").join(found, "node", "left").withColumn("label", F.coalesce("label", "node")))
-        marked = with_groups(labelled, "key", n, mixed=F.min("label") != F.max("label"))
+        marked = with_groups(labelled, "key", n, scratch, mixed=F.min("label") != F.max("label"))
         asked = own.select("node").distinct().count()
         scratch.drop(own)
         own = scratch.cut(marked.where("mixed").drop("mixed"))
@@ -383,8 +385,8 @@ def near_duplicates(df: DataFrame, settings: Settings = Settings(), *, id_col: s
     """
     with Scratch(df.sparkSession) as scratch:
         rows, nodes = labelled_nodes(df, settings, id_col, text_col, scratch)
-        whole = with_groups(nodes.withColumnRenamed("size", "copies").select("node", "label", "least", "copies"), "label", nodes.count(), class_id=F.min("least")["id"], class_size=F.sum("copies"))
-        whole = whole.select("node", "label", "class_id", "class_size", F.col("copies").alias("size"))
+        whole = with_groups(nodes.withColumnRenamed("size", "copies").select("node", "label", "least", "copies"), "label", nodes.count(), scratch, class_id=F.min("least")["id"], class_size=F.sum("copies"))
+        whole = scratch.cut(whole.select("node", "label", "class_id", "class_size", F.col("copies").alias("size")))
         n = rows.count()
         return scratch.keep(join_groups(rows, whole, "node", n).select("doc_id", "node", "label", "class_id", "class_size"))
 
