@@ -22,10 +22,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: int, size: str
     limit = max(LEAST, n // HOT)
     hot = [r[0] for r in groups.where(F.col(size) > limit).select(key).collect()]  # HOT keys at most
     if not hot:
-        return rows.join(groups, key)
+        return rows.join(groups.hint("merge"), key)  # the same plan at every size
     is_hot = F.col(key).isin(hot)
     own = rows.where(is_hot).join(F.broadcast(groups.where(F.col(size) > limit)), key)
-    return own.unionByName(rows.where(~is_hot).join(groups.where(F.col(size) <= limit), key))
+    return own.unionByName(rows.where(~is_hot).join(groups.where(F.col(size) <= limit).hint("merge"), key))
 
 
 def with_groups(rows: DataFrame, key: str, n: int, scratch: Scratch, least: int = 1, **figures: Column) -> DataFrame:
