@@ -186,19 +186,23 @@ def node(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
 
 
-def dealt(pairs: DataFrame, profiles: DataFrame, settings: Settings, *columns: str) -> DataFrame:
+def dealt(pairs: DataFrame, profiles: DataFrame, settings: Settings, scratch: Scratch, *columns: str) -> DataFrame:
     """``a, g, b`` and the columns of b, in order within a partition; a row without b brings those of a.
 
     Partners b of a text a are dealt to ``spread`` groups, each of which meets one copy of a's columns.
     """
+    needed = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    if needed.count() <= BROADCAST_NODES:
+        needed = F.broadcast(needed)
+    own = profiles.select("node", *columns).join(needed, "node", "left_semi")
     pairs = pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(settings.spread)).cast("int"))
     none = F.lit(None).cast("binary")
-    heads = pairs.select("a", "g").distinct().join(profiles.select(F.col("node").alias("a"), *columns), "a").select("a", "g", none.alias("b"), *columns)
-    partners = pairs.join(profiles.select(F.col("node").alias("b"), *columns), "b").select("a", "g", "b", *columns)
+    heads = pairs.select("a", "g").distinct().join(own.withColumnRenamed("node", "a").hint("merge"), "a").select("a", "g", none.alias("b"), *columns)
+    partners = pairs.join(own.withColumnRenamed("node", "b").hint("merge"), "b").select("a", "g", "b", *columns)
     return heads.unionByName(partners).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
 
 
-def closer(pairs: DataFrame, profiles: DataFrame, settings: Settings) -> DataFrame:
+def closer(pairs: DataFrame, profiles: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """The pairs whose large maps leave the similarity possible; loses none that have it."""
     share = settings.similarity / (1 + settings.similarity)
 
@@ -215,10 +219,10 @@ def closer(pairs: DataFrame, profiles: DataFrame, settings: Settings) -> DataFra
 
         return step
 
-    return map_rows(dealt(pairs, profiles, settings, "n", "map"), make, "a binary, b binary")
+    return map_rows(dealt(pairs, profiles, settings, scratch, "n", "map"), make, "a binary, b binary")
 
 
-def verify(pairs: DataFrame, profiles: DataFrame, settings: Settings) -> DataFrame:
+def verify(pairs: DataFrame, profiles: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose alignment reaches the similarity."""
 
     def make():
@@ -236,7 +240,7 @@ def verify(pairs: DataFrame, profiles: DataFrame, settings: Settings) -> DataFra
 
         return step
 
-    return map_rows(dealt(pairs, profiles, settings, "labels", "plain"), make, "a binary, b binary, similarity double")
+    return map_rows(dealt(pairs, profiles, settings, scratch, "labels", "plain"), make, "a binary, b binary, similarity double")
 
 
 def profiled(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -277,7 +281,7 @@ def hub_pairs(own: DataFrame, turn: int, hubs: int, n: int, scratch: Scratch) ->
 
 def pairs_across(own: DataFrame, profiles: DataFrame, settings: Settings) -> DataFrame:
     """All pairs of a bucket that are in two classes, each in the first bucket alone that the two share; those that bit maps rule out are left out."""
-    whole = own.select("key", "i", "node", "label", "size").join(profiles.select("node", "shared", "n", "bits", "keys"), "node")
+    whole = own.select("key", "node", "label", "size").join(profiles.select("node", "shared", "n", "bits", "keys"), "node")
     parts = F.ceil(F.col("size") / ACROSS).cast("int")
     part = F.pmod(F.xxhash64("node"), parts).cast("int")
     # a large bucket is parts x parts groups, a small one is one: side 1 has one part of the texts, side 2 another, 3 stands for both
@@ -288,7 +292,7 @@ def pairs_across(own: DataFrame, profiles: DataFrame, settings: Settings) -> Dat
             F.transform(all_parts, lambda r: F.struct(r.alias("r"), part.alias("c"), F.lit(2).alias("side"))),
         )
     )
-    rows = whole.select("key", "i", "node", "label", "shared", "n", "bits", "keys", F.inline(places))
+    rows = whole.select("key", "node", "label", "shared", "n", "bits", "keys", F.inline(places))
     least = settings.similarity
 
     def make():
@@ -307,7 +311,7 @@ def pairs_across(own: DataFrame, profiles: DataFrame, settings: Settings) -> Dat
                 for k in near[most >= (n[near] + g["n"]) * least / (1 + least) - 1e-9].tolist():
                     h = other[k]
                     if (g["shared"], g["node"]) > (h["shared"], h["node"]) and g["label"] != h["label"]:
-                        if next(i for i, (x, y) in enumerate(zip(g["keys"], h["keys"], strict=False)) if x == y) == g["i"]:
+                        if next(x for x, y in zip(g["keys"], h["keys"], strict=False) if x == y) == g["key"]:
                             yield g["node"], h["node"]
 
         return step
@@ -318,7 +322,7 @@ def pairs_across(own: DataFrame, profiles: DataFrame, settings: Settings) -> Dat
 def node_labels(docs: DataFrame, sketches: DataFrame, settings: Settings, scratch: Scratch) -> DataFrame:
     """``node, label`` (least node of its class) of the nodes that have a link; ``docs`` has ``node, text``."""
     texts = scratch.cut(sketches.select("node", "keys").dropDuplicates(["node"]))
-    entries = scratch.cut(texts.select("node", F.posexplode("keys").alias("i", "key")))
+    entries = scratch.cut(texts.select("node", F.explode("keys").alias("key")))
     own = scratch.cut(with_groups(entries, "key", entries.count(), scratch, least=2))
     scratch.drop(entries)
     shared = scratch.cut(own.groupBy("node").agg(F.sum("size").alias("shared")))
@@ -333,8 +337,8 @@ def node_labels(docs: DataFrame, sketches: DataFrame, settings: Settings, scratc
         new = hub_pairs(own, turn, min(4**turn, 16), n, scratch) if ask else pairs_across(own, profiles, settings)
         pairs = scratch.cut(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        near = scratch.cut(closer(pairs, profiles, settings))
-        links = scratch.cut(verify(near, profiles, settings).select("a", "b"))
+        near = scratch.cut(closer(pairs, profiles, settings, scratch))
+        links = scratch.cut(verify(near, profiles, settings, scratch).select("a", "b"))
         linked = links.count()
         if linked:
             found = components(links.unionByName(found.select(F.col("node").alias("a"), F.col("label").alias("b"))))
