@@ -57,7 +57,7 @@ class Settings:
     short_width: int = 2
     similarity: float = 0.8
     many: int = 4096
-    bits: int = 1024
+    bits: int = 4096
     spread: int = 64
 
 
