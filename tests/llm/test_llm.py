@@ -202,14 +202,24 @@ def test_decontaminate_equals_brute_force(spark, odd):
 
 
 def test_simhash_blocks_lose_nothing():
-    """Every fingerprint within the radius shares a near block (pigeonhole)."""
+    """Every fingerprint within the radius shares a near block (pigeonhole); of random ones under 1 % do."""
     s, rng = decontaminate.Settings(), np.random.default_rng(4)
-    near = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)]) <= s.radius // (s.bits // 8)
-    for _ in range(300):
-        a = rng.integers(0, 256, s.bits // 8)
-        bits = np.unpackbits(a.astype(np.uint8))
+    prints = rng.integers(0, 256, (300, s.bits // 8), dtype=np.uint8)
+    index = decontaminate.Blocks(prints, s)
+    assert index.candidates(rng.integers(0, 256, (300, s.bits // 8), dtype=np.uint8)).mean() < 0.01
+    for k in range(300):
+        bits = np.unpackbits(prints[k])
         bits[rng.choice(s.bits, rng.integers(0, s.radius + 1), replace=False)] ^= 1
-        assert near[a, np.packbits(bits)].any()
+        assert index.candidates(np.packbits(bits)[None])[0, k]
+
+
+def test_decontaminate_ids_and_ties(spark):
+    item = " ".join(f"w{i}" for i in range(12))
+    bench = spark.createDataFrame([(None, item), ("b", item), ("c", None)], "item_id string, text string")
+    docs = spark.createDataFrame([("x", f"{item} and {item}"), ("x", "no " + item), (None, "so " + item), ("y", "none"), ("z", None)], "doc_id string, text string")
+    got = sorted((tuple(r) for r in decontaminate.contaminated(docs, bench).collect()), key=str)
+    assert got == sorted([("x", None, 1.0, 0), ("x", "b", 1.0, 0), (None, None, 1.0, 1), (None, "b", 1.0, 1)], key=str)
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {"y", "z"}
 
 
 def test_licenses(spark, odd):
