@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import ship
+
 
 def _exact(text: str | None) -> str | None:
     return None if text is None else " ".join(unicodedata.normalize("NFKC", text).split()).casefold()
 
 
 @F.pandas_udf(StringType())
-def normalize_text_exact(text: pd.Series) -> pd.Series:
-    """NFKC, white space to single spaces, trimmed, case-folded: needs Unicode tables that SQL lacks."""
+def _exact_udf(text: pd.Series) -> pd.Series:
     return text.map(_exact, na_action="ignore")
 
 
+#: Texts of ASCII, Latin-1 letters and Cyrillic alone: NFKC changes none of them, and lower case folds all but ß.
+SAFE = "^[\\t\\n\\r\\x20-\\x7EÀ-ÖØ-öø-ÿ\\u0400-\\u04FF]*\\z"
+
+
+def normalize_text_exact(text: Column | str) -> Column:
+    """NFKC, white space to single spaces, trimmed, case-folded, by Python's Unicode tables for every row."""
+    ship(SparkSession.getActiveSession())
+    return _exact_udf(F.col(text) if isinstance(text, str) else text)
+
+
 def normalize_text(text: Column | str) -> Column:
-    """The same for texts that NFKC leaves alone and whose only folded letter beyond lower case is ß; stays in codegen."""
+    """The same. Safe texts (see ``SAFE``) stay in built-in expressions; only the others reach Python, which sees nulls for the rest."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.replace(F.lower(F.trim(F.regexp_replace(c, "(?U)\\s+", " "))), F.lit("ß"), F.lit("ss"))
+    safe = c.rlike(SAFE)
+    plain = F.replace(F.lower(F.trim(F.regexp_replace(c, "\\s+", " "))), F.lit("ß"), F.lit("ss"))
+    return F.when(safe, plain).otherwise(normalize_text_exact(F.when(~safe, c)))
+
+
+def result_json(result: dict) -> str:
+    """Sorted keys, spaced separators, letters as they are: the form whose lines a result hash digests."""
+    return json.dumps(result, ensure_ascii=False, sort_keys=True)
 
 
 def _digest(*parts: Column) -> Column:
@@ -83,8 +102,34 @@ def contained_path(path: Column) -> Column:
     return ~path.startswith("/") & ~F.contains(path, F.lit(":\\")) & (depth.low >= 0)
 
 
+# Private, loopback, reserved and other IPv4 ranges that aren't public (first address, last address).
+PRIVATE_V4 = (
+    ("0.0.0.0", "0.255.255.255"), ("10.0.0.0", "10.255.255.255"), ("127.0.0.0", "127.255.255.255"), ("169.254.0.0", "169.254.255.255"), ("172.16.0.0", "172.31.255.255"),
+    ("192.0.0.0", "192.0.0.8"), ("192.0.0.11", "192.0.0.255"), ("192.0.2.0", "192.0.2.255"), ("192.168.0.0", "192.168.255.255"), ("198.18.0.0", "198.19.255.255"),
+    ("198.51.100.0", "198.51.100.255"), ("203.0.113.0", "203.0.113.255"), ("240.0.0.0", "255.255.255.255"),
+)
+
+
+def _v4(address: str) -> int:
+    return sum(int(x) << 8 * (3 - k) for k, x in enumerate(address.split(".")))
+
+
 def public_endpoint(url: Column) -> Column:
-    """https, and neither a loopback nor a private host."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    private = host.rlike("^(localhost|.*\\.localhost|127\\..*|10\\..*|192\\.168\\..*|169\\.254\\..*|0\\..*|172\\.(1[6-9]|2\\d|3[01])\\..*|\\[?::1\\]?|\\[?f[cd][0-9a-f]{2}:.*|\\[?fe80:.*)\\z")
-    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & host.isNotNull() & (host != "") & ~private, F.lit(False))
+    """https, and a host that isn't local: addresses are tested by range, names only against ``localhost``.
+
+    IPv6 addresses are private if they are unspecified, loopback, unique local, link local, documentation, or map a private IPv4 address.
+    """
+    host = F.lower(F.regexp_replace(F.try_parse_url(url, F.lit("HOST")), "^\\[|\\]\\z", ""))
+    mapped = F.regexp_extract(host, "^::ffff:(\\d+\\.\\d+\\.\\d+\\.\\d+)\\z", 1)
+    v4 = F.when(mapped != "", mapped).otherwise(host)
+    octet = "(25[0-5]|2[0-4]\\d|1\\d\\d|[1-9]?\\d)"
+    is_v4 = v4.rlike(f"^{octet}(\\.{octet}){{3}}\\z")
+    parts = F.split(v4, "\\.")
+    number = sum((F.try_element_at(parts, F.lit(k + 1)).try_cast("long") * F.lit(1 << 8 * (3 - k)) for k in range(4)), F.lit(0).cast("long"))
+    private_v4 = F.lit(False)
+    for low, high in PRIVATE_V4:
+        private_v4 = private_v4 | number.between(_v4(low), _v4(high))
+    is_v6 = F.contains(host, F.lit(":"))
+    private_v6 = host.rlike("^(::|::1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|2001:0?db8:.*|100::.*)\\z")
+    local = F.when(is_v4, private_v4).when(is_v6, private_v6).otherwise(host.isin("localhost", "localhost.localdomain"))
+    return F.coalesce((F.try_parse_url(url, F.lit("PROTOCOL")) == "https") & (host != "") & ~local, F.lit(False))

@@ -1,15 +1,15 @@
-"""Binary detection metrics per slice, as windows over distinct scores.
+"""Binary detection metrics per slice, as running sums over distinct scores.
 
-Input: ``kind, key, y`` (1 positive), ``score``. One row per distinct score enters the
-windows, so their partitions hold scores, not samples; the sums by score are combined
-before the shuffle.
+Input: ``kind, key, y`` (1 positive), ``score``. The sums by score are combined before the shuffle; then slices are
+cut into ranges of scores, so that neither a hot slice nor a million distinct scores meet in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranges import running_sums
 
 SLICE = ("kind", "key")
 
@@ -30,25 +30,30 @@ def with_all_negatives(scored: DataFrame, column: str) -> DataFrame:
     own = scored.where("y = 1").groupBy(F.lit(column).alias("kind"), F.col(column).alias("key"), "y", "score").agg(F.count(F.lit(1)).alias("weight"))
     keys = scored.where("y = 1").select(F.lit(column).alias("kind"), F.col(column).alias("key")).distinct()
     negatives = scored.where("y = 0").groupBy("score").agg(F.count(F.lit(1)).alias("weight")).select(F.lit(0).cast("int").alias("y"), "score", "weight")
-    per_key = keys.withColumn("one", F.lit(1)).join(negatives.withColumn("one", F.lit(1)), "one").select("kind", "key", "y", "score", "weight")
+    # the definition repeats every negative in every slice: dealt out to as many groups as there are shuffle partitions
+    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keys.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    spread = negatives.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    per_key = dealt.join(spread, "g").select("kind", "key", "y", "score", "weight")
     return own.unionByName(per_key)
 
 
+def score_problems(rows: DataFrame) -> DataFrame:
+    """``kind, key, problem, n``: labels other than 0 and 1, and scores that are null, NaN or infinite. Metrics need a table without any."""
+    finite = F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))
+    problem = F.when(~F.coalesce(F.col("y").isin(0, 1), F.lit(False)), "label").when(~finite, "score")
+    return rows.select(*SLICE, problem.alias("problem")).where("problem is not null").groupBy(*SLICE, "problem").agg(F.count(F.lit(1)).alias("n"))
+
+
 def roc_points(rows: DataFrame) -> DataFrame:
     weight = F.col("weight") if "weight" in rows.columns else F.lit(1)
-    by_score = rows.groupBy(*SLICE, "score").agg(F.sum(weight * F.col("y")).alias("p"), F.sum(weight * (1 - F.col("y"))).alias("n"))
-    whole = Window.partitionBy(*SLICE)
-    down = whole.orderBy(F.desc("score"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    by_score = rows.groupBy(*SLICE, "score").agg(F.sum(weight * F.col("y")).alias("p"), F.sum(weight * (1 - F.col("y"))).alias("n"), F.lit(1).alias("one"))
+    points = running_sums(by_score, list(SLICE), [F.desc("score")], ["p", "n", "one"])
+    points = points.withColumnsRenamed({"p_upto": "tp", "n_upto": "fp", "p_all": "pos", "n_all": "neg", "one_all": "unique_scores"})
     # divided only where both classes exist: ANSI mode has no x / 0
-    points = by_score.select(
-        "*",
-        F.sum("p").over(whole).alias("pos"), F.sum("n").over(whole).alias("neg"), F.count("*").over(whole).alias("unique_scores"),
-        F.min("score").over(whole).alias("score_min"), F.max("score").over(whole).alias("score_max"),
-        F.sum("p").over(upto).alias("tp"), F.sum("n").over(upto).alias("fp"),
-    )
-    points = points.withColumn("tpr", F.try_divide(F.col("tp").cast("double"), "pos")).withColumn("fpr", F.try_divide(F.col("fp").cast("double"), "neg"))
-    return points.withColumn("tpr0", F.lag("tpr", 1, 0.0).over(down)).withColumn("fpr0", F.lag("fpr", 1, 0.0).over(down))
+    share = lambda part, whole: F.try_divide(part.cast("double"), F.col(whole))
+    before = {"tpr0": share(F.col("tp") - F.col("p"), "pos"), "fpr0": share(F.col("fp") - F.col("n"), "neg")}
+    return points.withColumns({"tpr": share(F.col("tp"), "pos"), "fpr": share(F.col("fp"), "neg"), **before})
 
 
 def detection_metrics(rows: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def detection_metrics(rows: DataFrame) -> DataFrame:
     at_eer = F.when(d == 0, F.col("fpr")).otherwise(F.col("fpr0") + (F.col("fpr") - F.col("fpr0")) * F.try_divide(-d0, d - d0))
     at_95 = F.when(F.col("tpr") == F.col("tpr0"), F.col("fpr")).otherwise(F.col("fpr0") + (F.col("fpr") - F.col("fpr0")) * F.try_divide(0.95 - F.col("tpr0"), F.col("tpr") - F.col("tpr0")))
     out = points.groupBy(*SLICE).agg(
-        F.first("pos").alias("pos"), F.first("neg").alias("neg"), F.first("unique_scores").alias("unique_scores"), F.first("score_min").alias("score_min"), F.first("score_max").alias("score_max"),
+        F.first("pos").alias("pos"), F.first("neg").alias("neg"), F.first("unique_scores").alias("unique_scores"), F.min("score").alias("score_min"), F.max("score").alias("score_max"),
         F.sum((F.col("fpr") - F.col("fpr0")) * (F.col("tpr") + F.col("tpr0")) / 2).alias("auc"),
         # tpr and fpr only grow: the first crossing is the one with the highest score
         F.max_by(at_eer, F.when(d >= 0, F.col("score"))).alias("eer"), F.max_by(at_95, F.when(F.col("tpr") >= 0.95, F.col("score"))).alias("fpr95"),

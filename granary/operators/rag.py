@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_answer
+from .ranges import running_sums
 
 METRICS = ("answer_correctness", "citation_precision", "citation_completeness", "hallucination_rate", "version_awareness", "cross_language_score")
 
@@ -42,16 +43,12 @@ def aggregate(scored: DataFrame) -> DataFrame:
 def latency_percentiles(rows: DataFrame) -> DataFrame:
     """``key, n, p50, p95`` as the sorted values at (n - 1) // 2 and min(n - 1, int(n * 0.95)).
 
-    Values are counted first: what is ranked is distinct values per key.
+    Values are counted first, and keys cut into ranges of values: a hot key is split.
     """
     by = rows.where("value is not null").groupBy("key", "value").agg(F.count(F.lit(1)).alias("c"))
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("key")
-    upto = F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = by.withColumn("upto", upto).withColumn("n", F.sum("c").over(w))
+    ranked = running_sums(by, ["key"], [F.col("value")], ["c"]).withColumnRenamed("c_all", "n")
     low, high = F.floor((F.col("n") - 1) / 2), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.95))
-    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("value")))
+    at = lambda i: F.min(F.when(F.col("c_upto") > i, F.col("value")))
     return ranked.groupBy("key", "n").agg(at(low).cast("double").alias("p50"), at(high).cast("double").alias("p95"))
 
 

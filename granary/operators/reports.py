@@ -27,6 +27,12 @@ def missing_metadata(rows: DataFrame, fields: list[str]) -> DataFrame:
     return rows.agg(*counts).select(F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields))))
 
 
+def known_speakers(rows: DataFrame) -> DataFrame:
+    """``speakers``: distinct ones of rows that don't name the speaker as missing."""
+    named = ~F.coalesce(F.array_contains("missing_metadata", "speaker_id"), F.lit(False))
+    return rows.agg(F.count_distinct(F.when(named, F.col("speaker_id"))).alias("speakers"))
+
+
 def dimension_counts(rows: DataFrame, dimensions: dict[str, Column], amount: Column) -> DataFrame:
     """Counts and sums by each single dimension, in one pass; null is ``default``."""
     stacked = F.array(*(F.struct(F.lit(k).alias("dimension"), F.coalesce(v.cast("string"), F.lit("default")).alias("value")) for k, v in dimensions.items()))
@@ -57,6 +63,26 @@ def resume_actions(plan: DataFrame, outputs: DataFrame, key: str, policy: str) -
     return joined.select(key, F.when(F.col("planned").isNull(), "unplanned").otherwise(act).alias("action"))
 
 
+def generation_totals(plan: DataFrame, results: DataFrame, key: str = "job_id") -> DataFrame:
+    """One row: jobs planned, completed and skipped with a valid output, failed (failed results and invalid outputs), and distinct texts generated.
+
+    ``plan``: key, text_id. ``results``: key, status (completed, skipped, failed), valid.
+    """
+    own = plan.join(results.select(key, "status", "valid"), key, "left")
+    good = F.coalesce(F.col("valid"), F.lit(False)) & F.col("status").isin("completed", "skipped")
+    bad = (F.col("status") == "failed") | (F.col("status").isin("completed", "skipped") & ~F.coalesce(F.col("valid"), F.lit(False)))
+    return own.agg(
+        F.count(F.lit(1)).alias("planned"), F.count_if(good & (F.col("status") == "completed")).alias("completed"), F.count_if(good & (F.col("status") == "skipped")).alias("skipped"),
+        F.count_if(bad).alias("failed"), F.count_distinct(F.when(good, F.col("text_id"))).alias("texts"),
+    )
+
+
+def gates_by_generator(reviews: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The quality gate of each generator, over the reviews of samples (``synth_<job id>``) that its jobs made."""
+    made = jobs.select(F.concat(F.lit("synth_"), "job_id").alias("sample_id"), "generator_id")
+    return quality_gate(reviews.join(made, "sample_id"), "generator_id")
+
+
 def run_status(jobs: Column, failed: Column, done: Column) -> Column:
     return F.when(done + failed < jobs, "incomplete").when(failed > 0, "complete_with_failures").otherwise("complete")
 

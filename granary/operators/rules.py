@@ -98,3 +98,19 @@ def require_none(found: DataFrame, what: str, show: int = 20) -> None:
     first = [tuple(r) for r in found.limit(show).collect()]
     if first:
         raise RuleError(f"{what}: {first}")
+
+
+# The roles that a research partition accepts.
+PARTITION_ROLES = {"train": ("train", "validation"), "protected_test": ("unseen_test",), "external_challenge": ("external_challenge",)}
+
+
+def partition_violations(rows: DataFrame, partition: str) -> DataFrame:
+    """``generator_id, role`` of synthetic rows whose role the partition doesn't accept, each pair once.
+
+    Rows that carry neither a role nor a source text nor a family are passed over; a missing role is ``missing_role``.
+    """
+    c = F.col
+    carries = c("intended_role").isNotNull() | (F.coalesce("source_text_id", F.lit("")) != "") | (F.coalesce("generator_family", F.lit("")) != "")
+    accepted = F.coalesce(c("intended_role").isin(*PARTITION_ROLES[partition]), F.lit(False))
+    bad = rows.where((c("label") == "synthetic") & carries & ~accepted)
+    return bad.select("generator_id", F.coalesce(F.nullif("intended_role", F.lit("")), F.lit("missing_role")).alias("role")).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import cut
+from .rules import RuleError, duplicate_keys, require_none
 
 ALLOWED = ("language", "label", "speaker_id", "source_id", "generator_id")
 
@@ -32,13 +33,35 @@ def training_eligible() -> Column:
     return (c("label") == "real") | (c("training_eligible").eqNullSafe(F.lit(True)) & gate & ~c("diagnostic_only").eqNullSafe(F.lit(True)))
 
 
-def compose(real: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """Real rows and eligible synthetic ones, splits reset and paths by id."""
-    both = real.where("label = 'real'").unionByName(synthetic.where(compose_eligible()), allowMissingColumns=True)
+def compose(real: DataFrame, synthetic: DataFrame, languages: list[str] | None = None) -> DataFrame:
+    """Real rows and eligible synthetic ones of ``languages``, splits reset and paths by id.
+
+    A real table with other labels, no real or no eligible row left, and ids that occur twice are errors.
+    """
+    if not real.where("label <> 'real' or label is null").isEmpty():
+        raise RuleError("the real table must hold real rows only")
+    if languages:
+        real, synthetic = (t.where(F.col("language").isin(languages)) for t in (real, synthetic))
+    eligible = synthetic.where(compose_eligible())
+    for name, part in (("real", real), ("eligible synthetic", eligible)):
+        if part.isEmpty():
+            raise RuleError(f"no {name} row is left")
+    both = real.unionByName(eligible, allowMissingColumns=True)
+    require_none(duplicate_keys(both), "composed corpus")
     suffix = F.regexp_extract("path", "(\\.[^./]+)?\\z", 1)
     return both.withColumns({"split": F.lit(None).cast("string"), "path": F.concat(F.lit("audio/"), "sample_id", suffix)})
 
 
+def first_sorted(rows: DataFrame, order: str, k: int) -> DataFrame:
+    """The first k rows in ``order``: each task keeps k at the most before they are merged."""
+    return rows.orderBy(order).limit(k)
+
+
+def limits(rows: DataFrame, by: str, order: str, per_group: int, total: int) -> DataFrame:
+    """At most ``per_group`` rows of each group, then at most ``total`` of all, both in ``order``."""
+    return first_sorted(top_k(rows, by, order, per_group).drop("rn"), order, total)
+
+
 def budget(rows: DataFrame, amount: str, order: str, limit: float, by: str | None = None) -> DataFrame:
     """The prefix in ``order`` whose running sum stays within ``limit``; null amounts count 0.
 

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.audio import crop_pad, tone_frequency
-from ..functions.text import hash_fraction, normalize_text, text_identity
+from ..functions.text import hash_fraction, normalize_text, public_endpoint, text_identity
 from ..operators import gates, generation, graph, metrics, rag, reports, rules, selection
-from ..session import table
+from ..session import cut, table
 from ..sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -555,3 +555,160 @@ def made_samples(spark, sf):
     rows = [(f"g{s}", None, None, "http://m" if s == "F" else None, None, "f", "r1" if s == "O" else None, "v1", "pass", True, False, False) for s in "FOP"]
     own = generation.made_samples(jobs, results, texts, spark.createDataFrame(rows, names))
     return own.select("sample_id", "speaker_id", "generator_version", "rights_reference", c("generation_seed").cast("string").alias("seed"), "generation_params")
+
+
+# --- role partitions, limits, totals, runs -----------------------------------------------------
+@query(
+    f"""WITH {FLAGGED}, g AS (SELECT *, CASE WHEN doc_id % 7 = 3 THEN NULL ELSE role END AS r, 'gen' || doc_id % 3 AS gen, CASE WHEN doc_id % 7 = 3 AND doc_id % 2 = 0 THEN NULL ELSE 'f' END AS family FROM f)
+SELECT DISTINCT gen AS generator_id, coalesce(r, 'missing_role') AS role FROM g WHERE label = 'synthetic' AND (r IS NOT NULL OR family IS NOT NULL) AND coalesce(r NOT IN ('unseen_test'), true)"""
+)
+def partition_violations(spark, sf):
+    i, none = F.col("doc_id"), F.lit(None).cast("string")
+    rows = flagged(spark, sf).withColumns({
+        "intended_role": F.when(i % 7 == 3, none).otherwise(F.col("intended_role")), "generator_id": F.concat(F.lit("gen"), i % 3),
+        "generator_family": F.when((i % 7 == 3) & (i % 2 == 0), none).otherwise("f"), "source_text_id": none,
+    })
+    return rules.partition_violations(rows, "protected_test")
+
+
+@query(f"WITH {SPLITS} SELECT sample_id, component FROM s WHERE split = 'val'")
+def split_export(spark, sf):
+    """The rows of one exported split."""
+    return split_rows(spark, sf).where("split = 'val'").select("sample_id", "component")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 40 ORDER BY doc_id LIMIT 120")
+def limits_per_source(spark, sf):
+    return selection.limits(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id", 40, 120)
+
+
+@query("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 50")
+def longest_texts(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars", F.struct((-F.col("n_chars")).alias("n"), "doc_id").alias("rank"))
+    return selection.first_sorted(rows, "rank", 50).select("doc_id", "n_chars")
+
+
+@query(f"WITH {SAMPLES} SELECT count(DISTINCT speaker_id) AS speakers FROM samples WHERE doc_id % 9 <> 0")
+def known_speakers(spark, sf):
+    named = F.array_compact(F.array(F.when(F.col("doc_id") % 9 == 0, "speaker_id"), F.when(F.col("doc_id") % 2 == 0, "codec")))
+    return reports.known_speakers(samples(spark, sf).withColumn("missing_metadata", named))
+
+
+STATUS = "['completed', 'skipped', 'failed'][o_orderkey % 3 + 1]"
+
+
+@query(
+    f"""WITH j AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 > 0 THEN {STATUS} END AS status, o_orderkey % 4 <> 1 AS valid FROM orders)
+SELECT count(*) AS planned, count(*) FILTER (status = 'completed' AND valid) AS completed, count(*) FILTER (status = 'skipped' AND valid) AS skipped,
+ count(*) FILTER (status = 'failed' OR (status IN ('completed', 'skipped') AND NOT valid)) AS failed, count(DISTINCT o_custkey) FILTER (status IN ('completed', 'skipped') AND valid) AS texts FROM j"""
+)
+def generation_totals(spark, sf):
+    orders = table(spark, sf, "orders")
+    i = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("completed", "skipped", "failed"))), (i % 3 + 1).cast("int"))
+    results = orders.where(i % 5 > 0).select(i.alias("job_id"), status.alias("status"), (i % 4 != 1).alias("valid"))
+    return reports.generation_totals(orders.select(i.alias("job_id"), F.col("o_custkey").alias("text_id")), results)
+
+
+@query(
+    """WITH r AS (SELECT 'g' || o_custkey % 7 AS generator_id, ['passed', 'warning', 'pending', 'fail'][CASE WHEN o_custkey % 7 < 3 THEN 0 ELSE o_orderkey % (o_custkey % 7 - 1) END + 1] AS gate, o_orderkey % 11 <> 0 OR o_custkey % 7 = 2 AS eligible FROM orders WHERE o_orderkey % 2 = 0)
+SELECT generator_id, CASE WHEN bool_or(gate = 'fail') THEN 'fail' WHEN bool_or(gate = 'pending') THEN 'pending' WHEN bool_or(gate = 'warning') THEN 'warning' ELSE 'passed' END AS gate, bool_and(eligible) AS all_eligible, count(*) AS n FROM r GROUP BY 1"""
+)
+def gates_by_generator(spark, sf):
+    """Reviews of every other order; the orders are the jobs, their customers' remainders the generators."""
+    o, g, k = table(spark, sf, "orders"), F.col("o_custkey") % 7, F.col("o_orderkey")
+    jobs = o.select(k.alias("job_id"), F.concat(F.lit("g"), g).alias("generator_id"))
+    gate = F.try_element_at(F.array(*map(F.lit, ("passed", "warning", "pending", "fail"))), F.when(g < 3, 1).otherwise(k % F.greatest(g - 1, F.lit(1)) + 1).cast("int"))
+    reviews = o.where(k % 2 == 0).select(F.concat(F.lit("synth_"), k).alias("sample_id"), gate.alias("gate"), ((k % 11 != 0) | (g == 2)).alias("eligible"), F.lit(False).alias("diagnostic"), F.lit(False).alias("candidate"))
+    return reports.gates_by_generator(reviews, jobs).select("generator_id", "gate", "all_eligible", "n")
+
+
+@query(f"WITH {SAMPLES}, scored AS (SELECT language, source_dataset AS source, toxic AS y, 0.7 * {FRACTION.format(chr(39) + 'score:' + chr(39) + ' || doc_id')} + 0.3 * toxic AS score FROM samples WHERE toxic IS NOT NULL), sliced AS (SELECT 'overall' AS kind, 'all' AS key, y, score FROM scored UNION ALL SELECT 'source', source, y, score FROM scored), {METRICS}")
+def detection_metrics_unrounded(spark, sf):
+    """Nearly every row has a score of its own."""
+    own = samples(spark, sf).where("toxic is not null")
+    score = 0.7 * hash_fraction(F.concat(F.lit("score:"), "doc_id")) + 0.3 * F.col("toxic")
+    return metrics.detection_metrics(metrics.slices(own.select(F.col("source_dataset").alias("source"), F.col("toxic").cast("int").alias("y"), score.alias("score")), "source"))
+
+
+ODD_SCORE = "CASE WHEN doc_id % 10 = 0 THEN 'NaN'::DOUBLE WHEN doc_id % 10 = 1 THEN 'inf'::DOUBLE WHEN doc_id % 10 = 2 THEN NULL ELSE 0.5 END"
+
+
+def odd_scores(i):
+    return F.when(i % 10 == 0, float("nan")).when(i % 10 == 1, float("inf")).when(i % 10 == 2, F.lit(None).cast("double")).otherwise(0.5)
+
+
+@query(f"WITH s AS (SELECT CASE WHEN doc_id % 13 = 0 THEN 2 ELSE doc_id % 2 END AS y, {ODD_SCORE} AS score FROM documents) SELECT 'overall' AS kind, 'all' AS key, CASE WHEN y = 2 THEN 'label' ELSE 'score' END AS problem, count(*) AS n FROM s WHERE y = 2 OR score IS NULL OR NOT isfinite(score) GROUP BY 3")
+def score_problems(spark, sf):
+    i = F.col("doc_id")
+    return metrics.score_problems(metrics.slices(table(spark, sf, "documents").select(F.when(i % 13 == 0, 2).otherwise(i % 2).alias("y"), odd_scores(i).alias("score"))))
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 10 IN (0, 1, 2) THEN 'not_finite' END AS problem FROM documents WHERE doc_id % 10 IN (0, 1, 2)")
+def coverage_of_odd_scores(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    return metrics.coverage(docs, docs.withColumn("score", odd_scores(F.col("doc_id"))), "doc_id")
+
+
+@query(
+    """WITH t AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, conv_id * 1000 + CASE WHEN conv_id % 3 = 0 AND turn = 0 THEN 999 WHEN conv_id % 3 = 1 AND turn = 0 THEN max(turn) OVER (PARTITION BY conv_id) ELSE turn - 1 END AS p FROM (SELECT DISTINCT conv_id, turn FROM conversations))
+SELECT id, CASE WHEN conv_id % 3 = 0 THEN 'orphan' WHEN conv_id % 3 = 1 THEN 'cycle' ELSE 'ok' END AS status FROM t"""
+)
+def lineage_problems(spark, sf):
+    """Chains without a first parent, chains closed to cycles, and good ones."""
+    turns = table(spark, sf, "conversations").select("conv_id", "turn").distinct()
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    c, t = F.col("conv_id"), F.col("turn")
+    parent = F.when(t > 0, c * 1000 + t - 1).when(c % 3 == 0, c * 1000 + 999).when(c % 3 == 1, c * 1000 + F.col("last"))
+    return graph.lineage(turns.join(last, "conv_id").select((c * 1000 + t).alias("id"), parent.alias("parent"))).select("id", "status")
+
+
+RESUME = """WITH p AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0), o AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0)
+SELECT coalesce(p.id, o.id) AS id, CASE WHEN p.id IS NULL THEN 'unplanned' WHEN o.id IS NULL THEN 'run' ELSE '{0}' END AS action FROM p FULL JOIN o ON p.id = o.id"""
+
+
+def resumed(spark, sf, policy):
+    ids = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    return reports.resume_actions(ids.where("id % 2 = 0"), ids.where("id % 3 = 0").withColumn("valid", F.col("id") % 5 > 0), "id", policy)
+
+
+@query(RESUME.format("error_exists"))
+def resume_fail(spark, sf):
+    return resumed(spark, sf, "fail")
+
+
+@query(RESUME.format("redo"))
+def resume_regenerate(spark, sf):
+    return resumed(spark, sf, "regenerate")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 0")
+def extract_new(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id")
+    return selection.extract_new(docs, docs.where("doc_id % 4 = 0"), "doc_id")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN d + f < n THEN 'incomplete' WHEN f > 0 THEN 'complete_with_failures' ELSE 'complete' END AS status FROM (SELECT o_orderkey, o_orderkey % 4 + 1 AS n, o_orderkey % 3 AS f, o_orderkey % 5 AS d FROM orders)")
+def run_statuses(spark, sf):
+    i = F.col("o_orderkey")
+    return table(spark, sf, "orders").select(i.alias("id"), reports.run_status(i % 4 + 1, i % 3, i % 5).alias("status"))
+
+
+@query("SELECT page_id, url LIKE 'https://%' AS public FROM pages UNION ALL SELECT * FROM (VALUES (-1, false), (-2, false), (-3, true), (-4, false), (-5, true), (-6, false), (-7, false), (-8, true))")
+def public_endpoints(spark, sf):
+    """The pages' hosts are public names; the added ones are addresses and local names."""
+    odd = ["https://203.0.113.5/", "https://198.18.0.1", "https://10.example.com/", "https://[::ffff:10.0.0.1]/", "https://8.8.8.8/x", "https://localhost", "http://8.8.8.8", "https://[2606:4700::1111]:8443/a"]
+    extra = spark.createDataFrame([(-k - 1, u) for k, u in enumerate(odd)], "page_id long, url string")
+    rows = table(spark, sf, "pages").select("page_id", "url").unionByName(extra)
+    return rows.select("page_id", public_endpoint(F.col("url")).alias("public"))
+
+
+@query(
+    f"""WITH {SPLITS}, p AS (SELECT component, CASE WHEN count(*) FILTER (doc % 50 = 0) > 0 THEN 'unset' WHEN count(DISTINCT CASE WHEN doc % 50 = 0 THEN NULL WHEN doc % 20 = 1 THEN 'test' ELSE split END) > 1 THEN 'several_splits'
+  WHEN bool_or(doc % 31 = 0 AND coalesce(CASE WHEN doc % 50 = 0 THEN NULL WHEN doc % 20 = 1 THEN 'test' ELSE split END, '') <> 'test') THEN 'holdout_outside_test' END AS problem FROM (SELECT *, substr(sample_id, 5)::BIGINT AS doc FROM s) GROUP BY 1) SELECT * FROM p WHERE problem IS NOT NULL"""
+)
+def split_problems(spark, sf):
+    """Given splits with some unset, some moved to test, and rows held out."""
+    doc = F.substring("sample_id", 5, 20).cast("long")
+    rows = cut(split_rows(spark, sf)).withColumn("split", F.when(doc % 50 == 0, None).when(doc % 20 == 1, "test").otherwise(F.col("split")))
+    return graph.split_problems(rows, doc % 31 == 0)

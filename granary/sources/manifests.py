@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import file_system
+
 # The canonical manifest row.
 SAMPLE = (
     "sample_id string, path string, label string, language string, speaker_id string, related_speaker_ids array<string>, source_dataset string, source_id string, "
@@ -103,10 +105,24 @@ def write_report(value: dict, path: str) -> None:
 
 
 def markdown(rows: DataFrame, columns: list[str]) -> str:
-    """A table of a report's few rows: six decimals, N/A for nulls."""
+    """A table of a report: six decimals, N/A for nulls. Every row is written; rows come to the driver a partition at a time."""
     shown = rows.select(*(F.coalesce(F.format_string("%.6f", c) if t in ("double", "float") else F.col(c).cast("string"), F.lit("N/A")).alias(c) for c, t in rows.select(*columns).dtypes))
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    return "\n".join(lines + ["| " + " | ".join(r) + " |" for r in shown.limit(10_000).collect()]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(r) + " |" for r in shown.toLocalIterator()]) + "\n"
+
+
+def write_splits(rows: DataFrame, folder: str, splits: tuple[str, ...] = ("train", "val", "test")) -> dict[str, int]:
+    """The manifest and one manifest per split, and how many rows each split has; a folder that has any of them is an error."""
+    spark = rows.sparkSession
+    targets = {"manifest.split": rows, **{s: rows.where(F.col("split") == s) for s in splits}}
+    for name in targets:
+        at, fs = file_system(spark, f"{folder}/{name}.parquet")
+        if fs.exists(at):
+            raise FileExistsError(f"{folder}/{name}.parquet")
+    for name, part in targets.items():
+        write_manifest(part, f"{folder}/{name}.parquet")
+    counted = {r["split"]: r["count"] for r in rows.where(F.col("split").isin(*splits)).groupBy("split").count().collect()}
+    return {s: counted.get(s, 0) for s in splits}
 
 
 def verify_files(manifest: DataFrame, root: str, digest: str = "source_sha256") -> DataFrame:

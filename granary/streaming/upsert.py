@@ -1,47 +1,135 @@
-"""Resumable results: a keyed store of Parquet versions, and a stream that upserts into it."""
+"""Resumable results: a keyed store of Parquet versions, a stream that upserts into it, and a store of runs."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import result_json
+from ..session import file_system
+
+NAME = re.compile(r"v(\d+)(?:\.(.*))?")
+
 
 class ResultStore:
-    """Versions ``v<N>`` of a table keyed by ``key``. A version counts once it is complete (its _SUCCESS is written)."""
+    """Versions ``v<N>`` of a table keyed by ``key``. A version counts once it is complete (its _SUCCESS is written).
 
-    def __init__(self, spark: SparkSession, path: str, key: str, schema: str) -> None:
-        self.spark, self.path, self.key, self.schema = spark, path.rstrip("/"), key, schema
+    The batch of a stream that made a version is part of its name, so a batch that is run again is known whatever
+    else was written between. The last ``keep`` versions stay for readers, and the names of batches for replays.
+    """
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str, keep: int = 3) -> None:
+        self.spark, self.path, self.key, self.schema, self.keep = spark, path.rstrip("/"), key, schema, max(1, keep)
+
+    def _versions(self) -> list[tuple[int, str | None, str]]:
+        """Number, batch and folder of the complete versions; emptied ones count, as their batches were written."""
+        root, fs = file_system(self.spark, self.path)
         if not fs.exists(root):
             return []
-        names = [x.getPath() for x in fs.listStatus(root)]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName()[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+        out = []
+        for x in fs.listStatus(root):
+            if (m := NAME.fullmatch(x.getPath().getName())) and fs.exists(file_system(self.spark, f"{self.path}/{m[0]}/_SUCCESS")[0]):
+                out.append((int(m[1]), m[2], m[0]))
+        return sorted(out, key=lambda v: v[0])
 
     def read(self) -> DataFrame:
         found = self._versions()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{found[-1]}") if found else self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1][2]}") if found else self.spark.createDataFrame([], self.schema)
 
-    def upsert(self, new: DataFrame, version: int | None = None) -> None:
-        """New rows replace rows of their key. Equal keys within ``new`` are an error of the caller: one of them stays."""
+    def upsert(self, new: DataFrame, batch: str | None = None, order: str | None = None) -> None:
+        """New rows replace rows of their key. Of rows of one key within ``new`` the last by ``order`` stays; without it they are an error."""
         found = self._versions()
-        to = found[-1] + 1 if found and version is None else version if version is not None else 0
-        if to in found:
+        if batch is not None and any(b == batch for _, b, _ in found):
             return  # a batch that is run again after it was written
-        new = new.dropDuplicates([self.key])
-        merged = self.read().join(new.select(self.key), self.key, "left_anti").unionByName(new.select(*self.read().columns))
-        merged.write.mode("overwrite").parquet(f"{self.path}/v{to}")
+        old = self.read()
+        new = new.select(*old.columns, *([order] if order and order not in old.columns else []))
+        if order:
+            new = new.groupBy(self.key).agg(F.max_by(F.struct(*old.columns), F.struct(F.col(order), F.xxhash64(*old.columns))).alias("row")).select("row.*")
+        elif not new.groupBy(self.key).count().where("count > 1").isEmpty():
+            raise ValueError(f"repeated {self.key} within one upsert: name a column that orders them")
+        merged = old.join(new.select(self.key), self.key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+        number = found[-1][0] + 1 if found else 0
+        merged.write.mode("overwrite").parquet(f"{self.path}/v{number}" + (f".{batch}" if batch is not None else ""))
+        self._empty([folder for _, _, folder in found[: -self.keep] if self.keep < len(found) + 1])
+
+    def _empty(self, folders: list[str]) -> None:
+        """Deletes the data of old versions; the folder stays as the record of its batch."""
+        for folder in folders:
+            at, fs = file_system(self.spark, f"{self.path}/{folder}")
+            for x in fs.listStatus(at):
+                if x.getPath().getName().startswith("part-"):
+                    fs.delete(x.getPath(), False)
 
-    def finish(self, key: object, status: str) -> None:
-        """Guarded update: only a running row changes its status."""
+    def insert_missing(self, new: DataFrame) -> None:
+        """Rows whose key the store lacks; others are left as they are."""
+        known = self.read().select(self.key)
+        self.upsert(new.join(known, self.key, "left_anti"))
+
+    def finish(self, key: object, status: str, **values: object) -> None:
+        """Guarded update: only a running row changes its status (and the other columns named)."""
         hit = (F.col(self.key) == F.lit(key)) & (F.col("status") == "running")
-        self.upsert(self.read().where(hit).withColumn("status", F.lit(status)))
+        types = dict(self.read().dtypes)
+        self.upsert(self.read().where(hit).withColumns({"status": F.lit(status), **{k: F.lit(v).cast(types[k]) for k, v in values.items()}}))
+
+    def find(self, key: object) -> DataFrame:
+        """The row with this key, if there is one."""
+        return self.read().where(F.col(self.key) == F.lit(key))
+
+
+def stream_upsert(stream: DataFrame, store: ResultStore, checkpoint: str, order: str | None = None, name: str | None = None) -> StreamingQuery:
+    """Each micro-batch becomes one version; stream and batch id name it, so a replayed batch changes nothing.
+
+    ``name`` tells streams into one store apart; without it the checkpoint does.
+    """
+    own = name or hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    return stream.writeStream.foreachBatch(lambda df, batch: store.upsert(df, f"{own}-{batch}", order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class RunStore:
+    """Targets, runs, case results and metrics, each a ``ResultStore``."""
+
+    TARGETS = "id string, name string, version string, created_at string"
+    RUNS = "id string, target_id string, target_version string, status string, started_at string, finished_at string, config_hash string, result_hash string"
+    RESULTS = "row_id string, run_id string, case_id string, result_json string"
+    METRICS = "row_id string, run_id string, metric string, value double"
+
+    def __init__(self, spark: SparkSession, path: str, seeds: list[tuple] = ()) -> None:
+        self.spark = spark
+        at = lambda name, key, schema: ResultStore(spark, f"{path}/{name}", key, schema)
+        self.targets, self.runs = at("targets", "id", self.TARGETS), at("runs", "id", self.RUNS)
+        self.results, self.metrics = at("results", "row_id", self.RESULTS), at("metrics", "row_id", self.METRICS)
+        if seeds:
+            self.targets.insert_missing(spark.createDataFrame(list(seeds), self.TARGETS))
+
+    def create(self, run_id: str, target: str, version: str, config: dict, started_at: str) -> None:
+        digest = hashlib.sha256(json.dumps(config, sort_keys=True).encode()).hexdigest()
+        self.runs.insert_missing(self.spark.createDataFrame([(run_id, target, version, "running", started_at, None, digest, None)], self.RUNS))
+
+    def finish(self, run_id: str, results: list[dict], metrics: dict[str, float], finished_at: str) -> None:
+        """Only a running run is completed, and only then are its results and metrics written."""
+        if self.runs.find(run_id).where("status = 'running'").isEmpty():
+            return
+        lines = [result_json(r) for r in results]
+        digest = hashlib.sha256("\n".join(lines).encode()).hexdigest()
+        if results:
+            rows = [(f"{run_id}/{r['case_id']}", run_id, r["case_id"], x) for r, x in zip(results, lines, strict=True)]
+            self.results.upsert(self.spark.createDataFrame(rows, self.RESULTS))
+        if metrics:
+            self.metrics.upsert(self.spark.createDataFrame([(f"{run_id}/{k}", run_id, k, float(v)) for k, v in metrics.items()], self.METRICS))
+        self.runs.finish(run_id, "completed", finished_at=finished_at, result_hash=digest)
+
+    def list_runs(self) -> DataFrame:
+        """Newest first."""
+        return self.runs.read().orderBy(F.desc("started_at"), "id")
 
+    def list_targets(self) -> DataFrame:
+        """Oldest first."""
+        return self.targets.read().orderBy("created_at", "id")
 
-def stream_upsert(stream: DataFrame, store: ResultStore, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch becomes one version; the batch id names it, so a replayed batch changes nothing."""
-    return stream.writeStream.foreachBatch(lambda df, batch: store.upsert(df, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def list_results(self, run_id: str) -> DataFrame:
+        return self.results.read().where(F.col("run_id") == run_id).orderBy("case_id")

@@ -1,5 +1,7 @@
 import datetime
+import hashlib
 import random
+import unicodedata
 import wave
 from decimal import Decimal
 
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from granary.functions import audio, text
 from granary.operators import graph, metrics, rag, reports, rules, selection
 from granary.sources import manifests
-from granary.streaming.upsert import ResultStore, stream_upsert
+from granary.streaming.upsert import ResultStore, RunStore, stream_upsert
 
 
 def scored(spark, labels, scores):
@@ -19,7 +21,13 @@ def scored(spark, labels, scores):
 
 @pytest.mark.parametrize(
     ("labels", "scores", "want"),
-    [([0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9], ("ok", 1, 0, 0)), ([0, 0, 1, 1], [0.9, 0.8, 0.2, 0.1], ("ok", 0, 1, 1)), ([0, 1, 0, 1], [0.5] * 4, ("degenerate_constant_scores", None, None, None)), ([0, 0], [0.1, 0.4], ("undefined_single_class", None, None, None))],
+    # worked out by hand: of six pairs of a positive and a negative, three or five are in order
+    [
+        ([1, 0, 1, 0, 1], [0.9, 0.7, 0.6, 0.3, 0.2], ("ok", 0.5, 0.5, 1)),
+        ([1, 1, 0, 1, 0], [0.95, 0.6, 0.55, 0.5, 0.1], ("ok", 0.833333, 0.333333, 0.5)),
+        ([1, 0, 1], [0.25, 0.25, 0.25], ("degenerate_constant_scores", None, None, None)),
+        ([1, 1, 1], [0.2, 0.3, 0.4], ("undefined_single_class", None, None, None)),
+    ],
 )
 def test_metric_goldens(spark, labels, scores, want):
     r = metrics.detection_metrics(scored(spark, labels, scores)).first()
@@ -27,8 +35,8 @@ def test_metric_goldens(spark, labels, scores, want):
 
 
 def test_threshold_and_coverage(spark):
-    r = metrics.eer_threshold(scored(spark, [0, 0, 1, 1], [0.1, 0.2, 0.8, 0.9])).first()
-    assert 0.2 < r["threshold"] <= 0.8 and (r["fpr"], r["tpr"]) == (0, 1)
+    r = metrics.eer_threshold(scored(spark, [1, 1, 0, 1, 0], [0.95, 0.6, 0.55, 0.5, 0.1])).first()
+    assert (r["threshold"], r["fpr"], r["tpr"]) == (0.55, 0.5, 0.666667)
     e = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
     p = spark.createDataFrame([("a", 0.1), ("b", float("nan")), ("d", 0.2), ("a", 0.1)], "id string, score double")
     assert {tuple(x) for x in metrics.coverage(e, p, "id").collect()} == {("a", "duplicate"), ("b", "not_finite"), ("c", "missing"), ("d", "extra")}
@@ -185,4 +193,62 @@ def test_stream_upsert(spark, tmp_path):
     assert {r["job"]: r["status"] for r in store.read().collect()} == {"a": "done", "b": "done", "c": "running"}
     store.finish("c", "failed")
     store.finish("b", "failed")
-    assert {r["job"]: r["status"] for r in store.read().collect()} == {"a": "done", "b": "done", "c": "failed"}
+    spark.createDataFrame([("d", "running", datetime.datetime(2024, 1, 1))], schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream_upsert(spark.readStream.schema(schema).parquet(str(src)), store, str(tmp_path / "ck")).awaitTermination()
+    assert [r["status"] for r in store.find("d").collect()] == ["running"]
+    other = spark.createDataFrame([("d", "failed", datetime.datetime(2024, 1, 2)), ("d", "done", datetime.datetime(2024, 1, 3))], schema)
+    with pytest.raises(ValueError, match="repeated"):
+        store.upsert(other)
+    store.upsert(other, "x-1", "t")
+    store.upsert(other.withColumn("status", F.lit("again")), "x-1", "t")  # the same batch again
+    assert [r["status"] for r in store.find("d").collect()] == ["done"]
+    store.upsert(store.read().limit(0))
+    store.upsert(spark.createDataFrame([("d", "failed", datetime.datetime(2024, 1, 2))], schema).limit(0), "x-1")
+    assert {r["job"]: r["status"] for r in store.read().collect()} == {"a": "done", "b": "done", "c": "failed", "d": "done"}
+
+
+def test_run_store(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "runs"), [("t1", "first", "1", "2024-01-01"), ("t0", "second", "1", "2024-01-02")])
+    RunStore(spark, str(tmp_path / "runs"), [("t1", "changed", "2", "2025-01-01")])
+    assert [(r["id"], r["name"]) for r in store.list_targets().collect()] == [("t1", "first"), ("t0", "second")]
+    for k in (1, 2):
+        store.create(f"r{k}", "t1", "1", {"b": 1, "a": "é"}, f"2024-02-0{k}")
+    results = [{"case_id": "c2", "text": "é", "n": 1}, {"case_id": "c1", "ok": True}]
+    store.finish("r1", results, {"accuracy": 0.5}, "2024-03-01")
+    store.finish("r1", [], {"accuracy": 0.9}, "2024-03-02")  # not running any more
+    runs = store.list_runs().collect()
+    want = hashlib.sha256(b'{"case_id": "c2", "n": 1, "text": "\xc3\xa9"}\n{"case_id": "c1", "ok": true}').hexdigest()
+    assert [(r["id"], r["status"], r["result_hash"]) for r in runs] == [("r2", "running", None), ("r1", "completed", want)]
+    assert [r["case_id"] for r in store.list_results("r1").collect()] == ["c1", "c2"] and store.metrics.read().first()["value"] == 0.5
+    assert store.runs.find("none").isEmpty()
+
+
+def test_compose(spark):
+    def rows(label, ids, **more):
+        return spark.createDataFrame([(i, label, "kk", f"x/{i}.wav", "train") for i in ids], "sample_id string, label string, language string, path string, split string").withColumns({"quality_gate": F.lit("pass"), "training_eligible": F.lit(True), "diagnostic_only": F.lit(False), "intended_role": F.lit("train")})
+
+    got = {r["sample_id"]: (r["path"], r["split"]) for r in selection.compose(rows("real", "ab"), rows("synthetic", "c"), ["kk"]).collect()}
+    assert got == {i: (f"audio/{i}.wav", None) for i in "abc"}
+    for real, made, languages in ((rows("real", "ab"), rows("synthetic", "b"), None), (rows("synthetic", "a"), rows("synthetic", "b"), None), (rows("real", "a"), rows("synthetic", "b"), ["ru"]), (rows("real", "a"), rows("real", "b"), None)):
+        with pytest.raises(rules.RuleError):
+            selection.compose(real, made, languages)
+
+
+def test_text_identity_is_exact(spark):
+    odd = [None, "", " A\tB ", "Straße", "ﬁne", "ＡＢＣ", "é", "é", "İ", "ΣΑΣ", "x\x1cy", "\u2003a\u3000b ", "½", "Қазақ", "ǅ"]
+    df = spark.createDataFrame([(t,) for t in odd], "t string").select("t", text.normalize_text("t").alias("n"))
+    for r in df.collect():
+        assert r["n"] == (None if r["t"] is None else " ".join(unicodedata.normalize("NFKC", r["t"]).split()).casefold())
+
+
+def test_markdown_has_every_row(spark):
+    lines = manifests.markdown(spark.range(10_500).withColumn("x", F.lit(0.5)), ["id", "x"]).splitlines()
+    assert len(lines) == 10_502 and lines[-1].endswith("| 0.500000 |")
+
+
+def test_split_exports(spark, tmp_path):
+    rows = manifests.conform(spark.createDataFrame([("a", "train"), ("b", "test"), ("c", None)], "sample_id string, split string"))
+    assert manifests.write_splits(rows, str(tmp_path)) == {"train": 1, "val": 0, "test": 1}
+    assert manifests.read_manifest(spark, str(tmp_path / "manifest.split.parquet")).count() == 3
+    with pytest.raises(FileExistsError):
+        manifests.write_splits(rows, str(tmp_path))
