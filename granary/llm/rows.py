@@ -101,8 +101,11 @@ def pick(df: DataFrame, id_col: str, text_col: str, *, keep_null: bool = False)
     return df.select(F.col(id_col).alias("doc_id"), text.alias("text"))
 
 
+LONGEST_KEY = 100
+
+
 class Memo(dict):
-    """A dict that computes what it lacks and starts anew at ``limit`` entries."""
+    """A dict that computes what it lacks and starts anew at ``limit`` entries; long strings are not kept, so its size is bounded."""
 
     def __init__(self, make: Callable, limit: int = 150_000) -> None:
         super().__init__()
@@ -112,7 +115,8 @@ class Memo(dict):
         if len(self) >= self.limit:
             self.clear()
         value = self.make(key)
-        self[key] = value
+        if not isinstance(key, str) or len(key) <= LONGEST_KEY:
+            self[key] = value
         return value
 
 
