@@ -2,17 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import hash_fraction
-from ..session import Scratch, cut
+from ..session import Scratch, cut, ship
 from .skew import join_groups
 
 
-def _state(edges: DataFrame) -> tuple:
-    """Tells whether two edge tables are equal (up to hash collisions)."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+#: Links that are joined to stars in one task: bounded, whatever the input.
+IN_ONE_TASK = 100_000
+
+
+def _contract(edges: DataFrame, n: int) -> DataFrame:
+    """Stars instead of the links of each of n / ``IN_ONE_TASK`` parts: the same components with fewer links."""
+    names, schema = edges.columns, edges.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict = {}
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for batch in batches:
+            for x, y in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        found = [(x, find(x)) for x in list(root)]
+        found = [(x, y) for x, y in found if x != y]
+        for at in range(0, len(found), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found[at : at + 10_000]), to_arrow_schema(schema), strict=True)], names=names)
+
+    ship(edges.sparkSession)
+    return edges.repartition(-(-n // IN_ONE_TASK), *names).mapInArrow(run, schema)
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether each greater node has one link and is nobody's lesser one."""
+    roles = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    by = edges.select(F.inline(roles)).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    return by.where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
 def _star(edges: DataFrame, large: bool, n: int, scratch: Scratch) -> DataFrame:
@@ -35,20 +71,19 @@ def _star(edges: DataFrame, large: bool, n: int, scratch: Scratch) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` (the least node of its component) for each node of ``links`` (a, b); other nodes stand alone.
 
-    Large and small stars in turn: the rounds grow with the logarithm of the diameter, not with it. Each round's
-    table is deleted when the next one is written.
+    Links are joined to stars within parts of a bounded size first; what crosses parts is settled by large and small
+    stars in turn, whose rounds grow with the logarithm of the diameter. Each round's table is deleted when the next one is written.
     """
     with Scratch(links.sparkSession) as scratch:
         edges = scratch.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-        state = _state(edges)
-        while state[0]:
-            large = scratch.cut(_star(edges, True, state[0], scratch))
+        n = edges.count()
+        if n:
+            edges = scratch.cut(_contract(edges, n))
+        while n > IN_ONE_TASK and not _is_stars(edges):
+            large = scratch.cut(_star(edges, True, edges.count(), scratch))
             scratch.drop(edges)
             edges = scratch.cut(_star(large, False, large.count(), scratch))
             scratch.drop(large)
-            before, state = state, _state(edges)
-            if state == before:
-                break
         both = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("label")), F.struct(F.col("b").alias("node"), F.col("b").alias("label")))
         return scratch.keep(edges.select(F.inline(both)).distinct())
 

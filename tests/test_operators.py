@@ -252,3 +252,19 @@ def test_split_exports(spark, tmp_path):
     assert manifests.read_manifest(spark, str(tmp_path / "manifest.split.parquet")).count() == 3
     with pytest.raises(FileExistsError):
         manifests.write_splits(rows, str(tmp_path))
+
+
+@pytest.mark.parametrize("bound", [100_000, 40])
+def test_components_with_and_without_star_rounds(spark, monkeypatch, bound):
+    monkeypatch.setattr(graph, "IN_ONE_TASK", bound)
+    rng = random.Random(5)
+    links = [(0, i) for i in range(1, 150)] + [(i, i + 1) for i in range(1000, 1060)] + [(rng.randrange(2000, 2200), rng.randrange(2000, 2200)) for _ in range(120)] + [(7, 7), (None, 3)]
+    want = {}
+    for a, b in links:
+        if a is not None and a != b:
+            x, y = want.setdefault(a, {a}), want.setdefault(b, {b})
+            both = x | y
+            for node in both:
+                want[node] = both
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {node: min(group) for node, group in want.items()}
