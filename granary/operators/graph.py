@@ -41,7 +41,8 @@ def _contract(edges: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*found[at : at + 10_000]), to_arrow_schema(schema), strict=True)], names=names)
 
     ship(edges.sparkSession)
-    return edges.repartition(-(-n // IN_ONE_TASK), *names).mapInArrow(run, schema)
+    parts = -(-n // IN_ONE_TASK)
+    return (edges.coalesce(1) if parts == 1 else edges.repartition(parts, *names)).mapInArrow(run, schema)
 
 
 def _is_stars(edges: DataFrame) -> bool:
@@ -79,7 +80,7 @@ def components(links: DataFrame) -> DataFrame:
         n = edges.count()
         if n:
             edges = scratch.cut(_contract(edges, n))
-        while n > IN_ONE_TASK and not _is_stars(edges):
+        while not _is_stars(edges):
             large = scratch.cut(_star(edges, True, edges.count(), scratch))
             scratch.drop(edges)
             edges = scratch.cut(_star(large, False, large.count(), scratch))
