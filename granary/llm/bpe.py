@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -49,20 +50,14 @@ def byte_alphabet() -> dict[str, int]:
     return letters | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-def newer_characters() -> tuple[regex.Pattern, dict[int, str], dict[int, int]]:
-    """What Python's tables lack: a pattern of these characters, a stand-in of the same class that all tables know, small letters."""
-    missing = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    stand_in = dict.fromkeys(missing, "\u0378")  # unassigned in all tables
+def newer_characters() -> tuple[dict[int, str], dict[int, int]]:
+    """The characters that the ``regex`` module knows and Python's tables lack: a stand-in of the class that the library gives
+    them, which all tables know, and their small letters."""
+    missing = "".join(map(chr, (c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")))
+    stand_in = {ord(c): "\u0378" for c in regex.findall(r"\P{Cn}", missing)}  # unassigned in all tables
     for ranges, known in ((NEWER_LETTERS, "\u4e00"), (NEWER_NUMBERS, "0")):
         stand_in |= {c: known for low, high in ranges for c in range(low, high + 1)}
-    small = {c: c + d for low, high, d in NEWER_CAPITALS for c in range(low, high + 1)}
-    runs: list[list[int]] = []
-    for c in missing:
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"), stand_in, small
+    return stand_in, {c: c + d for low, high, d in NEWER_CAPITALS for c in range(low, high + 1)}
 
 
 class BacktrackingBPE:
@@ -80,7 +75,9 @@ class BacktrackingBPE:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         # \s of the library is the Unicode property; \s of Python also has U+001C to U+001F.
         self.finder = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
-        self.newer, self.stand_in, self.small = newer_characters()
+        self.stand_in, self.small = newer_characters()
+        self.newer = frozenset(map(chr, self.stand_in))
+        self.high = re.compile(f"[{min(self.newer)}-\U0010ffff]").search
 
         def symbols(token: str) -> str:
             ends = bool(end) and token.endswith(end) and len(token) > len(end)
@@ -183,7 +180,7 @@ class BacktrackingBPE:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.special and self.special.search(text) and (parts := self.special.split(text)):
+        if any(x in text for x in self.specials) and (parts := self.special.split(text)):
             return b"".join(self.specials[x].to_bytes(4, "little") if k % 2 else self._plain(x) for k, x in enumerate(parts))
         return self._plain(text)
 
@@ -192,7 +189,7 @@ class BacktrackingBPE:
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # lower case goes letter by letter: no final sigma
         text = text.lower()
-        if text.isascii() or not self.newer.search(text):
+        if text.isascii() or not self.high(text) or self.newer.isdisjoint(text):
             return b"".join(map(self.cache.__getitem__, self.finder.findall(text)))
         text = text.translate(self.small)
         return b"".join(self.cache[text[m.start() : m.end()]] for m in self.finder.finditer(text.translate(self.stand_in)))
