@@ -53,8 +53,11 @@ def byte_alphabet() -> dict[str, int]:
 def newer_characters() -> tuple[dict[int, str], dict[int, int]]:
     """The characters that the ``regex`` module knows and Python's tables lack: a stand-in of the class that the library gives
     them, which all tables know, and their small letters."""
-    missing = "".join(map(chr, (c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")))
-    stand_in = {ord(c): "\u0378" for c in regex.findall(r"\P{Cn}", missing)}  # unassigned in all tables
+    known_ones = regex.compile(r"\P{Cn}").findall
+    stand_in: dict[int, str] = {}
+    for at in range(0, 0x110000, 0x1000):  # a few at a time: workers live on, and so would the memory
+        missing = "".join(c for c in map(chr, range(at, at + 0x1000)) if unicodedata.category(c) == "Cn")
+        stand_in |= {ord(c): "\u0378" for c in known_ones(missing)}  # unassigned in all tables
     for ranges, known in ((NEWER_LETTERS, "\u4e00"), (NEWER_NUMBERS, "0")):
         stand_in |= {c: known for low, high in ranges for c in range(low, high + 1)}
     return stand_in, {c: c + d for low, high, d in NEWER_CAPITALS for c in range(low, high + 1)}
@@ -113,8 +116,8 @@ class BacktrackingBPE:
         self.shorter = [-1] * size
         for key, i in by_key.items():
             self.shorter[i] = next((by_key[key[:n]] for n in range(len(key) - 1, 0, -1) if key[:n] in by_key), -1)
-        self.compatible = Memo(lambda pair: self._first_crossing(*pair) is None, 100_000)
-        self.cache = Memo(self._piece, 150_000)
+        self.compatible = Memo(lambda pair: self._first_crossing(*pair) is None, 60_000)
+        self.cache = Memo(self._piece, 100_000)
 
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         printed = [names.get(i, "").encode() for i in range(size)]

@@ -40,7 +40,7 @@ class Settings:
     bits: int = 768
     radius: int = 166
     similarity: float = 0.8
-    block_bytes: int = 16_000_000
+    block_bytes: int = 8_000_000
 
 
 def signs(shingles: np.ndarray, bits: int) -> np.ndarray:
@@ -57,8 +57,8 @@ class Blocks:
         self.words = np.ascontiguousarray(prints).view(np.uint32)
         self.near = settings.radius // self.words.shape[1]
         byte = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None, :]) <= self.near // 4
-        # per byte of a fingerprint: value -> items whose byte is near
-        self.tables = [byte[:, prints[:, b]] for b in range(prints.shape[1])]
+        # per byte of a fingerprint: value -> items whose byte is near, a bit an item (3 KB an item in all)
+        self.tables = [np.packbits(byte[:, prints[:, b]], axis=1) for b in range(prints.shape[1])]
 
     def candidates(self, prints: np.ndarray) -> np.ndarray:
         """Windows x items: whether some block is near."""
@@ -68,7 +68,7 @@ class Blocks:
             some = self.tables[4 * b][prints[:, 4 * b]]
             for k in range(1, 4):
                 some = some | self.tables[4 * b + k][prints[:, 4 * b + k]]
-            w, i = np.nonzero(some & ~found)
+            w, i = np.nonzero(np.unpackbits(some, axis=1, count=len(self.words)).view(bool) & ~found)
             near = np.bitwise_count(words[w, b] ^ self.words[i, b]) <= self.near
             found[w[near], i[near]] = True
         return found

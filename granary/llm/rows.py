@@ -107,7 +107,7 @@ LONGEST_KEY = 100
 class Memo(dict):
     """A dict that computes what it lacks and starts anew at ``limit`` entries; long strings are not kept, so its size is bounded."""
 
-    def __init__(self, make: Callable, limit: int = 150_000) -> None:
+    def __init__(self, make: Callable, limit: int = 80_000) -> None:
         super().__init__()
         self.make, self.limit = make, limit
 
