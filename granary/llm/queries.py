@@ -82,13 +82,61 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_with_edits(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_late_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The layout of the sales that arrived before 20 March 2024, overwritten by what arrived later; the files stay below the shared folder."""
+    from ..session import Scratch, shared_dir
+    from .late_overwrite import DAY_MICROS, Names, days_later, late_overwrite, micros, source_rows
+
+    sales = table(spark, sf_dir, "sales")
+    ntz = {c: t == "timestamp_ntz" for c, t in sales.dtypes}
+    h = lambda sale_id: F.crc32(sale_id.cast("string").cast("binary"))
+    day = F.floor(micros(F.col("sold_at"), ntz["sold_at"]) / DAY_MICROS)
+    copies = F.when((h(F.col("sale_id")) % 3 == 0) & (day % 4 == 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    changed = {
+        "total": lambda get: get("total") + 1,
+        "sold_at": lambda get: days_later(get("sold_at"), (h(get("sale_id")) % 2).cast("int"), ntz["sold_at"]),
+        "arrived_at": lambda get: days_later(get("arrived_at"), (1 + h(get("sale_id")) % 97).cast("int"), ntz["arrived_at"]),
+    }
+    late = F.col("arrived") >= 1_710_892_800_000_000  # 2024-03-20 00:00 UTC
+    with Scratch(spark) as scratch:
+        job = late_overwrite(source_rows(sales, copies, changed), Names("sale_id", "sold_at", "arrived_at"), 1 + sales.count() // 1100, late, shared_dir(spark), scratch)
+        row = F.col("row")
+        text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+        times = [text(micros(row[c], ntz[c])) for c in ("sold_at", "arrived_at")]
+        return job.report(
+            cents=F.sum(F.coalesce(F.floor(row.total * 100 + 0.5), F.lit(0)).cast("long")),
+            rows_crc=F.sum(F.crc32(F.concat_ws(":", text(row.sale_id), *times).cast("binary"))),
+        ).select("day", "file_no", "n_rows", "cents", "rows_crc", "path", "columns", "ids_sha256", "rewritten")
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five highest integer inner products of each fiftieth vector with all others."""
+    from ..session import Scratch
+    from .top_k import top_k
+
+    with Scratch(spark) as scratch:
+        return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5, scratch)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_warc, op2_bpe, op3_toxicity, op4_secrets, op5_quality, op6_pii, op7_decontaminate, op8_licenses, op9_near_dedup, op10_token_counts, pipeline)
+_ALL = (op1_warc, op2_bpe, op3_toxicity, op4_secrets, op5_quality, op6_pii, op7_decontaminate, op8_licenses, op9_near_dedup, op10_token_counts, op11_late_overwrite, op12_topk, pipeline)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-#: None of the ten can be expressed in DuckDB's SQL (hashes, automata, trained models, merges); tests/llm compares them with brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others can't be expressed in DuckDB's SQL (hashes, automata, trained models, merges, files); tests/llm compares them with brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op12_topk": """
+        WITH usable AS (
+            SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+        )
+        SELECT query_id, rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 5
+    """,
+}
