@@ -30,7 +30,7 @@ ROUNDS = 8
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 VALUE = re.compile(
     r"(?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]{0,63}(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+))"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\w))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d))"
     r"|(?P<date>(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\w-]))"
     r"|(?P<card>(?<![\w+])\d(?:[ -]?\d){12,18}(?!\w))",
@@ -47,6 +47,10 @@ NATIONAL = {
     "52": (10, 11), "55": (10, 11), "61": (9, 9), "81": (9, 10), "82": (8, 10), "86": (10, 11), "90": (10, 10), "91": (10, 10),
     "351": (9, 9), "353": (7, 9), "380": (9, 9), "420": (9, 9), "421": (9, 9),
 }
+# Country codes of two digits; 1 and 7 have one digit, all others three.
+TWO_DIGITS = set(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
 KINDS = ("card", "phone", "ip", "date", "email")
 
 
@@ -122,6 +126,11 @@ def cards(text: str, start: int) -> tuple[list[tuple[int, int]], int]:
     return sorted(out), end
 
 
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with, whatever its layout is."""
+    return digits[: 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in TWO_DIGITS else 3]
+
+
 def phone_end(value: str) -> int:
     """Where the number ends in a match that may hold a following one too.
 
@@ -130,10 +139,9 @@ def phone_end(value: str) -> int:
     """
     groups = [m.span() for m in re.finditer(r"\d+", value)]
     digits = re.sub(r"\D", "", value)
-    country = next((digits[:n] for n in (1, 2, 3) if digits[:n] in NATIONAL), None)
-    code = country or re.match(r"\+(\d{1,3}?)(?=\D|\d{7,}|$)", value)[1]
-    least, most = NATIONAL.get(country, (7, 12))
-    most += country != "1" and digits[len(code) :].startswith("0")  # with the trunk prefix
+    code = country_code(digits)
+    least, most = NATIONAL.get(code, (7, 12))
+    most += code != "1" and digits[len(code) :].startswith("0")  # with the trunk prefix
     end, before = None, " "
     for k, (a, b) in enumerate(groups):
         between = value[groups[k - 1][1] : a] if k else ""
@@ -160,12 +168,19 @@ class Pseudonyms:
         return laid_out(value, body + str(check_digit(body)))
 
     def phone(self, value: str) -> str | None:
+        """The country code stays, and so do leading zeros (a trunk prefix may be written or not); the other digits are permuted among the numbers of their length."""
         digits = re.sub(r"\D", "", value)
-        code = len(re.match(r"\+(\d{1,3}?)(?=\D|\d{7,})", value)[1]) if re.match(r"\+(\d{1,3}?)(?=\D|\d{7,})", value) else 1
-        own = digits[code:]
+        code = country_code(digits)
+        own = digits[len(code) :]
         if not 7 <= len(own) <= 12:
             return None
-        return laid_out(value, digits[:code] + self._number(own, "phone" + digits[:code]))
+        zeros = own[: len(own) - len(own.lstrip("0"))]
+        rest = own[len(zeros) :]
+        if not rest:
+            return None
+        least = 10 ** (len(rest) - 1)
+        x = self.feistel.permute(int(rest) - least, 9 * least, f"phone{code}", self.inverse)
+        return laid_out(value, code + zeros + str(x + least))
 
     def ip(self, value: str) -> str | None:
         parts = value.split(".")

@@ -48,7 +48,8 @@ BASE = (
 EXTRA = (
     Rule("github", r"gh(p|o|u|s|r)_[A-Za-z0-9]+", size=34),
     Rule("jwt", r"eyJ[A-Za-z0-9_.-]+", size=40),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # the key's own lines too, as far as they are base64, and the END line; line ends may be written as escapes
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(([\x0A\x0D]|\\n|\\r)+[A-Za-z0-9+/=]+)*(([\x0A\x0D]|\\n|\\r)+-----END [A-Z ]*PRIVATE KEY-----)?"),
 )
 RULES = BASE + EXTRA
 

@@ -30,7 +30,7 @@ NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:warc:derivative")
 # Elements whose content isn't text, and elements that stand on lines of their own.
 HIDDEN = {"script", "style", "template", "noscript"}
 BLOCKS = set("p div li ul ol h1 h2 h3 h4 h5 h6 tr table article section nav header footer blockquote pre title head body br hr".split())
-NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+NAME = re.compile(r"[a-zA-Z][^\s/<>]*")
 STOP = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 CLOSE = {n: re.compile(rf"</{n}\s*>", re.I) for n in (*HIDDEN, "title")}

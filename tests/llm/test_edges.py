@@ -1,18 +1,51 @@
 """Hostile and odd inputs of the operators."""
 
+import random
 import time
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from granary.llm import licenses, near_dedup, token_counts, toxicity, warc
+from granary.llm import licenses, near_dedup, pseudonyms, secrets, token_counts, toxicity, warc
 
 
 def test_pages_take_linear_time():
-    for page in ("<a " * 350_000, "<title>" * 150_000, "<a href='" * 110_000, "<script>" * 100_000, "<!-- " * 200_000, '<a "><b"  ' * 100_000 + "'"):
+    for page in ("<a " * 350_000, "<title>" * 150_000, "<a href='" * 110_000, "<script>" * 100_000, "<!-- " * 200_000, "<a" * 250_000, "<a<" * 200_000, "</a" * 300_000, '<a "><b"  ' * 100_000 + "'"):
         began = time.perf_counter()
         warc.Page(page)
-        assert time.perf_counter() - began < 2
+        assert time.perf_counter() - began < 4
+
+
+def test_random_tag_soup_takes_linear_time():
+    draw = random.Random(2)
+    for _ in range(40):
+        piece = "".join(draw.choice(["<", ">", "a", " ", '"', "'", "/", "=", "<!--", "-->", "<a", "</a", "<script>", "</script", "<title"]) for _ in range(draw.randrange(1, 8)))
+        began = time.perf_counter()
+        warc.Page(piece * (200_000 // len(piece)))
+        assert time.perf_counter() - began < 4, piece
+
+
+def test_one_phone_number_has_one_pseudonym_in_all_layouts():
+    names, back = pseudonyms.Pseudonyms(b"k"), pseudonyms.Pseudonyms(b"k", inverse=True)
+    for layouts in (
+        ["+442079460000", "+44 20 7946 0000", "+44-20-7946-0000", "+44 (0)20 7946 0000", "+44 (020) 7946 0000", "+44.20.7946.0000"],
+        ["+49301234567", "+49 30 1234567", "+49 (0)30 1234567", "+49-30-123-4567"], ["+12125550100", "+1 212 555 0100", "+1 (212) 555-0100", "+1-212-555-0100"],
+        ["+351212345678", "+351 21 234 5678", "+351 212 345 678"], ["+390612345678", "+39 06 1234 5678"], ["+8613812345678", "+86 138 1234 5678"],
+    ):
+        digits = lambda t: "".join(c for c in t if c.isdigit())
+        code = pseudonyms.country_code(digits(layouts[0]))
+        new = [names.replace(v)[0] for v in layouts]
+        own = {digits(v)[len(code) :].lstrip("0") for v in new}
+        assert len(own) == 1 and all(digits(v).startswith(code) for v in new) and own != {digits(layouts[0])[len(code) :].lstrip("0")}
+        assert [back.replace(v)[0] for v in new] == layouts
+
+
+def test_private_keys_go_with_their_bodies(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/\r\nAAAA==\n-----END RSA PRIVATE KEY-----"
+    cut = "-----BEGIN PRIVATE KEY-----\nMIIB\nQUJD"
+    texts = [f"a {key} b", f"a {cut}\n\n(cut off)", "x " + key.replace("\r", "").replace("\n", "\\n") + " y", "-----BEGIN PRIVATE KEY----- alone"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(rows).orderBy("doc_id").collect()] == ["a [SECRET] b", "a [SECRET]\n\n(cut off)", "x [SECRET] y", "[SECRET] alone"]
 
 
 def test_page_quotes_comments_and_headers():
