@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import with_groups
+from ..session import Scratch, ship
+
 
 def crop_pad(samples: Column, n: int) -> Column:
     """The middle ``n`` values, or the values and zeros behind them."""
@@ -22,13 +25,45 @@ def crop_pad(samples: Column, n: int) -> Column:
     return F.when(size >= n, F.slice(samples, F.greatest(start, F.lit(0)) + 1, F.lit(n))).otherwise(F.concat(samples, zero))
 
 
+def moments(values: Column) -> Column:
+    """Struct of ``n``, ``mean`` and ``m2`` (squared distances from the mean) of an array; nulls don't count, an empty one has a null mean.
+
+    The mean comes first and the distances from it second, with a correction for its rounding, so large offsets cancel nothing.
+    """
+    own = F.filter(values, lambda x: x.isNotNull())
+    n = F.size(own).cast("long")
+    rough = F.aggregate(own, F.lit(0.0), lambda a, x: a + x.cast("double")) / F.nullif(n, F.lit(0).cast("long"))
+    far = F.aggregate(
+        F.transform(own, lambda x: x.cast("double") - rough), F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("q")), lambda a, d: F.struct((a.d + d).alias("d"), (a.q + d * d).alias("q"))
+    )
+    return F.when(values.isNotNull(), F.struct(n.alias("n"), (rough + far.d / n).alias("mean"), (far.q - F.try_divide(far.d * far.d, n)).alias("m2")))
+
+
+def merged(a: Column, b: Column) -> Column:
+    """The moments of two sets together (Chan's formula); an empty set changes nothing."""
+    n, d = a.n + b.n, b.mean - a.mean
+    both = F.struct(n.alias("n"), (a.mean + d * b.n / n).alias("mean"), (a.m2 + b.m2 + d * d * a.n * b.n / n).alias("m2"))
+    return F.when(b.n == 0, a).when(a.n == 0, b).otherwise(both)
+
+
 def mean_std(values: Column) -> Column:
-    """Struct of mean and population deviation of an array; null for an empty one."""
-    n = F.nullif(F.size(values), F.lit(0)).cast("double")
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    squares = F.aggregate(values, F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    mean = total / n
-    return F.struct(mean.alias("mean"), F.sqrt(F.greatest(squares / n - mean * mean, F.lit(0.0))).alias("std"))
+    """Struct of mean and sample deviation (n - 1) of an array; the mean is null for an empty one, the deviation for fewer than two values."""
+    m = moments(values)
+    return F.struct(m.mean.alias("mean"), F.when(m.n > 1, F.sqrt(m.m2 / (m.n - 1))).alias("std"))
+
+
+def pooled(rows: DataFrame, key: str, values: str) -> DataFrame:
+    """``key, n, mean, std`` over all values of all arrays of a key: one triple a row, merged as distances from one mean of the key.
+
+    Aggregates are combined before the shuffle and no array is exploded; nulls in ``key`` are left out.
+    """
+    with Scratch(rows.sparkSession) as scratch:
+        own = scratch.cut(rows.select(F.col(key).alias("key"), F.inline(F.array(moments(F.col(values))))).where("n > 0"))
+        near = with_groups(own, "key", own.count(), scratch, base=F.min("mean"))
+        n, d = F.sum("n"), F.col("mean") - F.col("base")
+        sums = near.groupBy("key").agg(n.alias("n"), F.first("base").alias("base"), F.sum(F.col("n") * d).alias("d"), F.sum(F.col("m2") + F.col("n") * d * d).alias("q"))
+        m2 = F.greatest(F.col("q") - F.col("d") * F.col("d") / F.col("n"), F.lit(0.0))
+        return scratch.keep(sums.select(F.col("key").alias(key), "n", (F.col("base") + F.col("d") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(m2 / (F.col("n") - 1))).alias("std")))
 
 
 def sigmoid(x: Column) -> Column:
@@ -58,6 +93,7 @@ def probe(files: DataFrame) -> DataFrame:
                     out.append((path, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["path", "sample_rate", "duration_sec", "error"]).astype({"sample_rate": "Int32"})
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, sample_rate int, duration_sec double, error string")
 
 
@@ -132,6 +168,7 @@ def preprocess(files: DataFrame, *, sample_rate: int, max_seconds: float, max_by
                     out.append((path, None, None, None, str(e) or type(e).__name__))
             yield pd.DataFrame(out, columns=["path", "wav", "sample_rate", "duration_sec", "error"]).astype({"sample_rate": "Int32"})
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(run, "path string, wav binary, sample_rate int, duration_sec double, error string")
 
 

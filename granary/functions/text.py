@@ -60,12 +60,21 @@ def deterministic_id(source: Column, record: Column) -> Column:
 
 def hash_u64(text: Column) -> Column:
     """The first 16 hex digits of the sha256, as an unsigned number."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+    return digest_u64(F.sha2(text, 256))
+
+
+def digest_u64(digest: Column) -> Column:
+    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)")
 
 
 def hash_fraction(text: Column) -> Column:
     """[0, 1): the first eight digest bytes over 2^64."""
-    return hash_u64(text).cast("double") / F.lit(2.0**64)
+    return digest_fraction(F.sha2(text, 256))
+
+
+def digest_fraction(digest: Column) -> Column:
+    """The same of a digest in hex."""
+    return digest_u64(digest).cast("double") / F.lit(2.0**64)
 
 
 def normalize_answer(text: Column) -> Column:

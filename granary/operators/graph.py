@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import hash_fraction
+from ..functions.text import digest_fraction
 from ..session import Scratch, cut, ship
-from .skew import join_groups
+from .runs import digests
+from .skew import join_groups, with_groups
 
 
 #: Links that are joined to stars in one task: bounded, whatever the input.
@@ -103,26 +104,30 @@ def sample_tokens(samples: DataFrame) -> DataFrame:
 
 
 def group_samples(samples: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """``sample_id, label`` of the component. Rows link to the least row of each token: one link per token, also for hot ones."""
-    tokens = cut(tokens if tokens is not None else sample_tokens(samples))
-    hubs = tokens.groupBy("token").agg(F.min("sample_id").alias("hub"))
-    links = tokens.join(hubs, "token").select(F.col("sample_id").alias("a"), F.col("hub").alias("b")).distinct()
-    found = components(links)
+    """``sample_id, label`` of the component. Rows link to the least row of each token, one link a row and token; the rows of a hot token stay where they are."""
+    with Scratch(samples.sparkSession) as scratch:
+        tokens = scratch.cut(tokens if tokens is not None else sample_tokens(samples))
+        linked = with_groups(tokens, "token", tokens.count(), scratch, least=2, hub=F.min("sample_id"))
+        found = components(linked.select(F.col("sample_id").alias("a"), F.col("hub").alias("b")).distinct())
     return samples.select("sample_id").join(found.withColumnRenamed("node", "sample_id"), "sample_id", "left").select("sample_id", F.coalesce("label", "sample_id").alias("component"))
 
 
 def assign_splits(grouped: DataFrame, *, seed: int, train: float, validation: float, holdout: Column | None = None) -> DataFrame:
     """``sample_id, component, split``: the hash of seed and sorted member ids decides; components with a held-out row are test.
 
-    The key is the members' ids by definition, so its length grows with the component.
+    The sorted ids of a component stream through a digest, so no task holds a component, however large. ``grouped`` is
+    read twice; ids are unique.
     """
     if not (0 < train < 1 and 0 < validation < 1 and train + validation < 1):
         raise ValueError("fractions must be positive and leave a rest for test")
-    held = F.bool_or(holdout if holdout is not None else F.lit(False))
-    keys = grouped.groupBy("component").agg(F.array_join(F.array_sort(F.collect_list("sample_id")), "|").alias("k"), held.alias("held"))
-    at = hash_fraction(F.concat(F.lit(f"{seed}:"), "k"))
-    split = F.when(F.col("held"), "test").when(at < train, "train").when(at < train + validation, "val").otherwise("test")
-    return grouped.join(keys.select("component", split.alias("split")), "component").select("sample_id", "component", "split")
+    with Scratch(grouped.sparkSession) as scratch:
+        rows = scratch.keep(grouped.select("sample_id", "component", F.coalesce(holdout if holdout is not None else F.lit(False), F.lit(False)).alias("held")))
+        keys = digests(rows, ["component"], [F.col("sample_id")], F.col("sample_id"), b"|", "digest", prefix=f"{seed}:".encode())
+        groups = rows.groupBy("component").agg(F.bool_or("held").alias("held"), F.count(F.lit(1)).alias("size")).join(keys.hint("merge"), "component")
+        at = digest_fraction(F.col("digest"))
+        split = F.when(F.col("held"), "test").when(at < train, "train").when(at < train + validation, "val").otherwise("test")
+        found = scratch.keep(groups.select("component", split.alias("split"), "size"))
+        return join_groups(rows, found, "component", rows.count()).select("sample_id", "component", "split")
 
 
 def split_problems(rows: DataFrame, holdout: Column) -> DataFrame:

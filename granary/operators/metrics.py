@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .ranges import running_sums
 
 SLICE = ("kind", "key")
@@ -21,23 +22,6 @@ def slices(scored: DataFrame, *columns: str) -> DataFrame:
     return scored.select(F.inline(F.array(*stacked)).alias("kind", "key"), "y", "score")
 
 
-def with_all_negatives(scored: DataFrame, column: str) -> DataFrame:
-    """Slices by a column of the positives, each with every negative row.
-
-    Negatives are counted by score before they are replicated, so what is repeated per slice
-    is a count per distinct score; ``weight`` carries it.
-    """
-    own = scored.where("y = 1").groupBy(F.lit(column).alias("kind"), F.col(column).alias("key"), "y", "score").agg(F.count(F.lit(1)).alias("weight"))
-    keys = scored.where("y = 1").select(F.lit(column).alias("kind"), F.col(column).alias("key")).distinct()
-    negatives = scored.where("y = 0").groupBy("score").agg(F.count(F.lit(1)).alias("weight")).select(F.lit(0).cast("int").alias("y"), "score", "weight")
-    # the definition repeats every negative in every slice: dealt out to as many groups as there are shuffle partitions
-    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.withColumn("g", F.pmod(F.xxhash64("key"), F.lit(parts)))
-    spread = negatives.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    per_key = dealt.join(spread, "g").select("kind", "key", "y", "score", "weight")
-    return own.unionByName(per_key)
-
-
 def score_problems(rows: DataFrame) -> DataFrame:
     """``kind, key, problem, n``: labels other than 0 and 1, and scores that are null, NaN or infinite. Metrics need a table without any."""
     finite = F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))
@@ -79,6 +63,59 @@ def detection_metrics(rows: DataFrame) -> DataFrame:
     )
 
 
+def shared_negative_ranks(scored: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The positives of each slice by ``column`` as ``key, score, p``, with ``above`` and ``upto`` (negatives with a higher score, and with one as high or higher), and the negatives' counts by score.
+
+    An as-of join by ranges of scores: each negative score stands once before and once behind the positives with
+    that score, so two running sums give both ranks. No negative is repeated for a slice.
+    """
+    own = scored.where("y = 1").groupBy(F.col(column).cast("string").alias("key"), "score").agg(F.count(F.lit(1)).alias("p"))
+    negatives = cut(scored.where("y = 0").groupBy("score").agg(F.count(F.lit(1)).alias("n")))
+    zero = F.lit(0).cast("long")
+    stand = lambda side, first, last: F.struct(F.lit(side).alias("side"), first.alias("upto"), last.alias("above"))
+    both = negatives.select("score", F.inline(F.array(stand(0, F.col("n"), zero), stand(2, zero, F.col("n")))))
+    both = both.select(F.lit(None).cast("string").alias("key"), "score", zero.alias("p"), "side", "upto", "above")
+    rows = both.unionByName(own.select("key", "score", "p", F.lit(1).alias("side"), zero.alias("upto"), zero.alias("above")))
+    ranked = running_sums(rows, [], [F.desc("score"), F.col("side"), F.col("key")], ["upto", "above"])
+    return ranked.where("side = 1").select("key", "score", "p", F.col("above_upto").alias("above"), F.col("upto_upto").alias("upto")), negatives
+
+
+def shared_negative_metrics(scored: DataFrame, column: str) -> DataFrame:
+    """``detection_metrics`` of the slices by a column of the positives, each against every negative row.
+
+    The work is that of the positives and the negatives, not of slices times negatives: between two positive scores the
+    rate of true positives stands still, so a curve is known from its positive scores and the ranks of those among the negatives.
+    """
+    ranks, negatives = shared_negative_ranks(scored, column)
+    neg, neg_scores, neg_min, neg_max = negatives.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n"), F.min("score"), F.max("score")).first()  # one row
+    points = running_sums(ranks.withColumn("one", F.lit(1)), ["key"], [F.desc("score")], ["p"])
+    share = lambda part, whole: F.try_divide(part.cast("double"), whole)
+    pos, all_neg = F.col("p_all"), F.lit(neg)
+    points = points.withColumns(
+        {"tpr": share(F.col("p_upto"), pos), "tpr0": share(F.col("p_upto") - F.col("p"), pos), "fpr": share(F.col("upto"), all_neg), "fpr0": share(F.col("above"), all_neg)}
+    )
+    # either the curve crosses while it runs along the negatives before this score, or at the score itself
+    d, d0 = F.col("fpr") + F.col("tpr") - 1, F.col("fpr0") + F.col("tpr0") - 1
+    step = F.col("fpr") - F.col("fpr0")
+    at_eer = F.when(d0 >= 0, 1 - F.col("tpr0")).when(d == 0, F.col("fpr")).otherwise(F.col("fpr0") + step * F.try_divide(-d0, d - d0))
+    at_95 = F.col("fpr0") + step * F.try_divide(0.95 - F.col("tpr0"), F.col("tpr") - F.col("tpr0"))
+    out = points.groupBy("key").agg(
+        F.first("p_all").alias("pos"), F.sum(F.col("p") * (neg - F.col("upto")) + F.col("p") * (F.col("upto") - F.col("above")) / 2).alias("won"),
+        F.count_if(F.col("upto") == F.col("above")).alias("own_scores"), F.min("score").alias("lo"), F.max("score").alias("hi"),
+        F.max_by(at_eer, F.when((d >= 0) | (d0 >= 0), F.col("score"))).alias("eer"), F.max_by(at_95, F.when(F.col("tpr") >= 0.95, F.col("score"))).alias("fpr95"),
+    )
+    unique = F.col("own_scores") + neg_scores
+    status = F.lit("undefined_single_class") if not neg else F.when(unique == 1, "degenerate_constant_scores").otherwise("ok")
+    ok = F.col("status") == "ok"
+    both = F.lit(neg > 0)
+    lowest, highest = (F.least("lo", F.lit(neg_min)), F.greatest("hi", F.lit(neg_max))) if neg else (F.col("lo"), F.col("hi"))
+    return out.withColumn("status", status).select(
+        F.lit(column).alias("kind"), "key", (F.col("pos") + neg).cast("long").alias("n"), "status",
+        F.when(ok, F.round(F.col("won") / F.col("pos") / F.lit(max(neg, 1)), 6)).alias("roc_auc"), F.when(ok, F.round("eer", 6)).alias("eer"), F.when(ok, F.round("fpr95", 6)).alias("fpr_at_tpr95"),
+        F.when(both, unique).alias("unique_scores"), F.when(both, lowest).alias("score_min"), F.when(both, highest).alias("score_max"),
+    )
+
+
 def eer_threshold(rows: DataFrame) -> DataFrame:
     """The score with the least |fpr - (1 - tpr)|, the highest of equal ones; slices without two classes and two scores give none."""
     gap = F.abs(F.col("fpr") - (1 - F.col("tpr")))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import hash_u64
+from ..session import Scratch
+from .runs import digests
+from .skew import with_groups
 
 
 def distribution(rows: DataFrame, *columns: str) -> DataFrame:
@@ -109,3 +112,17 @@ def best_epoch(epochs: DataFrame, patience: int) -> DataFrame:
     marked = marked.withColumn("since", F.col("epoch") - F.max(F.when(F.col("better"), F.col("epoch"))).over(upto))
     marked = marked.withColumn("stopped", F.coalesce(F.max(F.col("since") >= patience).over(before), F.lit(False)))
     return marked.where(~F.col("stopped")).orderBy(F.desc("auc"), "loss", "epoch").limit(1).select("epoch", "auc", "loss")
+
+
+def dataset_hash(rows: DataFrame, name: str, order: list[str], content: Column, separator: str = "") -> DataFrame:
+    """``dataset_hash, files``: sha256 over each file's name followed by its content, files in order of their names; one row per piece of content.
+
+    A file's pieces, in ``order`` (unique within a file), are joined by ``separator``. The bytes stream through one
+    task, as one digest over all of them demands; nothing is gathered. Rows without a name are left out.
+    """
+    with Scratch(rows.sparkSession) as scratch:
+        pieces = rows.select(F.col(name).alias("name"), F.struct(*order).alias("at"), content.cast("string").alias("piece"))
+        led = with_groups(pieces, "name", pieces.count(), scratch, first=F.min("at"))
+        value = F.concat(F.when(F.col("at") == F.col("first"), F.col("name")).otherwise(F.lit(separator)), F.coalesce("piece", F.lit("")))
+        digest = digests(led, [], [F.col("name"), F.col("at")], value, name="dataset_hash")
+        return scratch.keep(digest.withColumn("files", F.lit(pieces.where("name is not null").agg(F.count_distinct("name")).first()[0])))

@@ -63,11 +63,14 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int)
         yield pa.Table.from_batches(held)
 
 
-def digests(rows: DataFrame, keys: list[str], order: list[Column], value: Column, separator: bytes = b"", name: str = "sha256") -> DataFrame:
-    """The sha256 in lowercase hex of each group's values (strings or bytes) in ``order``, joined by ``separator``.
+def digests(
+    rows: DataFrame, keys: list[str], order: list[Column], value: Column, separator: bytes = b"", name: str = "sha256", *, prefix: bytes = b"", algorithm: str = "sha256"
+) -> DataFrame:
+    """The digest in lowercase hex of each group's values (strings or bytes) in ``order``: ``prefix``, then the values joined by ``separator``.
 
     The values of a group stream through one task, as a digest demands, with a hash state as its only memory. A null
-    value counts as empty; null keys form a group. ``order`` must be unique within a group, up to equal values.
+    value counts as empty; null keys form a group; without ``keys`` all rows are one group. ``order`` must be unique
+    within a group, up to equal values.
     """
     out = StructType([*(rows.schema[k] for k in keys), StructField(name, StringType())])
     arrow = to_arrow_schema(out)
@@ -79,18 +82,26 @@ def digests(rows: DataFrame, keys: list[str], order: list[Column], value: Column
                 if state is not None:
                     done.append((*group, state.hexdigest()))
                     if len(done) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*done), arrow, strict=True)], schema=arrow)
+                        yield as_batch(done, arrow)
                         done = []
-                state, group = hashlib.sha256(), [piece.column(k)[0].as_py() for k in range(len(keys))]
+                state, group = hashlib.new(algorithm, prefix), [piece.column(k)[0].as_py() for k in range(len(keys))]
             else:
                 state.update(separator)
-            state.update(separator.join(v or b"" for v in piece.column(len(keys)).to_pylist()))
+            values = piece.column(len(keys))
+            for at in range(0, len(values), 1000):  # a piece may be a batch of long texts: not all of them twice
+                state.update((separator if at else b"") + separator.join(v or b"" for v in values.slice(at, 1000).to_pylist()))
         if state is not None:
             done.append((*group, state.hexdigest()))
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*done), arrow, strict=True)], schema=arrow)
+            yield as_batch(done, arrow)
 
     ship(rows.sparkSession)
     # narrow before the shuffle: the keys, the order and the value
     narrow = rows.select(*keys, *(o.alias(f"_o{k}") for k, o in enumerate(order)), value.cast("binary").alias("_value"))
-    return sorted_by(narrow, keys, [F.col(f"_o{k}") for k in range(len(order))]).select(*keys, "_value").mapInArrow(run, out)
+    places = [F.col(f"_o{k}") for k in range(len(order))]
+    sorted_rows = sorted_by(narrow, keys, places) if keys else narrow.repartition(1).sortWithinPartitions(*places)
+    return sorted_rows.select(*keys, "_value").mapInArrow(run, out)
+
+
+def as_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema, strict=True)], schema=schema)

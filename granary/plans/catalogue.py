@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.audio import crop_pad, tone_frequency
+from ..functions.audio import crop_pad, mean_std, pooled, tone_frequency
 from ..functions.text import hash_fraction, normalize_text, public_endpoint, text_identity
 from ..operators import gates, generation, graph, metrics, rag, reports, rules, selection
+from ..operators.quantiles import quantiles
+from ..operators.runs import digests
 from ..session import cut, table
 from ..sources import adapters
 
@@ -106,7 +108,18 @@ def confusion_at_threshold(spark, sf):
 
 @query(f"WITH {SCORED}, keys AS (SELECT DISTINCT source AS key FROM scored WHERE y = 1), sliced AS (SELECT 'source' AS kind, k.key, s.y, s.score FROM keys k JOIN scored s ON s.y = 0 OR s.source = k.key), {METRICS}")
 def slices_with_all_real(spark, sf):
-    return metrics.detection_metrics(metrics.with_all_negatives(scored(spark, sf), "source"))
+    return metrics.shared_negative_metrics(scored(spark, sf), "source")
+
+
+@query(
+    f"""WITH {SAMPLES}, scored AS (SELECT 'g' || (doc_id % 397) AS g, toxic AS y, 0.8 * {FRACTION.format("'exact:' || doc_id")} + 0.2 * toxic AS score FROM samples WHERE toxic IS NOT NULL),
+ keys AS (SELECT DISTINCT g AS key FROM scored WHERE y = 1), sliced AS (SELECT 'generator' AS kind, k.key, s.y, s.score FROM keys k JOIN scored s ON s.y = 0 OR s.g = k.key), {METRICS}"""
+)
+def generators_with_all_real(spark, sf):
+    """Hundreds of generators, each against every real row, by scores that are not rounded."""
+    own = samples(spark, sf).where("toxic is not null")
+    score = 0.8 * hash_fraction(F.concat(F.lit("exact:"), "doc_id")) + 0.2 * F.col("toxic")
+    return metrics.shared_negative_metrics(own.select(F.concat(F.lit("g"), F.col("doc_id") % 397).alias("generator"), F.col("toxic").cast("int").alias("y"), score.alias("score")), "generator")
 
 
 @query(
@@ -197,8 +210,15 @@ def leakage_audit(spark, sf):
 
 @query(f"WITH {SPLITS}, {SAMPLES} SELECT split, label, round(quantile_cont(n_chars / 15.0, 0.5), 6) AS median FROM s JOIN samples USING (sample_id) GROUP BY ALL")
 def duration_medians(spark, sf):
-    own = split_rows(spark, sf).join(samples(spark, sf), "sample_id").groupBy("split", "label")
-    return own.agg(F.round(F.percentile(F.col("n_chars") / 15.0, 0.5), 6).alias("median"))
+    own = split_rows(spark, sf).join(samples(spark, sf), "sample_id")
+    found = quantiles(own.select(F.struct("split", "label").alias("key"), (F.col("n_chars") / 15.0).alias("seconds")), "key", "seconds", 0.5, "median")
+    return found.select("key.*", F.round("median", 6).alias("median"))
+
+
+@query("SELECT l_suppkey % 3 AS third, round(quantile_cont(l_extendedprice, 0.9), 6) AS p90 FROM lineitem GROUP BY 1")
+def price_quantiles(spark, sf):
+    """The 90th percentile of three large groups, each a third of the lines."""
+    return quantiles(table(spark, sf, "lineitem").select((F.col("l_suppkey") % 3).alias("third"), "l_extendedprice"), "third", "l_extendedprice", 0.9, "p90").withColumn("p90", F.round("p90", 6))
 
 
 @query("SELECT DISTINCT conv_id * 1000 + turn AS id, conv_id * 1000 + min(turn) OVER (PARTITION BY conv_id) AS root, (turn - min(turn) OVER (PARTITION BY conv_id))::BIGINT AS depth, 'ok' AS status FROM conversations")
@@ -412,13 +432,12 @@ def rag_case_scores(spark, sf):
 
 
 @query(
-    f"""WITH {ANSWERS}, m AS (SELECT run_id, unnest([{{'m': 'answer_correctness', 'v': avg(answer_correctness)}}, {{'m': 'hallucination_rate', 'v': avg(hallucination_rate)}}, {{'m': 'cross_language_score', 'v': avg(cross_language_score)}}]) AS x FROM sc GROUP BY 1)
-SELECT run_id, x.m AS metric, round(x.v, 3) AS value FROM m UNION ALL SELECT run_id, 'latency_p50_ms', list_sort(list(latency_ms))[(count(*) - 1) // 2 + 1] FROM sc GROUP BY 1
+    f"""WITH {ANSWERS}, m AS (SELECT run_id, unnest([{', '.join(f"{{'m': '{m}', 'v': round(avg({m}), 4)}}" for m in rag.METRICS)}, {{'m': 'latency_mean_ms', 'v': round(avg(latency_ms), 2)}}]) AS x FROM sc GROUP BY 1)
+SELECT run_id, x.m AS metric, round(x.v, 4) AS value FROM m WHERE x.v IS NOT NULL UNION ALL SELECT run_id, 'latency_p50_ms', list_sort(list(latency_ms))[(count(*) - 1) // 2 + 1] FROM sc GROUP BY 1
 UNION ALL SELECT run_id, 'latency_p95_ms', list_sort(list(latency_ms))[least(count(*) - 1, floor(count(*) * 0.95)::BIGINT) + 1] FROM sc GROUP BY 1"""
 )
 def rag_aggregate(spark, sf):
-    own = rag.aggregate(rag.score_cases(answers(spark, sf)))
-    return own.where(F.col("metric").isin("answer_correctness", "hallucination_rate", "cross_language_score", "latency_p50_ms", "latency_p95_ms")).withColumn("value", F.round("value", 3))
+    return rag.aggregate(rag.score_cases(answers(spark, sf))).withColumn("value", F.round("value", 4))
 
 
 @query(f"WITH {ANSWERS} SELECT a.case_id, a.answer_correctness AS first, b.answer_correctness AS second FROM sc a JOIN sc b USING (case_id) WHERE a.run_id = 'a' AND b.run_id = 'b' AND a.answer_correctness <> b.answer_correctness")
@@ -438,6 +457,20 @@ def crop_pad_vectors(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(own, F.lit(0.0), lambda a, x: a + x), 4).alias("cropped"), F.size("embedding").cast("long").alias("size"))
 
 
+@query("SELECT vec_id, round(list_avg(embedding::DOUBLE[]), 9) AS mean, round(list_aggregate(embedding::DOUBLE[], 'stddev_samp'), 9) AS std FROM embeddings")
+def pooled_vectors(spark, sf):
+    """Mean and sample deviation of each vector's components."""
+    m = mean_std(F.col("embedding"))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(m.mean, 9).alias("mean"), F.round(m.std, 9).alias("std"))
+
+
+@query("SELECT label, count(*) AS n, round(avg(x), 9) AS mean, round(stddev_samp(x), 9) AS std FROM (SELECT label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY 1")
+def pooled_labels(spark, sf):
+    """The same over all vectors of a label, from one triple a vector."""
+    own = pooled(table(spark, sf, "embeddings"), "label", "embedding")
+    return own.withColumns({c: F.round(c, 9) for c in ("mean", "std")})
+
+
 @query("SELECT page_id, sha256(html) AS digest, strlen(html) AS bytes FROM pages")
 def page_digests(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"))
@@ -445,10 +478,29 @@ def page_digests(spark, sf):
 
 @query("SELECT md5(string_agg(item_id::VARCHAR || ':' || sha256(text), chr(10) ORDER BY item_id)) AS digest, count(*) AS n FROM benchmark")
 def multi_digest(spark, sf):
-    """One digest over names and contents in order, of the benchmark's items (a few hundred by nature)."""
-    rows = table(spark, sf, "benchmark")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("item_id", F.sha2("text", 256).alias("s")))), lambda x: F.concat_ws(":", x["item_id"], x["s"]))
-    return rows.agg(F.md5(F.array_join(lines, "\n")).alias("digest"), F.count(F.lit(1)).alias("n"))
+    """One digest over names and digests of contents, in order of the items."""
+    rows = table(spark, sf, "benchmark").select("item_id", F.concat_ws(":", "item_id", F.sha2("text", 256)).alias("line"))
+    digest = digests(rows, [], [F.col("item_id")], F.col("line"), b"\n", "digest", algorithm="md5")
+    return digest.withColumn("n", F.lit(rows.count()))
+
+
+@query(
+    """WITH files AS (SELECT coalesce(source, 'none') || '.jsonl' AS name, doc_id, text FROM documents), parts AS (SELECT name, string_agg(text, chr(10) ORDER BY doc_id) AS content FROM files GROUP BY 1)
+SELECT sha256(string_agg(name || content, '' ORDER BY name)) AS dataset_hash, (SELECT count(*) FROM parts) AS files FROM parts"""
+)
+def dataset_hash(spark, sf):
+    """The documents as one file for each source: a digest over names and contents, in order of the names."""
+    docs = table(spark, sf, "documents").select(F.concat(F.coalesce("source", F.lit("none")), F.lit(".jsonl")).alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return reports.dataset_hash(docs, "name", ["doc_id"], F.col("text"), "\n")
+
+
+@query("SELECT source, sha256(string_agg(doc_id || ':' || coalesce(text, ''), chr(10) ORDER BY doc_id)) AS digest, count(*) AS n FROM documents GROUP BY 1")
+def source_digests(spark, sf):
+    """A digest over all documents of each source, in order of their ids."""
+    docs = table(spark, sf, "documents").select("source", "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))).alias("line"))
+    own = digests(docs, ["source"], [F.col("doc_id")], F.col("line"), b"\n", "digest")
+    n = docs.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("n"))
+    return own.join(n, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
 # --- gates, protocols and generation --------------------------------------------------------
