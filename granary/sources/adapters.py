@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.text import deterministic_id, normalize_text, text_identity
 from ..operators.rules import LANGUAGES, RuleError, duplicate_keys, require_none
 from ..operators.selection import extract_new, top_k
+from ..session import Scratch, file_system
 from .manifests import read_protocol, read_seven_columns, sniff
 
 FIELDS = ("path", "speaker_id", "source_id", "language", "transcript")
@@ -40,12 +41,12 @@ def canonical(rows: DataFrame, source: str, *, columns: dict[str, str] | None =
     """Renamed columns with defaults: an id from the source and the record (the path without its suffix if it has none),
     ``unknown_<id>`` for a missing speaker, the mapped language; ``bad`` names what cannot be used.
 
-    Columns that a source lacks count as null; a null never passes a filter.
+    Columns that a source lacks count as null, and as an empty text in filters; a null passes a filter as ``None``.
     """
     names = {f: (columns or {}).get(f, f) for f in FIELDS}
     at = {f: F.nullif(F.col(n).cast("string"), F.lit("")) if n in rows.columns else F.lit(None).cast("string") for f, n in names.items()}
     for name, accepted in (filters or {}).items():
-        value = F.coalesce(F.col(name).cast("string"), F.lit("\0")) if name in rows.columns else F.lit("")
+        value = F.coalesce(F.col(name).cast("string"), F.lit("None")) if name in rows.columns else F.lit("")
         rows = rows.where(value.isin(accepted))
     path = F.trim(at["path"])
     sample_id = deterministic_id(F.lit(source), F.coalesce(at["source_id"], F.regexp_replace(path, "\\.[^./]+\\z", "")))
@@ -74,19 +75,24 @@ def embedded_audio(spark: SparkSession, path: str, split: str) -> DataFrame:
     if lacking := sorted({"id", "audio", "raw_transcription", "transcription", "num_samples", "gender"} - set(rows.columns)):
         raise ValueError(f"columns are missing: {lacking}")
     clean = lambda c: F.translate(F.col(c).cast("string"), "\t\n\r", "   ")
-    digest = F.substring(F.sha2("audio.bytes", 256), 1, 16)
+    digest = F.substring(F.sha2("audio.bytes", 256), 1, 12)
     return rows.select(
         F.concat_ws("_", F.lit(split), "id", digest).alias("record_id"), F.col("audio.bytes").alias("content"), sniff(F.col("audio.bytes")).alias("extension"),
         clean("raw_transcription").alias("raw"), clean("transcription").alias("text"), "num_samples", clean("gender").alias("gender"),
     )
 
 
-def append_new(rows: DataFrame, target: str, key: str) -> None:
-    """Appends the rows whose key the target lacks; a run again adds nothing."""
+def append_new(rows: DataFrame, target: str, key: str, most: int | None = None, order: str | None = None) -> int:
+    """Appends the rows whose key the target lacks, the first ``most`` of them in ``order`` if given; a run again adds nothing. How many were added."""
     spark = rows.sparkSession
-    root = spark._jvm.org.apache.hadoop.fs.Path(target)
-    known = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
-    (extract_new(rows, spark.read.parquet(target), key) if known else rows).write.mode("append").parquet(target)
+    at, fs = file_system(spark, target)
+    new = extract_new(rows, spark.read.parquet(target), key) if fs.exists(at) else rows
+    if most is not None:
+        new = new.orderBy(order).limit(most)
+    with Scratch(spark) as scratch:
+        new = scratch.cut(new)
+        new.write.mode("append").parquet(target)
+        return new.count()
 
 
 def pinned_texts(spark: SparkSession, path: str, language: str, sha256: str, k: int = 5) -> DataFrame:
@@ -94,9 +100,9 @@ def pinned_texts(spark: SparkSession, path: str, language: str, sha256: str, k:
     content = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()[0]
     if content != sha256:
         raise RuleError(f"{path}: digest differs")
-    rows = read_seven_columns(spark, path).coalesce(1).withColumn("ordinal", F.monotonically_increasing_id())  # one small pinned file, in file order
-    if not rows.where("bad").isEmpty():
-        raise RuleError(f"{path}: rows of other than seven fields")
+    rows = read_seven_columns(spark, path)
+    if bad := rows.where("bad").orderBy("line").first():
+        raise RuleError(f"{path}: row {bad['line']} has {bad['fields']} fields instead of seven")
     usable = rows.withColumn("normalized_text", normalize_text("text")).where("normalized_text <> ''").withColumn("language", F.lit(language))
     out = top_k(usable, "language", "ordinal", k)
     if out.count() < k:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import file_system
+from .formats import numbered_lines
 
 # The canonical manifest row.
 SAMPLE = (
@@ -50,24 +51,32 @@ def read_table(spark: SparkSession, path: str, delimiter: str | None = None) ->
 
 
 def read_seven_columns(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless tab-separated rows without quoting; ``fields`` other than seven are kept apart as ``bad``."""
+    """Headerless tab-separated rows without quoting, with their ``file`` and ``line``; rows of other than seven ``fields`` are ``bad``. Blank lines count, but are no rows."""
     names = ("id", "filename", "raw", "text", "chars", "num_samples", "gender")
-    parts = F.split("value", "\t", -1)
-    rows = spark.read.text(path).where("value <> ''").withColumn("f", parts)
-    return rows.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)), (F.size("f") != 7).alias("bad"))
+    rows = numbered_lines(spark, path).where("trim(value) <> ''").withColumn("f", F.split("value", "\t", -1))
+    return rows.select(*(F.get("f", F.lit(i)).alias(n) for i, n in enumerate(names)), F.size("f").alias("fields"), (F.size("f") != 7).alias("bad"), "file", "line", "ordinal")
+
+
+def read_numbered_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A JSONL manifest with each row's ``file``, ``line`` and ``ordinal`` in file order; a line that isn't a row is an error that names it."""
+    lines = numbered_lines(spark, path).where("trim(value) <> ''")
+    parsed = lines.select("file", "line", "ordinal", F.from_json("value", f"{SAMPLE}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    message = F.concat(F.lit("Invalid manifest row: "), "file", F.lit(", line "), "line")
+    checked = parsed.withColumn("r", F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull(), F.raise_error(message)).otherwise(F.col("r")))
+    return checked.select("r.*", "file", "line", "ordinal").drop("_corrupt")
 
 
 def read_protocol(spark: SparkSession, path: str) -> DataFrame:
-    """Whitespace protocol: label in field 6 if it is one, else in field 5; ``-`` attacks are null."""
+    """Whitespace protocol with ``file`` and ``line``: label in field 6 if it is one, else in field 5; ``-`` attacks are null."""
     f = F.split(F.trim("value"), "\\s+")
-    rows = spark.read.text(path).where("trim(value) <> '' AND NOT trim(value) LIKE '#%'").select(f.alias("f"))
+    rows = numbered_lines(spark, path).where("trim(value) <> '' AND NOT trim(value) LIKE '#%'").select(f.alias("f"), "file", "line")
     sixth = F.get("f", F.lit(5)).isin("bonafide", "spoof")
     raw = F.when(sixth, F.get("f", F.lit(5))).otherwise(F.get("f", F.lit(4)))
     attack = F.nullif(F.when(sixth, F.get("f", F.lit(4))).otherwise(F.get("f", F.lit(3))), F.lit("-"))
     label = F.when(raw == "bonafide", "real").when(raw == "spoof", "synthetic")
     return rows.select(
         F.get("f", F.lit(0)).alias("speaker_id"), F.get("f", F.lit(1)).alias("utterance"), label.alias("label"),
-        F.when(label == "synthetic", F.coalesce(attack, F.lit("asvspoof_unknown_attack"))).alias("attack_id"), label.isNull().alias("bad"),
+        F.when(label == "synthetic", F.coalesce(attack, F.lit("asvspoof_unknown_attack"))).alias("attack_id"), label.isNull().alias("bad"), "file", "line",
     )
 
 
@@ -136,7 +145,7 @@ def verify_files(manifest: DataFrame, root: str, digest: str = "source_sha256")
 
 
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "manifest": read_manifest, "table": read_table, "seven_columns": read_seven_columns, "protocol": read_protocol, "audio_tree": read_audio_tree, "predictions": read_predictions,
+    "manifest": read_manifest, "table": read_table, "numbered_manifest": read_numbered_manifest, "seven_columns": read_seven_columns, "protocol": read_protocol, "audio_tree": read_audio_tree, "predictions": read_predictions,
 }
 
 
