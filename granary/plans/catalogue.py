@@ -14,11 +14,12 @@ from pyspark.sql.window import Window
 
 from ..functions.audio import crop_pad, mean_std, pooled, tone_frequency
 from ..functions.text import hash_fraction, normalize_text, public_endpoint, text_identity
-from ..operators import gates, generation, graph, metrics, rag, reports, rules, selection
+from ..operators import gates, generation, graph, metrics, rag, reports, rules, selection, workers
 from ..operators.quantiles import quantiles
 from ..operators.runs import digests
-from ..session import cut, table
-from ..sources import adapters
+from ..session import cut, shared_dir, table
+from ..sources import adapters, formats
+from ..streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -764,3 +765,70 @@ def split_problems(spark, sf):
     doc = F.substring("sample_id", 5, 20).cast("long")
     rows = cut(split_rows(spark, sf)).withColumn("split", F.when(doc % 50 == 0, None).when(doc % 20 == 1, "test").otherwise(F.col("split")))
     return graph.split_problems(rows, doc % 31 == 0)
+
+
+# --- workers ---------------------------------------------------------------------------------
+@query(
+    """WITH t AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS ans FROM conversations),
+ c AS (SELECT conv_id || '-' || turn AS case_id, ans, (conv_id + turn) % 5 = 0 AS wrong, (conv_id + turn) % 7 = 0 AS moved, unnest(['mock-a', 'mock-b']) AS target FROM t WHERE role = 'user' AND ans IS NOT NULL)
+SELECT target || '/' || case_id AS id, CASE WHEN target = 'mock-b' AND wrong THEN 'В документе достаточно оснований, поэтому ответ можно подтвердить.' ELSE ans END AS answer,
+ CASE WHEN target = 'mock-b' AND wrong THEN 'policy-v1 1.1' WHEN target = 'mock-b' AND moved THEN 'policy-v1 9.9' ELSE case_id || ' 1' END AS cited,
+ CASE WHEN target = 'mock-a' THEN 5 WHEN wrong THEN 9 ELSE 8 END AS latency_ms, NULL::VARCHAR AS error FROM c"""
+)
+def mock_targets(spark, sf):
+    """Each user turn as a case with the next turn as the answer, put to both demonstration targets."""
+    c = F.col
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    cases = table(spark, sf, "conversations").withColumn("expected_answer", after).where("role = 'user' and expected_answer is not null")
+    cases = cases.select(F.concat_ws("-", "conv_id", "turn").alias("case_id"), (c("conv_id") + c("turn")).alias("i"), "expected_answer")
+    # the chosen cases carry the fixture's names of theirs, the others their own
+    named = F.when(c("i") % 5 == 0, "VE-003").when(c("i") % 7 == 0, "VE-005").otherwise(c("case_id"))
+    cited = F.array(F.struct(c("case_id").alias("document_id"), F.lit("1").alias("section")))
+    outputs = "answer string, citations array<struct<document_id: string, section: string>>, latency_ms int"
+    parts = []
+    for target in ("mock-a", "mock-b"):
+        rows = cases.select(F.concat(F.lit(f"{target}/"), "case_id").alias("id"), named.alias("case_id"), "expected_answer", cited.alias("expected_citations"))
+        parts.append(workers.apply_worker(rows, lambda t=target: workers.MockTarget(t), "id", outputs))
+    return parts[0].unionByName(parts[1]).select("id", "answer", F.concat_ws(" ", c("citations")[0]["document_id"], c("citations")[0]["section"]).alias("cited"), "latency_ms", "error")
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS job, o_custkey * 1000003 AS seed, 60 + o_orderkey % 240 AS max_tokens FROM orders),
+ t AS (SELECT job, seed, max_tokens, unnest([0, 1, 2]) AS k FROM o), d AS (SELECT *, floor({FRACTION.format("(seed + k * 7919)::VARCHAR")} * 3000) / 100 AS seconds FROM t),
+ first AS (SELECT job, max_tokens, min(k) FILTER (seconds < max_tokens / 12.0 * 0.9) AS k, string_agg(printf('%.2fs', seconds), ', ' ORDER BY k) AS every FROM d GROUP BY job, max_tokens)
+SELECT f.job, (d.seed + f.k * 7919)::VARCHAR AS effective_seed, f.k + 1 AS attempt, d.seconds AS duration_sec, CASE WHEN f.k IS NULL THEN 'RuntimeError: every attempt ran away (' || every || '; max_tokens=' || f.max_tokens || ')' END AS error
+FROM first f LEFT JOIN d ON d.job = f.job AND d.k = f.k"""
+)
+def runaway_retries(spark, sf):
+    """Orders as synthesis jobs of a generator whose duration is a hash of its seed: up to three attempts each."""
+    c = F.col
+    jobs = table(spark, sf, "orders").select(c("o_orderkey").alias("job"), (c("o_custkey") * 1000003).alias("seed"), (60 + c("o_orderkey") % 240).cast("int").alias("max_tokens"))
+    own = workers.apply_worker(jobs, lambda: workers.Retrying(workers.HashedDurations(), 3, 7919), "job", "effective_seed string, attempt int, duration_sec double")
+    return own.select("job", "effective_seed", "attempt", "duration_sec", "error")
+
+
+# --- files and streams of their own ----------------------------------------------------------
+@query()
+def job_state_stream(spark, sf):
+    """Each conversation as a run, its turns as jobs that start a minute apart; a seventh of them fails, and what starts after the first failure is stopped."""
+    c = F.col
+    source = table(spark, sf, "conversations")
+    rows = spark.readStream.schema(source.schema).parquet(f"{sf}/conversations.parquet").where("conv_id is not null and turn is not null")
+    at = F.timestamp_seconds(c("turn") * 60)
+    failed = F.crc32(F.concat_ws(":", "conv_id", "turn").cast("binary")) % 7 == 0
+    none = F.lit(None).cast("string")
+    event = lambda when, kind, seed, error: F.struct(when.alias("at"), kind.alias("kind"), seed.alias("seed"), error.alias("error"))
+    seed = (c("conv_id") * 100 + c("turn")).cast("string")
+    told = F.array(event(at, F.lit("start"), seed, none), event(at + F.expr("INTERVAL 30 SECONDS"), F.when(failed, "failed").otherwise("done"), none, F.when(failed, "checksum")))
+    events = rows.select(c("conv_id").cast("string").alias("run_id"), c("turn").cast("string").alias("job_id"), F.inline(told).alias("at", "kind", "seed", "error"))
+    return jobs.changes_now(events, shared_dir(spark), policy="stop", attempts=1, timeout=0).select("run_id", "job_id", "attempt", "status", "seed", "error")
+
+
+@query()
+def exported_line_numbers(spark, sf):
+    """The documents exported as lines in order of their ids, over several files, and numbered again from the files alone."""
+    folder = shared_dir(spark)
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("\t", "doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n\t]", " ")).alias("value"))
+    docs.orderBy("doc_id").select("value").write.text(folder)
+    rows = formats.numbered_lines(spark, folder, 1 << 20)
+    return rows.select(F.substring_index("value", "\t", 1).cast("long").alias("doc_id"), "ordinal")
