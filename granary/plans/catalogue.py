@@ -813,8 +813,9 @@ def job_state_stream(spark, sf):
     """Each conversation as a run, its turns as jobs that start a minute apart; a seventh of them fails, and what starts after the first failure is stopped."""
     c = F.col
     source = table(spark, sf, "conversations")
-    rows = spark.readStream.schema(source.schema).parquet(f"{sf}/conversations.parquet").where("conv_id is not null and turn is not null")
-    at = F.timestamp_seconds(c("turn") * 60)
+    # a pattern, as a stream's path that is none must be a folder
+    rows = spark.readStream.schema(source.schema).parquet(f"{sf}/conversations.parque[t]").where("conv_id is not null and turn is not null")
+    at = F.timestamp_seconds(1_704_067_200 + c("turn") * 60)  # after the epoch, where a watermark begins
     failed = F.crc32(F.concat_ws(":", "conv_id", "turn").cast("binary")) % 7 == 0
     none = F.lit(None).cast("string")
     event = lambda when, kind, seed, error: F.struct(when.alias("at"), kind.alias("kind"), seed.alias("seed"), error.alias("error"))
