@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,16 +133,6 @@ def write_splits(rows: DataFrame, folder: str, splits: tuple[str, ...] = ("train
     return {s: counted.get(s, 0) for s in splits}
 
 
-def verify_files(manifest: DataFrame, root: str, digest: str = "source_sha256") -> DataFrame:
-    """Rows whose file is missing, or whose content differs from the recorded digest."""
-    files = manifest.sparkSession.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = files.select(F.regexp_replace("path", "^file:/*", "/").alias("at"), F.sha2("content", 256).alias("actual"))
-    base = str(Path(root).resolve()).rstrip("/") + "/"
-    joined = manifest.withColumn("at", F.concat(F.lit(base), "path")).join(found, "at", "left")
-    problem = F.when(F.col("actual").isNull(), "missing").when(~F.col("actual").eqNullSafe(F.col(digest)), "changed")
-    return joined.select("sample_id", problem.alias("problem")).where("problem is not null")
-
-
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "manifest": read_manifest, "table": read_table, "numbered_manifest": read_numbered_manifest, "seven_columns": read_seven_columns, "protocol": read_protocol, "audio_tree": read_audio_tree, "predictions": read_predictions,
 }
