@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Generators (configuration, a few KB each) up to which they are broadcast.
+FEW = 1000
+
 
 def voice_options(generators: DataFrame) -> DataFrame:
     """One row per voice: the generator's fixed voice, else the entry's voices, else its own, else null.
@@ -25,10 +28,12 @@ def made_samples(jobs: DataFrame, results: DataFrame, texts: DataFrame, generato
     """Manifest rows of completed or skipped jobs that left an output.
 
     Fallbacks: revision, then version; speaker, then voice, then ``<generator>_default``; the chain
-    of links for rights; the seed that took effect, then the planned one. ``generators`` (a few
-    rows by nature) are broadcast if Spark's size threshold allows it.
+    of links for rights; the seed that took effect, then the planned one. ``generators`` are broadcast when a count finds
+    at most ``FEW`` of them, so a generator that made a third of all rows is no hot key.
     """
     c = F.col
+    if generators.limit(FEW + 1).count() <= FEW:
+        generators = F.broadcast(generators)
     done = results.where("status in ('completed', 'skipped') and output_sha256 is not null").select("job_id", "output_sha256", "codec", "sample_rate", "duration_sec", "effective_seed", "attempt")
     own = texts.select("text_id", c("text").alias("transcript"), "normalized_text", "source_dataset", "split")
     rows = jobs.join(done, "job_id").join(own, "text_id").join(generators, "generator_id")

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions.text import digest_fraction
 from ..session import Scratch, cut, ship
 from .runs import digests
-from .skew import join_groups, with_groups
+from .skew import join_groups, lookup, with_groups
 
 
 #: Links that are joined to stars in one task: bounded, whatever the input.
@@ -141,18 +141,18 @@ def lineage(rows: DataFrame) -> DataFrame:
     """``id, root, depth, status`` of a table ``id, parent``; status ok, orphan (a parent is missing) or cycle.
 
     Pointer doubling: each round joins the table with itself once and doubles the distance
-    looked back, so a chain of n takes log2 n rounds.
+    looked back, so a chain of n takes log2 n rounds. Parents of many rows are looked up by broadcast.
     """
-    known = rows.select(F.col("id").alias("kid"))
-    linked = rows.join(known, rows["parent"] == known["kid"], "left")
-    state = cut(linked.select("id", F.col("kid").alias("up"), F.lit(0).cast("long").alias("depth"), F.col("id").alias("root"), (F.col("parent").isNotNull() & F.col("kid").isNull()).alias("orphan")))
-    state = cut(state.withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long")).withColumn("root", F.coalesce("up", "id")))
-    n, reach = state.count(), 1
+    rows = cut(rows.select("id", F.col("parent").alias("up")))
+    n, reach = rows.count(), 1
+    linked = lookup(rows, rows.select(F.col("id").alias("up"), F.lit(True).alias("there")), "up", n)
+    there = F.col("there").isNotNull()
+    state = cut(linked.select("id", F.when(there, F.col("up")).alias("up"), F.when(there, 1).otherwise(0).cast("long").alias("depth"), F.when(there, F.col("up")).otherwise(F.col("id")).alias("root"), (F.col("up").isNotNull() & ~there).alias("orphan")))
     while reach < 2 * n:
         if state.where("up is not null").isEmpty():
             break
         up = state.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"), F.col("orphan").alias("o2"))
-        state = cut(state.join(up, "up", "left").select("id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"), (F.col("orphan") | F.coalesce("o2", F.lit(False))).alias("orphan")))
+        state = cut(lookup(state, up, "up", n).select("id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"), (F.col("orphan") | F.coalesce("o2", F.lit(False))).alias("orphan")))
         reach *= 2
     status = F.when(F.col("up").isNotNull(), "cycle").when(F.col("orphan"), "orphan").otherwise("ok")
     return state.select("id", F.when(F.col("up").isNull(), F.col("root")).alias("root"), F.when(F.col("up").isNull(), F.col("depth")).alias("depth"), status.alias("status"))

@@ -12,7 +12,7 @@ from ..session import cut
 def running_sums(rows: DataFrame, keys: list[str], order: list[Column], amounts: list[str]) -> DataFrame:
     """``rows`` with ``<amount>_upto`` (the sum to and with the row, in ``order`` within its group) and ``<amount>_all`` (the group's sum).
 
-    No task sees a whole group, however hot. ``order`` must be unique within a group. The ranges are written, as sampled
+    Without ``keys`` all rows are one group. No task sees a whole group, however hot. ``order`` must be unique within a group. The ranges are written, as sampled
     bounds may differ from one reading to the next.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -28,4 +28,4 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[Column], amounts:
     )
     own = ranged.select("*", *(F.sum(a).over(local).alias(f"_o_{a}") for a in amounts))
     on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys)]
-    return own.join(offsets, on).select(*rows.columns, *((F.col(f"_o_{a}") + F.col(f"_b_{a}")).alias(f"{a}_upto") for a in amounts), *(f"{a}_all" for a in amounts))
+    return own.join(offsets if keys else F.broadcast(offsets), on).select(*rows.columns, *((F.col(f"_o_{a}") + F.col(f"_b_{a}")).alias(f"{a}_upto") for a in amounts), *(f"{a}_all" for a in amounts))

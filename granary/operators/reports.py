@@ -24,6 +24,13 @@ def duplicate_groups(rows: DataFrame, digest: str, key: str) -> DataFrame:
     return own.where("n > 1")
 
 
+def duplicate_members(rows: DataFrame, digest: str, key: str) -> DataFrame:
+    """The rows of groups that share a digest, a row each: ``digest, key, first`` (the group's least key) and ``n``; no group is gathered."""
+    with Scratch(rows.sparkSession) as scratch:
+        own = scratch.cut(rows.select(digest, key))
+        return scratch.keep(with_groups(own, digest, own.count(), scratch, least=2, first=F.min(key)).select(digest, key, "first", F.col("size").alias("n")))
+
+
 def missing_metadata(rows: DataFrame, fields: list[str]) -> DataFrame:
     """``field, n``: the greater of rows that name the field as missing and rows whose field is null."""
     counts = [F.greatest(F.count_if(F.array_contains("missing_metadata", f)), F.count_if(F.col(f).isNull())).alias(f) for f in fields]

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut
+from ..session import Scratch
+from .ranges import running_sums
 from .rules import RuleError, duplicate_keys, require_none
+from .skew import with_groups
 
 ALLOWED = ("language", "label", "speaker_id", "source_id", "generator_id")
 
@@ -63,24 +65,33 @@ def limits(rows: DataFrame, by: str, order: str, per_group: int, total: int) ->
 
 
 def budget(rows: DataFrame, amount: str, order: str, limit: float, by: str | None = None) -> DataFrame:
-    """The prefix in ``order`` whose running sum stays within ``limit``; null amounts count 0.
+    """The prefix in ``order`` whose running sum stays within ``limit``, with ``running``; null amounts count 0, negative ones are not meant.
 
-    With ``by``, a prefix per group. Rows are cut into ranges of (group, id) first and the ranges'
-    sums are added up, so no task sees a whole group, however hot. The ranges are written, as
-    sampled bounds may differ from one reading to the next: select the columns that matter before.
+    With ``by``, a prefix per group. The rows are written in ranges (see ``running_sums``): select the columns that matter before.
     """
-    keys = [by] if by else []
-    value = F.coalesce(F.col(amount), F.lit(0))
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(rows.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id()))
-    local = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # a group has at most one sum per range
-    sums = ranged.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*(F.col(k).alias("_by") for k in keys), F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
-    on = [F.col("_part") == F.col("_p"), *(F.col(k).eqNullSafe(F.col("_by")) for k in keys)]
-    out = ranged.withColumn("_own", F.sum(value).over(local)).join(before if by else F.broadcast(before), on)
-    return out.withColumn("running", F.col("_own") + F.col("_before")).where(F.col("running") <= limit).select(*rows.columns, "running")
+    own = rows.withColumn("_amount", F.coalesce(F.col(amount), F.lit(0)))
+    found = running_sums(own, [by] if by else [], [F.col(order)], ["_amount"]).withColumnRenamed("_amount_upto", "running")
+    return found.where(F.col("running") <= limit).select(*rows.columns, "running")
+
+
+def composed(rows: DataFrame, amount: str, order: str, by: str, limits: DataFrame, total_rows: int | None = None, total_amount: float | None = None) -> DataFrame:
+    """First each group's limits, then those of the whole: in both, the first rows in ``order`` up to a number, and of these the prefix whose sum of ``amount`` stays within a bound.
+
+    ``limits`` has ``by``, ``max_rows`` and ``max_amount`` (null: none), a row for each group that is wanted, few by nature.
+    Amounts are not negative; nulls count 0. ``order`` is unique.
+    """
+
+    def within(part: DataFrame, keys: list[str], most_rows: Column, most: Column) -> DataFrame:
+        marked = part.withColumns({"_one": F.lit(1), "_amount": F.coalesce(F.col(amount), F.lit(0))})
+        sums = running_sums(marked, keys, [F.col(order)], ["_one", "_amount"])
+        fits = F.coalesce(F.col("_one_upto") <= most_rows, F.lit(True)) & F.coalesce(F.col("_amount_upto") <= most, F.lit(True))
+        return sums.where(fits).select(*part.columns)
+
+    few = limits.select(by, F.col("max_rows").alias("_rows"), F.col("max_amount").alias("_most"))
+    own = within(rows.join(F.broadcast(few), by), [by], F.col("_rows"), F.col("_most")).select(*rows.columns)
+    if total_rows is None and total_amount is None:
+        return own
+    return within(own, [], F.lit(total_rows).cast("long"), F.lit(total_amount).cast("double"))
 
 
 def top_k(rows: DataFrame, by: str, order: str, k: int) -> DataFrame:
@@ -101,6 +112,14 @@ def inventory(rows: DataFrame, ordinal: str) -> DataFrame:
     return out.select("text_id", "f.normalized_text", "f.language", "f.split", "source_sample_ids", "conflict")
 
 
+def first_wins(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
+    """The membership of ``inventory``'s items, a row each instead of a list: the rows with ``first`` (the ordinal that won), ``rows`` (of the item) and ``conflict``."""
+    with Scratch(rows.sparkSession) as scratch:
+        own = scratch.cut(rows)
+        found = with_groups(own, key, own.count(), scratch, first=F.min(ordinal), conflict=F.count_distinct(F.coalesce("split", F.lit("\0"))) > 1)
+        return scratch.keep(found.withColumnRenamed("size", "rows"))
+
+
 def extract_new(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Rows that an append-only target lacks."""
     return rows.join(existing.select(key).distinct(), key, "left_anti")

@@ -32,3 +32,18 @@ def with_groups(rows: DataFrame, key: str, n: int, scratch: Scratch, least: int
     """Each row of a group of ``least`` or more with ``figures`` of its group, and the group's ``size``; cut ``rows`` before."""
     groups = rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"), *(v.alias(k) for k, v in figures.items()))
     return join_groups(rows, scratch.cut(groups.where(F.col("size") >= least)), key, n)
+
+
+def lookup(rows: DataFrame, unique: DataFrame, key: str, n: int) -> DataFrame:
+    """``rows`` with the columns of ``unique`` (one row per ``key``), nulls where it has none: a left join for keys that may be hot, or null, in ``rows``.
+
+    ``n`` is the number of rows. The entries of hot keys, at most ``HOT`` of them, are broadcast; rows without a key take part in no join.
+    """
+    limit = max(LEAST, n // HOT)
+    known = rows.where(F.col(key).isNotNull())
+    hot = [r[0] for r in known.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit).select(key).collect()]  # HOT keys at most
+    extra = [f for f in unique.schema if f.name != key]
+    out = rows.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in extra))
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    out = out.unionByName(known.where(~is_hot).join(unique.hint("merge"), key, "left"))
+    return out.unionByName(known.where(is_hot).join(F.broadcast(unique.where(F.col(key).isin(hot))), key, "left")) if hot else out

@@ -155,6 +155,19 @@ def duplicate_groups(spark, sf):
     return own.select("text_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "n")
 
 
+@query(f"WITH {IDENTITY} SELECT text_id, doc_id, min(doc_id) OVER w AS first, count(*) OVER w AS n FROM ids WINDOW w AS (PARTITION BY text_id) QUALIFY count(*) OVER w > 1")
+def duplicate_members(spark, sf):
+    """The same groups as a membership table."""
+    return reports.duplicate_members(identities(spark, sf), "text_id", "doc_id")
+
+
+@query(f"WITH {IDENTITY} SELECT text_id, doc_id, min(doc_id) OVER w AS first, count(*) OVER w AS n, (SELECT count(DISTINCT source) > 1 FROM ids j WHERE j.text_id = ids.text_id) AS conflict FROM ids WINDOW w AS (PARTITION BY text_id)")
+def inventory_members(spark, sf):
+    """The inventory's rows with the row that won their item."""
+    rows = identities(spark, sf).select("text_id", "doc_id", F.col("source").alias("split"))
+    return selection.first_wins(rows, "text_id", "doc_id").select("text_id", "doc_id", "first", F.col("rows").alias("n"), "conflict")
+
+
 @query(
     f"""WITH {IDENTITY}, g AS (SELECT text_id, arg_min(norm, doc_id) AS norm, arg_min(lang, doc_id) AS language, arg_min(source, doc_id) AS split, string_agg('doc_' || doc_id, ',' ORDER BY doc_id) AS ids,
  count(DISTINCT source) > 1 AS conflict FROM ids GROUP BY 1) SELECT text_id, sha256(norm) AS norm_sha256, language, split, ids, conflict FROM g"""
@@ -236,6 +249,19 @@ def duration_budget(spark, sf):
     return selection.budget(table(spark, sf, "documents").select("source", "doc_id", "n_chars"), "n_chars", "doc_id", 20000, by="source").select("source", "doc_id", "running")
 
 
+@query(
+    """WITH a AS (SELECT doc_id, source, n_chars, row_number() OVER w AS k, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id)),
+ b AS (SELECT doc_id, source, n_chars FROM a WHERE source IN ('src0', 'src1', 'src2', 'src3') AND k <= CASE WHEN source <> 'src3' THEN 30 ELSE k END AND s <= CASE WHEN source = 'src2' THEN s ELSE 60000 END),
+ c AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS k, sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS s FROM b)
+SELECT doc_id, source FROM c WHERE k <= 90 AND s <= 180000"""
+)
+def composed_budgets(spark, sf):
+    """Rows and lengths limited for each source first, then for all of them."""
+    limits = spark.createDataFrame([("src0", 30, 60000.0), ("src1", 30, 60000.0), ("src2", 30, None), ("src3", None, 60000.0)], "source string, max_rows long, max_amount double")
+    rows = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
+    return selection.composed(rows, "n_chars", "doc_id", "source", limits, 90, 180000).select("doc_id", "source")
+
+
 @query("SELECT doc_id, running FROM (SELECT doc_id, (sum(n_chars) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM documents) WHERE running <= 400000")
 def global_budget(spark, sf):
     return selection.budget(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 400000).select("doc_id", "running")
