@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.audio import crop_pad, mean_std, pooled, tone_frequency
-from ..functions.text import hash_fraction, normalize_text, public_endpoint, text_identity
+from ..functions.audio import crop_pad, mean_std, pooled, sigmoid, tone_frequency
+from ..functions.text import contained_path, hash_fraction, normalize_text, public_endpoint, retry_seed, text_identity, token_cap
 from ..operators import gates, generation, graph, metrics, rag, reports, rules, selection, workers
 from ..operators.quantiles import quantiles
 from ..operators.runs import digests
@@ -859,3 +859,87 @@ def exported_line_numbers(spark, sf):
     docs.orderBy("doc_id").select("value").write.text(folder)
     rows = formats.numbered_lines(spark, folder, 1 << 20)
     return rows.select(F.substring_index("value", "\t", 1).cast("long").alias("doc_id"), "ordinal")
+
+
+# --- small operators on whole tables -----------------------------------------------------------
+@query(
+    """WITH RECURSIVE m AS (SELECT 'doc_' || d.doc_id AS sample_id, coalesce(l.toxic, 0) = 0 AS is_real, d.* FROM documents d LEFT JOIN labels l USING (doc_id)),
+ t AS (SELECT sample_id, unnest(list_filter([CASE WHEN is_real THEN 'speaker:spk_' || doc_id // 4 END, 'source:' || source || '_' || doc_id // 2, 'sample:' || sample_id, CASE WHEN doc_id % 10 = 5 THEN 'sample:doc_' || (doc_id - 5) END,
+   'hash:' || sha256(coalesce(text, '')), CASE WHEN doc_id % 9 = 2 THEN 'text:' || doc_id % 90 END, CASE WHEN is_real AND doc_id % 8 = 1 THEN 'speaker:spk_' || (doc_id // 4 + 1) END], lambda x: x IS NOT NULL)) AS token FROM m),
+ h AS (SELECT token, min(sample_id) AS hub FROM t GROUP BY 1), e AS (SELECT DISTINCT sample_id AS a, hub AS b FROM t JOIN h USING (token) UNION SELECT DISTINCT hub, sample_id FROM t JOIN h USING (token)),
+ r AS (SELECT a AS id, a AS reach FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT m.sample_id, coalesce(min(reach), m.sample_id) AS component FROM m LEFT JOIN r ON r.id = m.sample_id GROUP BY m.sample_id"""
+)
+def sample_components(spark, sf):
+    """Groups by all kinds of tokens: speakers of real rows and related ones, sources, parents, digests and texts."""
+    c = F.col
+    i = c("doc_id")
+    own = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left").select(
+        F.concat(F.lit("doc_"), i).alias("sample_id"), F.when(F.coalesce("toxic", F.lit(0)) == 0, "real").otherwise("synthetic").alias("label"), F.concat(F.lit("spk_"), F.floor(i / 4)).alias("speaker_id"),
+        F.when(i % 8 == 1, F.array(F.concat(F.lit("spk_"), F.floor(i / 4) + 1))).alias("related_speaker_ids"), F.concat("source", F.lit("_"), F.floor(i / 2)).alias("source_id"),
+        F.when(i % 10 == 5, F.concat(F.lit("doc_"), i - 5)).alias("parent_sample_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("source_sha256"),
+        F.lit(None).cast("string").alias("source_text_id"), F.when(i % 9 == 2, (i % 90).cast("string")).alias("text_id"),
+    )
+    return graph.group_samples(own)
+
+
+@query("SELECT doc_id, doc_id % 6 IN (0, 4) AS contained FROM documents")
+def contained_paths(spark, sf):
+    """Paths that stay below their root, and some that do not."""
+    shapes = F.array(*map(F.lit, ("a/{}.wav", "../{}.wav", "a/../../{}.wav", "/a/{}.wav", "a/./../{}.wav", "C:\\{}.wav")))
+    path = F.replace(F.get(shapes, (F.col("doc_id") % 6).cast("int")), F.lit("{}"), F.col("doc_id").cast("string"))
+    return table(spark, sf, "documents").select("doc_id", contained_path(path).alias("contained"))
+
+
+@query(
+    """SELECT o_orderkey AS job, least(4096, greatest(64, ceil(length(o_orderpriority) * o_shippriority_like) + 32))::INTEGER AS max_tokens, ((o_custkey::HUGEINT * 1000000007 + (o_orderkey % 3)::HUGEINT * 9223372036854775783) % 18446744073709551616)::VARCHAR AS seed
+FROM (SELECT *, 0.5 * (o_orderkey % 40) AS o_shippriority_like FROM orders)"""
+)
+def token_caps_and_seeds(spark, sf):
+    """Token limits by length, and seeds of later attempts, modulo 2^64."""
+    c = F.col
+    chars = F.length("o_orderpriority") * (0.5 * (c("o_orderkey") % 40))
+    seed = retry_seed(c("o_custkey").cast("decimal(20,0)") * 1000000007, c("o_orderkey") % 3, 9223372036854775783)
+    return table(spark, sf, "orders").select(c("o_orderkey").alias("job"), token_cap(chars, 1.0, 32, 64, 4096).alias("max_tokens"), seed.cast("string").alias("seed"))
+
+
+@query(
+    """SELECT vec_id, round(1 / (1 + exp(-4 * embedding[1]::DOUBLE)), 9) AS probability, printf('%.10f', 1 / (1 + exp(-4 * embedding[1]::DOUBLE))) AS written,
+ CASE WHEN 1 / (1 + exp(-4 * embedding[1]::DOUBLE)) >= 0.5 THEN 'synthetic' ELSE 'real' END AS decision FROM embeddings"""
+)
+def written_decisions(spark, sf):
+    """Scores from logits, as they are written with their decisions."""
+    rows = table(spark, sf, "embeddings").select("vec_id", sigmoid(4 * F.col("embedding")[0].cast("double")).alias("synthetic_score"))
+    written = adapters.decisions(rows.withColumn("sample_id", F.col("vec_id")), 0.5)
+    own = rows.join(written.select(F.col("sample_id").alias("vec_id"), F.col("synthetic_score").alias("written"), "decision"), "vec_id")
+    return own.select("vec_id", F.round("synthetic_score", 9).alias("probability"), "written", "decision")
+
+
+@query(
+    """SELECT 'V15' AS rule, CAST(k AS VARCHAR) AS key FROM (SELECT DISTINCT l_suppkey % 130 AS k FROM lineitem) WHERE k NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'V8', 'line_' || l_orderkey || '_' || l_linenumber // 2 FROM lineitem GROUP BY l_orderkey, l_linenumber // 2 HAVING count(*) > 1"""
+)
+def snapshot_violations(spark, sf):
+    """Suppliers as models and lines as samples: repeated ids, and samples of unknown models."""
+    c = F.col
+    models = table(spark, sf, "supplier").select(c("s_suppkey").alias("model_id"))
+    lines = table(spark, sf, "lineitem").select((c("l_suppkey") % 130).alias("model_id"), F.concat_ws("_", F.lit("line"), "l_orderkey", F.floor(c("l_linenumber") / 2)).alias("sample_id"))
+    return adapters.snapshot_problems(models, lines)
+
+
+@query(
+    """WITH r AS (SELECT 'a' || c_custkey AS sample_id, c_mktsegment AS language FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')),
+ s AS (SELECT 'b' || c_custkey AS sample_id, c_mktsegment AS language FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_custkey % 3 = 0 AND c_custkey % 4 <> 0 AND c_custkey % 5 <> 0)
+SELECT sample_id, 'audio/' || sample_id || '.wav' AS path, NULL::VARCHAR AS split, language FROM r UNION ALL SELECT sample_id, 'audio/' || sample_id || '.wav', NULL, language FROM s"""
+)
+def composed_corpus(spark, sf):
+    """Customers as real rows, and again as synthetic ones of which some are eligible."""
+    c = F.col
+    i = c("c_custkey")
+    base = table(spark, sf, "customer").select(i, c("c_mktsegment").alias("language"), F.concat(F.lit("raw/"), i, F.lit(".wav")).alias("path"), F.lit("train").alias("split"))
+    real = base.select(F.concat(F.lit("a"), i).alias("sample_id"), F.lit("real").alias("label"), "language", "path", "split")
+    made = base.select(
+        F.concat(F.lit("b"), i).alias("sample_id"), F.lit("synthetic").alias("label"), "language", "path", "split", F.when(i % 3 == 0, "pass").when(i % 3 == 1, "fail").alias("quality_gate"),
+        F.when(i % 4 != 0, True).alias("training_eligible"), (i % 5 == 0).alias("diagnostic_only"), F.lit("train").alias("intended_role"),
+    )
+    return selection.compose(real, made, ["BUILDING", "MACHINERY"]).select("sample_id", "path", "split", "language")

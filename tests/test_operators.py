@@ -1,5 +1,6 @@
 import datetime
 import hashlib
+import json
 import random
 import unicodedata
 import wave
@@ -221,6 +222,35 @@ def test_run_store(spark, tmp_path):
     assert [(r["id"], r["status"], r["result_hash"]) for r in runs] == [("r2", "running", None), ("r1", "completed", want)]
     assert [r["case_id"] for r in store.list_results("r1").collect()] == ["c1", "c2"] and store.metrics.read().first()["value"] == 0.5
     assert store.runs.find("none").isEmpty()
+    assert json.loads(store.list_results("r1").first()["result_json"]) == {"case_id": "c1", "ok": True}
+    assert [r["result_json"] for r in store.list_results("r1").collect()][1] == '{"case_id": "c2", "text": "é", "n": 1}'  # as it came
+
+
+def test_run_store_columns(spark, tmp_path):
+    store = RunStore(spark, str(tmp_path / "runs"), [{"id": "t", "name": "T", "version": "1", "created_at": "2024", "languages": ["ru"], "endpoint": "https://x"}])
+    assert store.list_targets().first().asDict() == {"id": "t", "name": "T", "adapter_type": "mock", "endpoint": "https://x", "version": "1", "languages": ["ru"], "visibility": "public", "created_at": "2024"}
+    known = {"benchmark_id": "b", "benchmark_version": "0.1", "dataset_hash": "00", "evaluator_version": "0.1.0", "git_commit": "c", "limitations": ["synthetic"]}
+    store.create("r", "t", "1", {}, "2024-01-01", **known)
+    run = store.runs.find("r").first().asDict()
+    assert {k: run[k] for k in known} == known and (run["visibility"], run["status"]) == ("private", "running")
+    store.finish("r", [], {"recall": (None, "not_evaluated"), "accuracy": 1.0}, "2024-01-02")
+    assert [tuple(r) for r in store.list_metrics("r").collect()] == [("accuracy", 1.0, "computed"), ("recall", None, "not_evaluated")]
+    with pytest.raises(ValueError, match="unknown fields"):
+        store.create("x", "t", "1", {}, "2024", other=1)
+
+
+def test_many_batches_keep_few_folders(spark, tmp_path):
+    store = ResultStore(spark, str(tmp_path / "s"), "job", "job string, n int")
+    row = lambda k: spark.createDataFrame([("a", k)], store.schema)
+    for k in range(7):
+        store.upsert(row(k), f"one-{k}")
+        store.upsert(row(100 + k), f"two-{k}")
+    for k in range(7):
+        store.upsert(row(-1), f"one-{k}")  # all of them again
+    assert store.read().first()["n"] == 106
+    assert len(list((tmp_path / "s").glob("v*"))) == 3 == len(list((tmp_path / "s" / "applied").glob("*.json")))
+    with pytest.raises(ValueError):
+        store.upsert(row(0), "nameless")
 
 
 def test_compose(spark):
