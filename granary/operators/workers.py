@@ -11,11 +11,13 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Any, Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.audio import log_mel
 from ..session import ship
 from .runs import as_batch
 
@@ -75,6 +77,19 @@ class HashedDurations(Simple):
         return {"duration_sec": math.floor(share * 3000) / 100}
 
 
+class LogMel(Simple):
+    """Normalised log mel features of ``samples`` at ``rate``, bands one after another."""
+
+    def __init__(self, n_mels: int = 64, n_fft: int = 512, hop: int = 160) -> None:
+        self.n_mels, self.n_fft, self.hop = n_mels, n_fft, hop
+
+    def run(self, row: dict[str, Any]) -> dict[str, Any]:
+        if not row["samples"]:
+            raise ValueError("no samples")
+        out = log_mel(np.array(row["samples"], np.float32), row["rate"], self.n_fft, self.hop, self.n_mels)
+        return {"bands": out.shape[0], "frames": out.shape[1], "features": out.ravel().tolist()}
+
+
 class MockTarget(Simple):
     """A demonstration target: ``mock-a`` answers as expected; ``mock-b`` fails on chosen cases, in the answer or in the citation."""
 
@@ -126,7 +141,7 @@ class Retrying:
         raise RuntimeError(f"every attempt ran away ({', '.join(f'{d:.2f}s' for d in rejected)}; max_tokens={row['max_tokens']})")
 
 
-FACTORIES: dict[str, Callable[..., Worker]] = {"unverified": Unverified, "constant": ConstantDetector, "tone": ToneGenerator, "hashed": HashedDurations, "mock": MockTarget}
+FACTORIES: dict[str, Callable[..., Worker]] = {"unverified": Unverified, "constant": ConstantDetector, "tone": ToneGenerator, "hashed": HashedDurations, "log_mel": LogMel, "mock": MockTarget}
 
 
 def factory(name: str) -> Callable[..., Worker]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import deterministic_id, normalize_text, text_identity
 from ..operators.rules import LANGUAGES, RuleError, duplicate_keys, require_none
+from ..operators.runs import digests
 from ..operators.selection import extract_new, top_k
 from ..session import Scratch, file_system
 from .manifests import read_protocol, read_seven_columns, sniff
@@ -119,6 +120,54 @@ def read_keyed(spark: SparkSession, path: str, schema: str, key: str) -> DataFra
     return rows
 
 
+def _line(job: DataFrame) -> Column:
+    """A job as one line: its fields by name, as JSON; nulls are written."""
+    return F.to_json(F.struct(*sorted(job.columns)), {"ignoreNullFields": "false"})
+
+
+def write_plan(jobs: DataFrame, folder: str, metadata: dict) -> str:
+    """Writes jobs as lines in order of ``job_id`` below a new ``folder``, and beside them the metadata with the digest of all lines; the digest.
+
+    A plan without jobs, or with a repeated job, is an error. The metadata come last: a plan without them is unfinished.
+    """
+    spark = jobs.sparkSession
+    at, fs = file_system(spark, folder)
+    if fs.exists(at):
+        raise FileExistsError(folder)
+    with Scratch(spark) as scratch:
+        jobs = scratch.cut(jobs)
+        if jobs.isEmpty():
+            raise RuleError("the plan is empty")
+        require_none(duplicate_keys(jobs, "job_id"), "jobs of the plan")
+        lines = jobs.select("job_id", _line(jobs).alias("value"))
+        digest = digests(lines, [], [F.col("job_id")], F.col("value"), b"\n").first()[0]
+        lines.orderBy("job_id").select("value").write.text(f"{folder}/generation_jobs")
+    stream = fs.create(file_system(spark, f"{folder}/generation_plan.json")[0], False)
+    try:
+        stream.write(bytearray(json.dumps({**metadata, "generation_jobs_sha256": digest}, ensure_ascii=False, sort_keys=True, allow_nan=False).encode()))
+    finally:
+        stream.close()
+    return digest
+
+
+def read_plan(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, dict]:
+    """The jobs and the metadata of a plan; lines that don't have the recorded digest are an error."""
+    at, fs = file_system(spark, f"{folder}/generation_plan.json")
+    if not fs.exists(at):
+        raise RuleError(f"{folder}: no metadata")
+    stream = fs.open(at)
+    try:
+        metadata = json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+    jobs = read_keyed(spark, f"{folder}/generation_jobs", schema, "job_id")
+    lines = spark.read.text(f"{folder}/generation_jobs")
+    named = lines.select("value", F.get_json_object("value", "$.job_id").alias("job_id"))
+    if digests(named, [], [F.col("job_id")], F.col("value"), b"\n").first()[0] != metadata["generation_jobs_sha256"]:
+        raise RuleError(f"{folder}: the jobs have changed")
+    return jobs, metadata
+
+
 def snapshot_problems(models: DataFrame, samples: DataFrame) -> DataFrame:
     """``rule, key``: repeated model or sample ids, and samples of unknown models."""
     unknown = samples.select("model_id").where("model_id is not null").distinct().join(models.select("model_id").distinct(), "model_id", "left_anti")
