@@ -550,12 +550,11 @@ def batch_weighted_mean(spark, sf):
 
 @query(
     """SELECT event_type, count(*) AS n, count(*) FILTER (value > 10) AS succeeded, min(value) AS min_ms, round(avg(value), 6) AS mean_ms, max(value) AS max_ms,
- array_to_string(list_sort(list(DISTINCT 'm' || user_id % 5)), ',') AS models FROM events GROUP BY 1"""
+ array_to_string(list_sort(list(DISTINCT 'm' || user_id % 5)), ',') AS models, array_to_string(list_sort(list(DISTINCT 'd' || user_id % 7)), ',') AS digests FROM events GROUP BY 1"""
 )
 def call_summary(spark, sf):
-    calls = table(spark, sf, "events").select("event_type", F.col("value").alias("latency_ms"), (F.col("value") > 10).alias("ok"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model_id"), F.lit("d").alias("model_sha256"))
-    own = gates.call_summary(calls, "event_type").withColumns({"mean_ms": F.round("mean_ms", 6), "models": F.array_join("models", ",")})
-    return own.drop("digests")
+    calls = table(spark, sf, "events").select("event_type", F.col("value").alias("latency_ms"), (F.col("value") > 10).alias("ok"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("model_id"), F.concat(F.lit("d"), F.col("user_id") % 7).alias("model_sha256"))
+    return gates.call_summary(calls, "event_type").withColumns({"mean_ms": F.round("mean_ms", 6), "models": F.array_join("models", ","), "digests": F.array_join("digests", ",")})
 
 
 @query(f"WITH {FLAGGED}, g AS (SELECT count(*) FILTER (label = 'synthetic' AND gate = 'pass' AND source_dataset IN ('src0', 'src1')) AS synthetic, count(*) FILTER (label = 'real' AND gate = 'pass') AS real FROM f) SELECT *, synthetic >= 50 AND real >= 50 AS ready FROM g")
