@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +33,17 @@ def give_back() -> None:
         trim(0)
 
 
+def release_loaded(keep: dict | None = None) -> None:
+    """Drops what operators keep loaded in this worker (their ``_LOADED``) but ``keep``: a worker lives on through the stages of a pipeline."""
+    held = [m._LOADED for n, m in list(sys.modules.items()) if n.startswith(f"{__package__}.") and getattr(m, "_LOADED", None)]
+    held = [d for d in held if d is not keep]
+    if held:
+        for d in held:
+            d.clear()
+        gc.collect()
+        give_back()
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], Iterator[tuple]]], schema: str) -> DataFrame:
     """Applies ``make()`` (built once per task) to each row; it yields output tuples.
 

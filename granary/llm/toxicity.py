@@ -4,7 +4,7 @@ Lower-cased texts are read as UTF-8 bytes, each run of other bytes than ASCII le
 non-ASCII letters counting as one space, and hashed into ``2 ** bits`` buckets for each n of
 ``sizes``. A feature is a bucket's presence in a text. For each bucket the log-count ratio r
 of the two classes is estimated with one document of smoothing; buckets whose ratio is not
-significant (``z`` standard errors) get weight 0, all others enter a logistic regression as
+significant (``z`` standard errors), or that fewer than ``least_documents`` labelled documents have, get weight 0, all others enter a logistic regression as
 r, so that the weight of a bucket is its r times a learned coefficient. A row of the rarer
 class counts by the fourth root of the classes' ratio.
 
@@ -23,21 +23,36 @@ buckets at the most, and 4 bytes for each significant bucket of each labelled ro
 
 from __future__ import annotations
 
+import contextlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .rows import map_rows, pick
+from .rows import map_rows, pick, release_loaded
 
 GAP = re.compile(r"[\W\d_]+")
 #: Features of the fit that are worked on at a time.
 CHUNK = 1_000_000
+#: The labelled rows' buckets are long arrays: an Arrow batch of them holds so many bytes, whatever its rows.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+LEARNED_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most ``LEARNED_BYTES`` for what is run in the block."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(LEARNED_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
 
 
 @dataclass(frozen=True)
@@ -45,6 +60,7 @@ class Settings:
     sizes: tuple[int, ...] = (4, 5, 6)
     bits: int = 20
     z: float = 3.5
+    least_documents: int = 5
     max_labelled: int = 12_000
     folds: int = 5
     l2: float = 1e-4
@@ -84,6 +100,11 @@ def fold(id_col: str, folds: int) -> F.Column:
 
 def train(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from ``labels`` (``doc_id`` and ``label_col``) of the documents ``df``; see above for nulls and repeats."""
+    with small_batches(df.sparkSession):
+        return _train(df, labels, settings, id_col, text_col, label_col)
+
+
+def _train(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str, label_col: str) -> Model:
     docs = pick(df, id_col, text_col)
     kind = dict(docs.dtypes)["doc_id"]
     known = (
@@ -97,6 +118,8 @@ def train(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     rows = docs.join(F.broadcast(cut(known)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def make():
+        release_loaded()
+
         def step(row: dict) -> Iterator[tuple]:
             yield row["doc_id"], row["y"], np.unique(buckets(row["text"], settings)).astype(np.int32)
 
@@ -112,7 +135,7 @@ def train(df: DataFrame, labels: DataFrame, settings: Settings = Settings(), *,
     ratio = F.log(p / (n[1] + 1)) - F.log(q / (n[0] + 1))
     error = F.sqrt(1 / p + 1 / q - F.lit(1 / (n[1] + 1) + 1 / (n[0] + 1)))
     # one row per bucket at most: bounded by 2 ** bits
-    kept = sums.where((F.col("p") + F.col("q") > 4) & (F.abs(ratio) > settings.z * error)).select("f", ratio.alias("r")).toArrow()
+    kept = sums.where((F.col("p") + F.col("q") >= settings.least_documents) & (F.abs(ratio) > settings.z * error)).select("f", ratio.alias("r")).toArrow()
     index, r = kept["f"].to_numpy(), kept["r"].to_numpy()
     order = np.argsort(index)
     index, r = index[order], r[order]
@@ -188,6 +211,7 @@ def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     shared = df.sparkSession.sparkContext.broadcast(model)  # 4 bytes a bucket
 
     def make():
+        release_loaded()
         known = shared.value
 
         def step(row: dict) -> Iterator[tuple]:
@@ -206,6 +230,7 @@ def drop_toxic(df: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     columns = df.columns
 
     def make():
+        release_loaded()
         known = shared.value
 
         def step(row: dict) -> Iterator[tuple]:
