@@ -27,7 +27,7 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from .rows import Memo, map_rows, pick
+from .rows import Memo, map_rows, pick, release_loaded
 
 # The byte alphabet of byte-level BPE prints these bytes as themselves, the others from U+0100 on.
 PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -43,6 +43,14 @@ NEWER_CAPITALS = [
     (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
 ]
 
+# Marks that the library's normalisation does not know (it leaves them where they stand), and a vowel sign that it joins to nothing.
+NEWER_MARKS = [
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E),
+    (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42),
+    (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+]
+
 
 def byte_alphabet() -> dict[str, int]:
     letters = {chr(b): b for b in PRINTED}
@@ -80,7 +88,8 @@ class BacktrackingBPE:
         self.finder = regex.compile(pattern.replace("\\s", "\\p{White_Space}"))
         self.stand_in, self.small = newer_characters()
         self.newer = frozenset(map(chr, self.stand_in))
-        self.high = re.compile(f"[{min(self.newer)}-\U0010ffff]").search
+        self.high = re.compile(f"[{min(*self.newer, chr(NEWER_MARKS[0][0]))}-\U0010ffff]").search
+        self.marks = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in NEWER_MARKS) + "])")
 
         def symbols(token: str) -> str:
             ends = bool(end) and token.endswith(end) and len(token) > len(end)
@@ -188,7 +197,10 @@ class BacktrackingBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        text = unicodedata.normalize("NFC", text)
+        if text.isascii() or not self.high(text):
+            text = unicodedata.normalize("NFC", text)
+        else:  # newer marks are no marks to the library: nothing moves or joins across them
+            text = "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(self.marks.split(text)))
         if "Σ" in text:
             text = text.replace("Σ", "σ")  # lower case goes letter by letter: no final sigma
         text = text.lower()
@@ -217,6 +229,7 @@ def loaded(spec: bytes) -> BacktrackingBPE:
     key = hashlib.sha256(spec).digest()
     if key not in _LOADED:
         _LOADED.clear()
+        release_loaded(_LOADED)
         _LOADED[key] = BacktrackingBPE(spec)
     return _LOADED[key]
 

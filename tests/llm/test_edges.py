@@ -3,10 +3,11 @@
 import random
 import time
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from granary.llm import licenses, near_dedup, pseudonyms, secrets, token_counts, toxicity, warc
+from granary.llm import bpe, decontaminate, licenses, near_dedup, pseudonyms, rows, secrets, token_counts, toxicity, warc
 
 
 def test_pages_take_linear_time():
@@ -16,6 +17,29 @@ def test_pages_take_linear_time():
         assert time.perf_counter() - began < 4
 
 
+def test_marks_that_the_library_does_not_know():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.no_truncation(), library.no_padding()
+    with open(path, "rb") as f:
+        own = bpe.BacktrackingBPE(f.read())
+    marks = [chr(c) for low, high in bpe.NEWER_MARKS for c in range(low, high + 1)]
+    known = ["\u0345", "\u0334", "\u0301", "\u0327", "\u0653", "\U00011935", "\u05b0", "\u0f71", "\u302a", "e"]
+    for text in [f"a{x}{m}{y} b{m}{x}" for m in marks for x in known for y in ("", "\u0323")]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, [hex(ord(c)) for c in text]
+
+
+def test_workers_give_back_what_others_loaded():
+    decontaminate._LOADED["x"] = object()
+    bpe._LOADED[b"y"] = object()
+    rows.release_loaded(bpe._LOADED)
+    assert not decontaminate._LOADED and bpe._LOADED
+    rows.release_loaded()
+    assert not bpe._LOADED
+
+
 def test_random_tag_soup_takes_linear_time():
     draw = random.Random(2)
     for _ in range(40):
@@ -44,8 +68,8 @@ def test_private_keys_go_with_their_bodies(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/\r\nAAAA==\n-----END RSA PRIVATE KEY-----"
     cut = "-----BEGIN PRIVATE KEY-----\nMIIB\nQUJD"
     texts = [f"a {key} b", f"a {cut}\n\n(cut off)", "x " + key.replace("\r", "").replace("\n", "\\n") + " y", "-----BEGIN PRIVATE KEY----- alone"]
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert [r["text"] for r in secrets.redact(rows).orderBy("doc_id").collect()] == ["a [SECRET] b", "a [SECRET]\n\n(cut off)", "x [SECRET] y", "[SECRET] alone"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["text"] for r in secrets.redact(table).orderBy("doc_id").collect()] == ["a [SECRET] b", "a [SECRET]\n\n(cut off)", "x [SECRET] y", "[SECRET] alone"]
 
 
 def test_page_quotes_comments_and_headers():
