@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
-    "embeddings pages benchmark labels conversations"
+    "embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps"
 ).split()
 
 

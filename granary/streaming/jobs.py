@@ -42,7 +42,7 @@ class Jobs(StatefulProcessor):
         self.halted = handle.getValueState("halted", "at long")
 
     def _due(self) -> set[int]:
-        return {t for t in self.handle.listTimers()}
+        return set(self.handle.listTimers())
 
     def _change(self, run_id: str, job_id: str, at: int, kind: str, seed: str | None, error: str | None) -> tuple | None:
         """Applies one event (``at`` in ms); the change of the job, if there is one."""
