@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..operators.ranges import running_sums
-from ..operators.runs import digests, run_starts, sorted_by, whole_groups
+from ..operators.runs import PART_BYTES, digests, run_starts, sorted_by, whole_groups
 from ..session import Scratch, ship
 
 #: Turns of a segment; rows that one recursive query takes at least.
@@ -253,7 +253,10 @@ class Repair:
 
     def digests(self, name: str = "repaired_sha256") -> DataFrame:
         """The digest of each conversation's repaired ``role:text``, joined by newlines."""
-        return digests(self.repaired, ["conv_id"], [F.col("pos"), F.col("sub")], F.concat(F.col("role"), F.lit(":"), F.col("text")), b"\n", name)
+        # a turn grows by a role's name, and an empty turn may stand before it: a bound that needs no repair
+        size = F.octet_length("text").cast("long") + F.octet_length("role") + 32
+        short = self.rows.groupBy("conv_id").agg(F.sum(size).alias("size")).where(F.col("size") > PART_BYTES).isEmpty()
+        return digests(self.repaired, ["conv_id"], [F.col("pos"), F.col("sub")], F.concat(F.col("role"), F.lit(":"), F.col("text")), b"\n", name, short=short)
 
 
 def repair_report(turns: DataFrame, ids: DataFrame, scratch: Scratch) -> DataFrame:

@@ -148,7 +148,7 @@ class LateOverwrite:
         """One row per file: day, file_no, n_rows, ``figures`` over ``row``, path, columns, the digest of the keys in file order, and whether it was rewritten."""
         rows = self.written()
         files = rows.groupBy("day", "file_no").agg(F.count(F.lit(1)).alias("n_rows"), *(v.alias(k) for k, v in figures.items()), F.min("path").alias("path"))
-        keys = digests(rows, ["day", "file_no"], [F.col("at")], F.col("row")[self.names.key].cast("string"), b",", "ids_sha256")
+        keys = digests(rows, ["day", "file_no"], [F.col("at")], F.col("row")[self.names.key].cast("string"), b",", "ids_sha256", short=True)  # a file's rows are bounded by the layout
         columns = ",".join(self.columns()) if rows.select("day").head(1) else ""
         again = self.touched.select("day", F.lit(True).alias("rewritten"))
         return files.join(keys, ["day", "file_no"]).join(F.broadcast(again), "day", "left").withColumn("columns", F.lit(columns)).withColumn("rewritten", F.coalesce("rewritten", F.lit(False)))

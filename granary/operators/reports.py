@@ -124,8 +124,8 @@ def best_epoch(epochs: DataFrame, patience: int) -> DataFrame:
 def dataset_hash(rows: DataFrame, name: str, order: list[str], content: Column, separator: str = "") -> DataFrame:
     """``dataset_hash, files``: sha256 over each file's name followed by its content, files in order of their names; one row per piece of content.
 
-    A file's pieces, in ``order`` (unique within a file), are joined by ``separator``. The bytes stream through one
-    task, as one digest over all of them demands; nothing is gathered. Rows without a name are left out.
+    A file's pieces, in ``order`` (unique within a file), are joined by ``separator``. The bytes go through one task after
+    another (``digests``), as one digest over all of them demands; nothing is gathered. Rows without a name are left out.
     """
     with Scratch(rows.sparkSession) as scratch:
         pieces = rows.select(F.col(name).alias("name"), F.struct(*order).alias("at"), content.cast("string").alias("piece"))

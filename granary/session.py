@@ -58,8 +58,9 @@ def file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def write_and_read(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+def write_and_read(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
+    """``by``: columns whose values get folders of their own."""
+    df.write.partitionBy(*by or []).parquet(path)
     at, fs = file_system(df.sparkSession, path)
     fs.deleteOnExit(at)  # with the driver's JVM, if nobody deletes it before
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -88,9 +89,9 @@ class Scratch:
         at, fs = file_system(self.spark, path)
         fs.delete(at, True)
 
-    def cut(self, df: DataFrame) -> DataFrame:
+    def cut(self, df: DataFrame, by: list[str] | None = None) -> DataFrame:
         path = shared_dir(self.spark)
-        out = write_and_read(df, path)
+        out = write_and_read(df, path, by)
         self.paths.append((out, path))
         return out
 

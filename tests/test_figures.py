@@ -103,6 +103,32 @@ def test_digests_of_groups(spark):
     assert runs.digests(df.limit(0), ["g"], [F.col("at")], F.col("v")).count() == 0
 
 
+@pytest.mark.parametrize("algorithm", ["sha256", "md5"])
+def test_long_groups_are_digested_part_by_part(spark, monkeypatch, algorithm):
+    monkeypatch.setattr(runs, "PART_BYTES", 5000)
+    streamed, sizes = runs._streamed, []
+
+    def watched(narrow, keys, *rest):
+        sizes.extend(r[-1] for r in narrow.groupBy(*keys).agg(F.coalesce(F.sum(F.octet_length("_value")), F.lit(0))).collect())
+        return streamed(narrow, keys, *rest)
+
+    monkeypatch.setattr(runs, "_streamed", watched)
+    rows = [("even", k, f"{k}ä" * 5) for k in range(500)] + [("long", k, "xyzé" * (3000 if k == 7 else k)) for k in range(20)] + [(None, k, "n" * 300 if k % 3 else None) for k in range(40)]
+    rows += [("tied", 1, "0123456789" * 400)] * 3 + [("short", k, "s") for k in range(5)] + [("", 0, None)]
+    df = spark.createDataFrame(rows, "g string, at int, v string").repartition(5)
+    want = {}
+    for g, _, v in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.setdefault(g, []).append(v or "")
+    digest = lambda values: hashlib.new(algorithm, ("42:" + "||".join(values)).encode()).hexdigest()
+    found = {r["g"]: r["d"] for r in runs.digests(df, ["g"], [F.col("at")], F.col("v"), b"||", "d", prefix=b"42:", algorithm=algorithm).collect()}
+    assert found == {g: digest(v) for g, v in want.items()}
+    assert sorted(sizes) == [0, 5]  # what went through one task
+    whole = runs.digests(df, [], [F.col("g"), F.col("at")], F.col("v"), b"||", "d", prefix=b"42:", algorithm=algorithm).collect()
+    in_order = [v for g in sorted(want, key=lambda g: (g is not None, g or "")) for v in want[g]]
+    assert [r["d"] for r in whole] == [digest(in_order)]
+    assert len(sizes) == 2
+
+
 def test_split_of_a_component_of_a_million(spark):
     n = 1_000_000
     rows = spark.range(0, n, 1, 8).select(F.format_string("s%07d", "id").alias("sample_id"), F.when(F.col("id") == n - 1, "alone").otherwise("giant").alias("component"))
