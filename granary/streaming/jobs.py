@@ -17,14 +17,15 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import ship
 
 STATE = "attempt int, status string, seed string, heard long"
 CHANGES = "run_id string, job_id string, attempt int, status string, seed string, at timestamp, error string"
+CHANGE = Row("run_id", "job_id", "attempt", "status", "seed", "ms", "error")
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OPEN = ("running", "retry")
 ORDER = {"start": 0, "failed": 1, "done": 2}
@@ -41,17 +42,32 @@ class Jobs(StatefulProcessor):
         self.jobs = handle.getMapState("jobs", "job_id string", STATE)
         self.halted = handle.getValueState("halted", "at long")
 
-    def _due(self) -> set[int]:
-        return set(self.handle.listTimers())
+    def _begin(self) -> None:
+        """What is known of the key within one call. Each look into the store is a message to the JVM and back: one for each job that is heard of, none for new keys, and one for each job that changes."""
+        self.new, self.is_halted, self.due = not self.jobs.exists(), None, None
+        self.known: dict[str, tuple | None] = {}
+        self.changed: set[str] = set()
+
+    def _end(self) -> None:
+        for job_id in self.changed:
+            self.jobs.updateValue((job_id,), self.known[job_id])
+
+    def _halted(self) -> bool:
+        if self.is_halted is None:
+            self.is_halted = not self.new and self.halted.exists()
+        return self.is_halted
 
     def _change(self, run_id: str, job_id: str, at: int, kind: str, seed: str | None, error: str | None) -> tuple | None:
         """Applies one event (``at`` in ms); the change of the job, if there is one."""
-        known = self.jobs.getValue((job_id,)) if self.jobs.containsKey((job_id,)) else None
+        if job_id not in self.known:
+            found = None if self.new else self.jobs.getValue((job_id,))
+            self.known[job_id] = found and tuple(found)
+        known = self.known[job_id]
         if kind == "start":
             if known is not None and known[1] != "retry":
                 return None
             attempt, own = (1, seed) if known is None else (known[0], known[2])
-            status = "stopped" if known is None and self.halted.exists() else "running"
+            status = "stopped" if known is None and self._halted() else "running"
         elif known is None or known[1] not in OPEN:
             return None
         elif kind == "done":
@@ -60,37 +76,36 @@ class Jobs(StatefulProcessor):
             more = known[0] < self.attempts
             attempt, status = known[0] + more, "retry" if more else "failed"
             own = str((int(known[2]) + self.stride) % 2**64) if more and known[2] is not None else known[2]
-            if not more and self.policy == "stop" and not self.halted.exists():
+            if not more and self.policy == "stop" and not self._halted():
                 self.halted.update((at,))
-        self.jobs.updateValue((job_id,), (attempt, status, own, at))
-        if status in OPEN and self.timeout and at + self.timeout not in self._due():
-            self.handle.registerTimer(at + self.timeout)
-        return run_id, job_id, attempt, status, own, pd.Timestamp(at, unit="ms"), error
-
-    @staticmethod
-    def _frame(changes: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(changes, columns=["run_id", "job_id", "attempt", "status", "seed", "at", "error"]).astype({"attempt": "int32"})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = []
-        for part in rows:  # a key's rows of one micro-batch; bounded by the trigger
-            times = part["at"].astype("datetime64[ms]").astype("int64")
-            text = lambda c, part=part: part[c].astype(object).where(part[c].notna(), None)
-            events += zip(times, (ORDER[k] for k in part["kind"]), part["job_id"], part["run_id"], part["kind"], text("seed"), text("error"), strict=True)
-        changes = []
-        for at, _, job_id, run_id, kind, seed, error in sorted(events, key=lambda e: e[:3]):
-            if change := self._change(run_id, job_id, int(at), kind, seed, error):
-                changes.append(change)
-        yield self._frame(changes)
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+                self.is_halted = True
+        self.known[job_id] = (attempt, status, own, at)
+        self.changed.add(job_id)
+        if status in OPEN and self.timeout:
+            if self.due is None:
+                self.due = set(self.handle.listTimers())
+            if at + self.timeout not in self.due:
+                self.handle.registerTimer(at + self.timeout)
+                self.due.add(at + self.timeout)
+        return run_id, job_id, attempt, status, own, at, error
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # a key's rows of one micro-batch; bounded by the trigger
+        events = sorted(((r.ms, ORDER[r.kind], r.job_id, r.run_id, r.kind, r.seed, r.error) for r in rows), key=lambda e: e[:3])
+        self._begin()
+        for at, _, job_id, run_id, kind, seed, error in events:
+            if change := self._change(run_id, job_id, at, kind, seed, error):
+                yield CHANGE(*change)
+        self._end()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         due = expiredTimerInfo.getExpiryTimeInMs()
         stuck = [(k[0], v) for k, v in self.jobs.iterator() if v[1] == "running" and v[3] + self.timeout <= due]
-        changes = []
+        self._begin()
         for job_id, _ in sorted(stuck):
             if change := self._change(key[0], job_id, due, "failed", None, "stuck"):
-                changes.append(change)
-        yield self._frame(changes)
+                yield CHANGE(*change)
+        self._end()
 
     def close(self) -> None:
         return None
@@ -100,8 +115,10 @@ def job_changes(events: DataFrame, *, policy: str = "continue", attempts: int =
     """The changes of the jobs of a stream of events; ``delay`` is the watermark's."""
     ship(events.sparkSession)
     keys = ["run_id", "job_id"] if policy == "continue" else ["run_id"]
-    marked = events.select("run_id", "job_id", "at", "kind", "seed", "error").withWatermark("at", delay)
-    return marked.groupBy(*keys).transformWithStateInPandas(Jobs(policy, attempts, stride, timeout), CHANGES, "append", "EventTime")
+    marked = events.select("run_id", "job_id", "at", F.unix_millis("at").alias("ms"), "kind", "seed", "error").withWatermark("at", delay)
+    # rows, not pandas: most keys have few of them
+    changes = marked.groupBy(*keys).transformWithState(Jobs(policy, attempts, stride, timeout), CHANGES.replace("at timestamp", "ms long"), "append", "EventTime")
+    return changes.select("run_id", "job_id", "attempt", "status", "seed", F.timestamp_millis("ms").alias("at"), "error")
 
 
 @contextlib.contextmanager

@@ -6,6 +6,7 @@ import zlib
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from granary.operators import workers
@@ -82,6 +83,40 @@ def test_policies_and_attempts_are_checked():
             jobs.Jobs(**{"policy": "stop", "attempts": 1, "stride": 1, "timeout": 0, **wrong})
 
 
+def test_the_state_store_is_asked_once_a_job():
+    calls = []
+
+    class Store(dict):
+        def exists(self):
+            calls.append("exists")
+            return bool(self)
+
+        def getValue(self, key):
+            calls.append("get")
+            return self.get(key)
+
+        def updateValue(self, key, value):
+            calls.append("update")
+            self[key] = value
+
+        def update(self, value):
+            calls.append("halt")
+            self["at"] = value
+
+    class Handle:
+        getMapState = getValueState = staticmethod(lambda *_: Store())
+
+    row = lambda k, ms, kind, error=None: Row(run_id="r", job_id=str(k), ms=ms, kind=kind, seed="1", error=error)
+    run = jobs.Jobs("stop", 1, 1, 0)
+    run.init(Handle())
+    found = list(run.handleInputRows(("r",), iter([row(k, 10 * k + d, kind) for k in range(100) for d, kind in ((5, "done"), (0, "start"))]), None))
+    assert len(found) == 200 and calls.count("update") == 100 and len(calls) == 101
+    calls.clear()
+    found = list(run.handleInputRows(("r",), iter([row(7, 2000, "done"), row("x", 2001, "start"), row("x", 2002, "failed", "e"), row("y", 2003, "start")]), None))
+    assert [tuple(f) for f in found] == [("r", "x", 1, "running", "1", 2001, None), ("r", "x", 1, "failed", "1", 2002, "e"), ("r", "y", 1, "stopped", "1", 2003, None)]
+    assert sorted(calls) == ["exists"] * 2 + ["get"] * 3 + ["halt"] + ["update"] * 2
+
+
 def test_stream_over_conversations(spark):
     folder = "/root/testdata/sf0.001"
     found = {(r["run_id"], r["job_id"], r["status"], r["seed"], r["error"]) for r in catalogue.QUERIES["job_state_stream"](spark, folder).collect()}
