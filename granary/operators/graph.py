@@ -43,14 +43,17 @@ def _contract(edges: DataFrame, n: int) -> DataFrame:
 
     ship(edges.sparkSession)
     parts = -(-n // IN_ONE_TASK)
-    return (edges.coalesce(1) if parts == 1 else edges.repartition(parts, *names)).mapInArrow(run, schema)
+    # all links of a greater node are in one part, or in neighbouring ones if there are many
+    return (edges.coalesce(1) if parts == 1 else edges.repartitionByRange(parts, *names)).mapInArrow(run, schema)
 
 
-def _is_stars(edges: DataFrame) -> bool:
-    """Whether each greater node has one link and is nobody's lesser one."""
-    roles = F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    by = edges.select(F.inline(roles)).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
-    return by.where("up > 1 or (up > 0 and down > 0)").isEmpty()
+def _peel(edges: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``node, up``: the greater nodes with one link that are nobody's lesser one, which take their lesser node's label later; and the other links."""
+    lesser = edges.select(F.col("b").alias("a"), F.lit(True).alias("inner")).distinct()
+    groups = edges.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("b").alias("up"))
+    groups = scratch.cut(groups.join(lesser.hint("merge"), "a", "left").withColumn("leaf", (F.col("size") == 1) & F.col("inner").isNull()).drop("inner"))
+    rest = join_groups(edges, groups.where("not leaf").drop("up"), "a", n).select("a", "b")
+    return groups.where("leaf").select(F.col("a").alias("node"), "up"), scratch.cut(rest)
 
 
 def _star(edges: DataFrame, large: bool, n: int, scratch: Scratch) -> DataFrame:
@@ -73,21 +76,36 @@ def _star(edges: DataFrame, large: bool, n: int, scratch: Scratch) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, label`` (the least node of its component) for each node of ``links`` (a, b); other nodes stand alone.
 
-    Links are joined to stars within parts of a bounded size first; what crosses parts is settled by large and small
-    stars in turn, whose rounds grow with the logarithm of the diameter. Each round's table is deleted when the next one is written.
+    Links are joined to stars within parts of a bounded size first. What crosses parts is settled by large and small
+    stars in turn, whose rounds grow with the logarithm of the diameter; before each round, nodes that hang on one link
+    are set aside, and links that fit into one task are settled there. What was set aside takes its labels in the end, last ones first.
     """
     with Scratch(links.sparkSession) as scratch:
         edges = scratch.cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
         n = edges.count()
         if n:
             edges = scratch.cut(_contract(edges, n))
-        while not _is_stars(edges):
-            large = scratch.cut(_star(edges, True, edges.count(), scratch))
+        aside = []
+        while True:
+            leaves, rest = _peel(edges, edges.count(), scratch)
+            aside.append(leaves)
             scratch.drop(edges)
-            edges = scratch.cut(_star(large, False, large.count(), scratch))
-            scratch.drop(large)
-        both = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("label")), F.struct(F.col("b").alias("node"), F.col("b").alias("label")))
-        return scratch.keep(edges.select(F.inline(both)).distinct())
+            n = rest.count()
+            if not n:
+                break
+            if n <= IN_ONE_TASK:
+                edges = scratch.cut(_contract(rest, n))
+            else:
+                large = scratch.cut(_star(rest, True, n, scratch))
+                edges = scratch.cut(_star(large, False, large.count(), scratch))
+                scratch.drop(large)
+            scratch.drop(rest)
+        found = aside.pop().select("node", F.col("up").alias("label"))
+        while aside:
+            leaves = aside.pop()
+            own = lookup(leaves, found.withColumnRenamed("node", "up"), "up", leaves.count())
+            found = scratch.cut(found.unionByName(own.select("node", F.coalesce("label", "up").alias("label"))))
+        return scratch.keep(found.unionByName(found.select(F.col("label").alias("node"), "label").distinct()))
 
 
 def sample_tokens(samples: DataFrame) -> DataFrame:

@@ -298,3 +298,27 @@ def test_components_with_and_without_star_rounds(spark, monkeypatch, bound):
                 want[node] = both
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {node: min(group) for node, group in want.items()}
+
+
+def test_components_set_hanging_nodes_aside(spark, monkeypatch):
+    """Clusters around a few hubs, a chain and loose pairs: only links between what is not settled yet go into the rounds of stars."""
+    monkeypatch.setattr(graph, "IN_ONE_TASK", 60)
+    star, rounds = graph._star, []
+    monkeypatch.setattr(graph, "_star", lambda edges, large, n, scratch: rounds.append(n) or star(edges, large, n, scratch))
+    rng = random.Random(5)
+    chain = rng.sample(range(10_000, 10_300), 300)
+    links = [(k, k // 8 * 8) for k in range(3000)] + [(k, k % 40) for k in range(0, 3000, 8)] + list(zip(chain, chain[1:], strict=False)) + [(20_000 + k, 30_000 + k) for k in range(200)] + [(7, 7)]
+    rng.shuffle(links)
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for x, y in links:
+        x, y = find(x), find(y)
+        up[max(x, y)] = min(x, y)
+    found = [tuple(r) for r in graph.components(spark.createDataFrame(links, "a long, b long").repartition(4)).collect()]
+    assert len(found) == len(dict(found)) and dict(found) == {x: find(x) for x in up}
+    assert max(rounds, default=0) < len(links) / 4
