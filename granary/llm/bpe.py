@@ -16,9 +16,11 @@ result. Only the id and the text are read, so other columns can't clash.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -125,8 +127,9 @@ class BacktrackingBPE:
         self.shorter = [-1] * size
         for key, i in by_key.items():
             self.shorter[i] = next((by_key[key[:n]] for n in range(len(key) - 1, 0, -1) if key[:n] in by_key), -1)
-        self.compatible = Memo(lambda pair: self._first_crossing(*pair) is None, 60_000)
-        self.cache = Memo(self._piece, 100_000)
+        # some 60 MB a worker: with fewer entries, words and pairs that come again are worked out again
+        self.compatible = Memo(lambda pair: self._first_crossing(*pair) is None, 300_000)
+        self.cache = Memo(self._piece, 400_000)
 
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         printed = [names.get(i, "").encode() for i in range(size)]
@@ -188,7 +191,8 @@ class BacktrackingBPE:
 
     def _piece(self, piece: str) -> bytes:
         word = piece.encode().decode("latin-1")
-        return np.array(self.encode_symbols(word[:-1] + chr(ord(word[-1]) + 256)), "<u4").tobytes()
+        ids = self.encode_symbols(word[:-1] + chr(ord(word[-1]) + 256))
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -210,15 +214,13 @@ class BacktrackingBPE:
         return b"".join(self.cache[text[m.start() : m.end()]] for m in self.finder.finditer(text.translate(self.stand_in)))
 
     def decode(self, ids: bytes) -> bytes:
-        """The printed tokens joined by spaces, in UTF-8, read through the offset table."""
-        blob, offsets = self.blob, self._offset_list
-        return b" ".join([blob[offsets[i] : offsets[i + 1]] for i in np.frombuffer(ids, "<u4").tolist()])
-
-    @property
-    def _offset_list(self) -> list[int]:
-        if not hasattr(self, "_offsets"):
-            self._offsets = self.offsets.tolist()
-        return self._offsets
+        """The printed tokens joined by spaces, in UTF-8; the offset table cuts each token out of the string once."""
+        return b" ".join(map(self._printed.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+    @functools.cached_property
+    def _printed(self) -> list[bytes]:
+        at = self.offsets.tolist()
+        return [self.blob[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 _LOADED: dict[bytes, BacktrackingBPE] = {}

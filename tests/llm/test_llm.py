@@ -47,6 +47,20 @@ def test_bpe_equals_the_library():
         assert own.decode(own.encode(t)).decode() == theirs.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_works_out_each_word_once():
+    """As many different words as a few thousand documents have; what comes again is remembered."""
+    with open(WORDS, "rb") as f:
+        own = bpe.BacktrackingBPE(f.read())
+    made = []
+    make = own.cache.make
+    own.cache.make = lambda piece: made.append(piece) or make(piece)
+    text = "".join(f" {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(120_000))
+    assert own.encode(text) == own.encode(text)
+    assert len(made) == len(set(made)) == 120_000
+    ids = own.encode("tea for two")
+    assert own.decode(ids).decode().replace(" ", "").replace("</w>", " ") == "tea for two "
+
+
 def test_bpe_query_shape(spark, odd):
     got = bpe.encode_documents(odd, WORDS).collect()
     assert len(got) == odd.count() and {r["n_tokens"] for r in got if r["doc_id"] in (0, 1, 2)} == {0}
