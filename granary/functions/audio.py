@@ -10,8 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..operators.skew import with_groups
 from ..session import Scratch, ship
@@ -66,8 +68,22 @@ def pooled(rows: DataFrame, key: str, values: str) -> DataFrame:
         return scratch.keep(sums.select(F.col("key").alias(key), "n", (F.col("base") + F.col("d") / F.col("n")).alias("mean"), F.when(F.col("n") > 1, F.sqrt(m2 / (F.col("n") - 1))).alias("std")))
 
 
+def _sigmoid(x: float) -> float:
+    try:
+        return 1 / (1 + math.exp(-x))
+    except OverflowError:  # of exp, for a logit far below 0
+        return 0.0
+
+
+@F.arrow_udf(DoubleType())
+def _sigmoid_udf(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else _sigmoid(v) for v in x.to_pylist()], pa.float64())
+
+
 def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
+    """By the C library's exp, as Python and DuckDB have it: Spark's own differs in the last bit of one value in ten."""
+    ship(SparkSession.getActiveSession())
+    return _sigmoid_udf(x.cast("double"))
 
 
 def decode_wav(content: bytes) -> tuple[int, np.ndarray]:

@@ -6,6 +6,7 @@ import json
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -45,6 +46,17 @@ def result_json(result: dict) -> str:
     return json.dumps(result, ensure_ascii=False, sort_keys=True)
 
 
+@F.arrow_udf(StringType())
+def _written_udf(score: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else f"{v:.10f}" for v in score.to_pylist()], pa.string())
+
+
+def written_score(score: Column | str) -> Column:
+    """Ten decimals of the exact value, ties to even; null for null. Spark's format_string rounds the shortest decimal of a double, which may lie on a tie where the value doesn't."""
+    ship(SparkSession.getActiveSession())
+    return _written_udf((F.col(score) if isinstance(score, str) else score).cast("double"))
+
+
 def _digest(*parts: Column) -> Column:
     """Hex sha256 of the parts joined by NUL."""
     return F.sha2(F.concat_ws("\0", *parts), 256)

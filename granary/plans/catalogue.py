@@ -908,10 +908,11 @@ def token_caps_and_seeds(spark, sf):
 )
 def written_decisions(spark, sf):
     """Scores from logits, as they are written with their decisions."""
-    rows = table(spark, sf, "embeddings").select("vec_id", sigmoid(4 * F.col("embedding")[0].cast("double")).alias("synthetic_score"))
-    written = adapters.decisions(rows.withColumn("sample_id", F.col("vec_id")), 0.5)
-    own = rows.join(written.select(F.col("sample_id").alias("vec_id"), F.col("synthetic_score").alias("written"), "decision"), "vec_id")
-    return own.select("vec_id", F.round("synthetic_score", 9).alias("probability"), "written", "decision")
+    c = F.col
+    rows = table(spark, sf, "embeddings").select(c("vec_id").alias("sample_id"), sigmoid(4 * F.get("embedding", F.lit(0)).cast("double")).alias("synthetic_score"))
+    probability = F.round(c("synthetic_score") * 1e9) / 1e9  # scaled, as SQL rounds: F.round(x, 9) goes by the shortest decimal
+    written = adapters.decisions(rows, 0.5, probability.alias("probability"))
+    return written.select(c("sample_id").alias("vec_id"), "probability", c("synthetic_score").alias("written"), "decision")
 
 
 @query(

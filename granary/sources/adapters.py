@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import deterministic_id, normalize_text, text_identity
+from ..functions.text import deterministic_id, normalize_text, text_identity, written_score
 from ..operators.rules import LANGUAGES, RuleError, duplicate_keys, require_none
 from ..operators.runs import digests
 from ..operators.selection import extract_new, top_k
@@ -175,10 +175,10 @@ def snapshot_problems(models: DataFrame, samples: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def decisions(scored: DataFrame, threshold: float) -> DataFrame:
-    """``sample_id, synthetic_score, decision`` as they are written."""
+def decisions(scored: DataFrame, threshold: float, *kept: Column | str) -> DataFrame:
+    """``sample_id, synthetic_score, decision`` as they are written, and what is kept beside them."""
     decided: Column = F.when(F.col("synthetic_score") >= threshold, "synthetic").otherwise("real")
-    return scored.select("sample_id", F.format_string("%.10f", "synthetic_score").alias("synthetic_score"), decided.alias("decision"))
+    return scored.select("sample_id", written_score("synthetic_score").alias("synthetic_score"), decided.alias("decision"), *kept)
 
 
 def write_artifacts(folder: str, documents: dict[str, dict]) -> dict[str, str]:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import written_score
 from ..session import file_system
 from .formats import numbered_lines
 
@@ -103,7 +104,7 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    df.select("sample_id", F.format_string("%.10f", "synthetic_score").alias("synthetic_score")).write.mode("errorifexists").csv(path, header=True)
+    df.select("sample_id", written_score("synthetic_score").alias("synthetic_score")).write.mode("errorifexists").csv(path, header=True)
 
 
 def write_report(value: dict, path: str) -> None:

@@ -47,6 +47,16 @@ def test_predictions_round_trip(spark, tmp_path):
     assert {tuple(r) for r in adapters.decisions(df, 0.5).collect()} == {("a", "0.5000000000", "synthetic"), ("b", "0.3333333333", "real")}
 
 
+def test_scores_are_written_by_their_exact_values(spark, tmp_path):
+    scores = {"below": 0.66780231735, "even": 0.50048828125, "odd": 0.50146484375, "least": 5e-324, "none": None}
+    df = spark.createDataFrame(list(scores.items()), "sample_id string, synthetic_score double")
+    want = {k: None if x is None else f"{x:.10f}" for k, x in scores.items()}
+    assert (want["below"], want["even"]) == ("0.6678023173", "0.5004882812")
+    assert {r["sample_id"]: r["synthetic_score"] for r in adapters.decisions(df, 0.5).collect()} == want
+    manifests.write_predictions(df, str(tmp_path / "p.csv"))
+    assert {r["sample_id"]: r["synthetic_score"] for r in spark.read.csv(str(tmp_path / "p.csv"), header=True).collect()} == want
+
+
 def test_reports_are_new_and_finite(tmp_path):
     manifests.write_report({"b": 1, "a": "é"}, str(tmp_path / "r.json"))
     assert json.loads((tmp_path / "r.json").read_text()) == {"a": "é", "b": 1}
